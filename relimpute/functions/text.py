@@ -26,16 +26,16 @@ def as_double(text: Column) -> Column:
 def number_text(number: Column) -> Column:
     """Whole numbers without a fraction part, others as Spark writes a double; NaN is no value."""
     whole = (number == F.floor(number)) & (F.abs(number) < WHOLE_LIMIT)
-    return (
-        F.when(F.isnan(number), F.lit(None).cast("string"))
-        .when(whole, number.cast("bigint").cast("string"))
-        .otherwise(number.cast("string"))
-    )
+    spelled = F.nullif(number.cast("string"), F.lit("NaN"))
+    return F.when(whole, number.cast("bigint").cast("string")).otherwise(spelled)
 
 
 def normalize_value(text: Column) -> Column:
-    """Number-like text in the canonical number form, other text unchanged."""
-    return F.coalesce(number_text(as_double(text)), text)
+    """Number-like text in the canonical number form, other text unchanged.
+
+    The pattern is matched once per cell and fails on the first letter of ordinary text.
+    """
+    return F.when(is_number(text), number_text(F.trim(text).try_cast("double"))).otherwise(text)
 
 
 def is_value(data_type: T.DataType) -> bool:

@@ -35,7 +35,7 @@ class ColumnRef:
 def column_refs(catalog: Catalog, tables: Sequence[str] | None = None) -> list[ColumnRef]:
     """Number the columns of the tables; list- and struct-typed columns hold no cell values."""
     refs = []
-    for name in tables or list(catalog.tables):
+    for name in tables or catalog.names:
         keys = catalog.key_columns(name)
         for f in catalog.table(name).schema.fields:
             if is_value(f.dataType):
@@ -63,7 +63,7 @@ def cell_values(catalog: Catalog, refs: list[ColumnRef]) -> DataFrame:
 def column_values(catalog: Catalog, tables: Sequence[str] | None = None) -> DataFrame:
     """Distinct (table, col, value)."""
     parts = None
-    for name in tables or list(catalog.tables):
+    for name in tables or catalog.names:
         columns = [r.col for r in column_refs(catalog, [name])]
         long = texts(catalog.table(name), columns).unpivot([], columns, "col", "value")
         part = long.where(F.col("value").isNotNull()).distinct().select(F.lit(name).alias("table"), "col", "value")

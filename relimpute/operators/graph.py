@@ -77,7 +77,7 @@ def enumerate_paths(edges: DataFrame, start: str, max_hops: int = 10, per_goal:
         F.array().cast("array<struct<src_table:string,src_col:string,dst_col:string,dst_table:string,forward:boolean>>").alias("edges"),
     )
     levels = None
-    for _ in range(max_hops):
+    for level in range(max_hops):
         grown = frontier.join(steps, F.col("at") == F.col("src_table")).where(~F.array_contains("seen", F.col("dst_table")))
         hop = F.struct("src_table", "src_col", "dst_col", "dst_table", "forward")
         frontier = cut_lineage(
@@ -89,10 +89,9 @@ def enumerate_paths(edges: DataFrame, start: str, max_hops: int = 10, per_goal:
             )
         )
         levels = frontier if levels is None else levels.unionByName(frontier)
-        if frontier.isEmpty():
-            break
-        satisfied = levels.groupBy("at").count().where(F.col("count") >= per_goal).count()
-        if satisfied == goals:
+        per_table = levels.groupBy("at").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("edges")).alias("deepest"))
+        state = per_table.agg(F.count_if(F.col("n") >= per_goal).alias("done"), F.max("deepest").alias("deepest")).first()
+        if state["done"] == goals or (state["deepest"] or 0) <= level:
             break
     found = levels.select(F.col("at").alias("goal"), path_id(F.col("label")).alias("path_id"), "label", F.size("edges").alias("hops"), "edges")
     ranked = found.withColumn("_r", F.row_number().over(W.partitionBy("goal").orderBy("hops", "label")))

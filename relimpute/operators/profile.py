@@ -31,8 +31,7 @@ def column_profile(catalog: Catalog, table: str, columns: list[str] | None = Non
         F.min(F.when(F.col("value").isNotNull(), F.col("n"))).alias("min_count"),
         F.coalesce(F.bool_and(whole == F.floor(whole)), F.lit(False)).alias("all_whole"),
     )
-    roles = catalog.columns().where(F.col("table") == table)
-    joined = roles.join(stats, "col").withColumn("stype", semantic_type())
+    joined = catalog.columns([table]).join(stats, "col").withColumn("stype", semantic_type())
     return joined.select("table", "col", "role", "dtype", "rows", "non_null", "ndv", "min_count", "all_whole", "stype")
 
 
@@ -53,7 +52,7 @@ def semantic_type() -> Column:
 def database_types(catalog: Catalog, tables: list[str] | None = None) -> DataFrame:
     """(table, col, dtype, stype) of every descriptor with at least one value."""
     parts = None
-    for name in tables or list(catalog.tables):
+    for name in tables or catalog.names:
         plain = [c for c in catalog.descriptors(name) if is_value(catalog.table(name).schema[c].dataType)]
         if plain:
             part = column_profile(catalog, name, plain).where(F.col("stype").isNotNull())
@@ -148,7 +147,7 @@ def modes(df: DataFrame, columns: list[str]) -> DataFrame:
 def table_sizes(catalog: Catalog, tables: list[str] | None = None) -> DataFrame:
     """(table, rows)."""
     parts = None
-    for name in tables or list(catalog.tables):
+    for name in tables or catalog.names:
         part = catalog.table(name).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table"), "rows")
         parts = part if parts is None else parts.unionByName(part)
     return parts

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -93,11 +93,16 @@ def narrow_whole_numbers(df: DataFrame) -> DataFrame:
 
 @dataclass
 class Catalog:
-    """Tables with their key schema. Tables stay lazy DataFrames with native key types."""
+    """Tables with their key schema.
+
+    A table is a lazy DataFrame with native key types. Its files are not looked at before the
+    table is first asked for.
+    """
 
     spark: SparkSession
     specs: dict[str, TableSpec]
     tables: dict[str, DataFrame] = field(default_factory=dict)
+    scan: Callable[[str], DataFrame] | None = None
 
     @classmethod
     def from_json(cls, spark: SparkSession, schema: str | Path) -> Catalog:
@@ -119,7 +124,8 @@ class Catalog:
         `overrides` reads a table from elsewhere (the dirty query table), `null_flag` names the
         written form of a missing value, `schemas` avoids inference.
         """
-        for name in self.specs:
+
+        def scan(name: str) -> DataFrame:
             reader = self.spark.read.format(fmt)
             given = (schemas or {}).get(name)
             if given is not None:
@@ -131,22 +137,32 @@ class Catalog:
             df = lower_names(reader.load((overrides or {}).get(name, f"{path.rstrip('/')}/{name}.{fmt}")))
             if prepare is not None:
                 df = prepare(name, df)
-            if narrow:
-                df = narrow_whole_numbers(df)
-            self.tables[name] = df
-        return self
+            return narrow_whole_numbers(df) if narrow else df
+
+        return Catalog(self.spark, self.specs, scan=scan)
 
     def with_tables(self, **tables: DataFrame) -> Catalog:
         """A catalog in which some tables are replaced (denormalised or dirty forms)."""
-        return Catalog(self.spark, self.specs, {**self.tables, **tables})
+        return Catalog(self.spark, self.specs, {**self.tables, **tables}, self.scan)
+
+    def part(self, names: Sequence[str]) -> Catalog:
+        """The catalog of some of the tables only."""
+        specs = {n: s for n, s in self.specs.items() if n in names}
+        return Catalog(self.spark, specs, self.tables, self.scan)
+
+    @property
+    def names(self) -> list[str]:
+        """Tables of the schema that can be read."""
+        return [n for n in self.specs if self.scan is not None or n in self.tables]
 
     def table(self, name: str) -> DataFrame:
+        if name not in self.tables and self.scan is not None:
+            self.tables[name] = self.scan(name)
         return self.tables[name]
 
     def row_id(self, name: str) -> Column:
-        return merge_key(self.specs[name]) if self.specs[name].key not in self.tables[name].columns else F.col(
-            self.specs[name].key
-        ).cast("string")
+        spec = self.specs[name]
+        return F.col(spec.key).cast("string") if spec.key in self.table(name).columns else merge_key(spec)
 
     def key_columns(self, name: str) -> set[str]:
         spec = self.specs[name]
@@ -154,7 +170,7 @@ class Catalog:
 
     def descriptors(self, name: str) -> list[str]:
         keys = self.key_columns(name)
-        return [c for c in self.tables[name].columns if c not in keys]
+        return [c for c in self.table(name).columns if c not in keys]
 
     def edges(self) -> list[tuple[str, str, str, str]]:
         """Foreign keys as (src_table, src_col, dst_table, dst_col)."""
@@ -168,10 +184,11 @@ class Catalog:
     def fk_edges(self) -> DataFrame:
         return self.spark.createDataFrame(self.edges(), FK_EDGE_SCHEMA)
 
-    def columns(self) -> DataFrame:
-        """(table, col, role, dtype) of every loaded table."""
+    def columns(self, tables: Sequence[str] | None = None) -> DataFrame:
+        """(table, col, role, dtype) of the tables."""
         rows = []
-        for name, df in self.tables.items():
+        for name in tables or self.names:
+            df = self.table(name)
             spec = self.specs[name]
             for f in df.schema.fields:
                 role = "pk" if f.name in (*spec.pk, spec.key) else "fk" if f.name in spec.fk_columns else "desc"
