@@ -157,14 +157,16 @@ def knn_join(
         else:
             distance = np.sqrt(((a[rows] - b[columns]) ** 2).sum(1))
         out = pd.DataFrame(
-            {"query_id": ours["id"].to_numpy()[rows], "target_id": theirs["id"].to_numpy()[columns], "distance": np.round(distance, 9)}
+            {"query_id": ours["id"].to_numpy()[rows], "target_id": theirs["id"].to_numpy()[columns], "distance": distance}
         )
-        ranked = out.sort_values(["query_id", "distance", "target_id"])
-        return ranked.groupby("query_id", sort=False).head(k)
+        out["place"] = out["distance"].round(9)
+        ranked = out.sort_values(["query_id", "place", "target_id"])
+        return ranked.groupby("query_id", sort=False).head(k).drop(columns="place")
 
     schema = f"query_id {query_type}, target_id {key_type}, distance double"
     near = q.select("id", "vec", *block).groupBy(*block).cogroup(t.select("id", "vec", *block).groupBy(*block)).applyInPandas(compare, schema)
-    return top_k(near, ["query_id"], [F.col("distance"), F.col("target_id")], k)
+    # distances that differ in rounding only are ties, decided by id
+    return top_k(near, ["query_id"], [F.round("distance", 9), F.col("target_id")], k)
 
 
 def cosine_top_n(queries: DataFrame, targets: DataFrame, n: int = 5, query=("id", "vec"), target=("id", "vec")) -> DataFrame:

@@ -122,3 +122,8 @@ def evaluate(data: Redundant, runs: DataFrame, attributes: Sequence[str]) -> Dat
     cells = metrics.eval_cells(data.dirty, data.clean, data.table, attributes)
     stats = metrics.numeric_stats(data.clean, data.table, numeric)
     return metrics.eval_report(metrics.judged(cells, runs, classes, stats))
+
+
+def report(data: Redundant, imputed: DataFrame, method: str, attributes: Sequence[str]) -> DataFrame:
+    """The report of one imputed table."""
+    return evaluate(data, metrics.wide_run(data.clean.with_tables(**{data.table: imputed}), data.table, method, attributes), attributes)
