@@ -25,8 +25,8 @@ def hash_first_n(df: DataFrame, by: Sequence[str], hashed: str, n: Column) -> Da
     """The `n` rows with the lowest hash in every group, for any `n` up to the group size.
 
     Hashes are uniform, so counts per four-digit prefix find the one prefix the cut falls in:
-    rows below it pass without a shuffle, and only the rows of that prefix are ranked. `n` may use
-    the columns `by` and `rows` (the group size).
+    rows above it are dropped where they are read, and ranks are taken inside single prefixes. `n`
+    may use the columns `by` and `rows` (the group size).
     """
     by = list(by)
     prefixed = df.withColumn("_prefix", F.substring(hashed, 1, 4))
@@ -40,13 +40,11 @@ def hash_first_n(df: DataFrame, by: Sequence[str], hashed: str, n: Column) -> Da
         F.coalesce(F.min(F.when(F.col("_upto") >= F.col("_n"), F.col("_prefix"))), F.lit("g")).alias("_cut"),
         F.coalesce(F.max(F.when(F.col("_upto") < F.col("_n"), F.col("_upto"))), F.lit(0)).alias("_below"),
     )
-    joined = _join_on(prefixed, cut, by)
-    sure = joined.where(F.col("_prefix") < F.col("_cut"))
-    edge = joined.where(F.col("_prefix") == F.col("_cut"))
+    near = _join_on(prefixed, cut, by).where(F.col("_prefix") <= F.col("_cut"))
     keys = [F.col(hashed)] + [F.col(c) for c in df.columns if c != hashed and c not in by and _orderable(df, c)]
-    edge = edge.withColumn("_r", F.row_number().over(W.partitionBy(*by, "_prefix").orderBy(*keys)))
-    edge = edge.where(F.col("_r") <= F.col("_n") - F.col("_below"))
-    return sure.select(df.columns).unionByName(edge.select(df.columns))
+    near = near.withColumn("_r", F.row_number().over(W.partitionBy(*by, "_prefix").orderBy(*keys)))
+    kept = (F.col("_prefix") < F.col("_cut")) | (F.col("_r") <= F.col("_n") - F.col("_below"))
+    return near.where(kept).select(df.columns)
 
 
 def _orderable(df: DataFrame, column: str) -> bool:
@@ -93,15 +91,17 @@ def hashed_ids(df: DataFrame, key: Sequence[str], name: str = "id") -> DataFrame
     return numbered.withColumn(name, F.col("_before") + F.col("_within") - 1).drop("_h", "_prefix", "_within", "_before")
 
 
-def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
+def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], derived: bool = True) -> DataFrame:
     """Linearly interpolated quantiles as rows (`by`, p, n, quantile), exact at any group size.
 
     A mergeable sketch brackets each quantile, counting below the bracket fixes the rank, and only
     the rows inside the bracket are sorted. If the counts show that a bracket missed, the next
-    wider one is used; the widest spans the group.
+    wider one is used; the widest spans the group. The values are read three times; `derived`
+    ones (the result of joins, not a scan) are written once first.
     """
     by = list(by)
     data = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    data = cut_lineage(data) if derived else data
     widths = (0.002, 0.05)
     points = sorted({min(max(p + s * w, 0.0), 1.0) for p in probs for w in widths for s in (-1, 1)})
     at = {p: i for i, p in enumerate(points)}
@@ -150,9 +150,9 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequenc
     return found.select(*by, "p", "n", (F.col("_x") + (F.col("_y") - F.col("_x")) * share).alias("quantile"))
 
 
-def quantile_columns(df: DataFrame, by: Sequence[str], value: str, named: dict[str, float]) -> DataFrame:
+def quantile_columns(df: DataFrame, by: Sequence[str], value: str, named: dict[str, float], derived: bool = True) -> DataFrame:
     """`exact_quantiles` with one column per name."""
     by = list(by)
-    rows = exact_quantiles(df, by, value, list(dict.fromkeys(named.values())))
+    rows = exact_quantiles(df, by, value, list(dict.fromkeys(named.values())), derived)
     picks = [F.max(F.when(F.col("p") == F.lit(float(p)), F.col("quantile"))).alias(name) for name, p in named.items()]
     return rows.groupBy(*by).agg(*picks)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from relimpute.functions.ranking import top_k
 from relimpute.functions.text import is_value, short_key, texts
+from relimpute.session import cut_lineage
 from relimpute.sources.catalog import Catalog
 
 PERMUTATIONS = 128
@@ -134,7 +135,8 @@ def lsh_candidates(
     means a Jaccard similarity of at least t / (1 + u/q - t); the widest band that still finds such a
     pair with the wanted probability is used. All inputs here have one row per column.
     """
-    signatures = minhash(catalog, tables)
+    # written once: one row per column, read by every step below
+    signatures = cut_lineage(minhash(catalog, tables))
     banded = None
     for r in ROWS_PER_BAND:
         bands = PERMUTATIONS // r

@@ -30,22 +30,20 @@ def coerced(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def numeric_prep(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Doubles, nulls filled with the lowest mode, scaled to [0, 1].
 
-    Mode, minimum and maximum, three numbers per column, come from one aggregation each and are
-    literals of the projection; the rows are not shuffled.
+    Mode, minimum and maximum, three numbers per column, come from one pass over value counts and
+    are literals of the projection; the rows are not shuffled.
     """
     columns = list(columns)
     if not columns:
         return df
     df = coerced(df, columns)
-    mode = {r["col"]: float(r["mode"]) for r in modes(df, columns).collect()}
-    ends = df.agg(*[F.struct(F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c) for c in columns]).first()
+    known = {r["col"]: r for r in modes(df, columns).collect()}
 
     def scaled(c: str) -> Column:
-        lo, hi = ends[c]
-        if lo is None:
+        if c not in known:
             return F.lit(None).cast("double")
-        spread = (hi - lo) or 1.0
-        return (F.coalesce(F.col(c), F.lit(mode[c])) - lo) / spread
+        lo, hi = known[c]["lo"], known[c]["hi"]
+        return (F.coalesce(F.col(c), F.lit(float(known[c]["mode"]))) - lo) / ((hi - lo) or 1.0)
 
     return df.withColumns({c: scaled(c) for c in columns})
 

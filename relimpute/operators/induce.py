@@ -19,14 +19,10 @@ def ranked_candidates(weighted: DataFrame) -> DataFrame:
 
 
 def matching_columns(weighted: DataFrame, k: int = 3) -> DataFrame:
-    """(qid, attr, path_id, instance_id, col): payload columns of a cell's top candidates that hold the truth.
-
-    Payload and truth are in canonical text, so numeric-aware equality is plain equality here.
-    """
+    """(qid, attr, path_id, instance_id, col): columns of a cell's top candidates that hold the truth."""
     best = top_k(weighted, ["qid", "attr"], [F.desc("weight"), F.col("path_id"), F.col("instance_id")], k)
-    known = truth_or_null(F.col("truth"))
-    hits = F.map_keys(F.map_filter("payload", lambda _, v: v == known))
-    return best.select("qid", "attr", "path_id", "instance_id", F.explode(hits).alias("col"))
+    opened = best.select("qid", "attr", "path_id", "instance_id", F.explode("hits").alias("col"))
+    return opened.where(F.col("col").isNotNull())
 
 
 def path_summary(matches: DataFrame, k: int = 5) -> DataFrame:
@@ -49,8 +45,7 @@ def top_path(matches: DataFrame) -> DataFrame:
 def induction_flags(weighted: DataFrame, k: int = 3) -> DataFrame:
     """(qid, attr, notnull, valid, max): truth known, in any candidate, in a top-k candidate."""
     known = truth_or_null(F.col("truth"))
-    found = F.coalesce(F.exists(F.map_values("payload"), lambda v: v == known), F.lit(False))
-    ranked = ranked_candidates(weighted).withColumn("_hit", found.cast("int"))
+    ranked = ranked_candidates(weighted).withColumn("_hit", F.col("hits").isNotNull().cast("int"))
     return ranked.groupBy("qid", "attr").agg(
         F.max(known.isNotNull().cast("int")).alias("notnull"),
         F.max("_hit").alias("valid"),

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from relimpute.functions.hashing import bucket_of
 from relimpute.functions.ranking import exact_quantiles, top_k
-from relimpute.functions.text import canonical_text, is_value
+from relimpute.functions.text import canonical_text, is_value, truth_or_null
 from relimpute.operators.graph import Edge, MetaPath
 from relimpute.sources.catalog import Catalog
 
@@ -24,13 +24,27 @@ GUARD_FACTOR = 20
 CHUNK = 1000
 
 
-def query_rows(catalog: Catalog, table: str, paths: Sequence[MetaPath], carry: dict[str, Column] | None = None) -> DataFrame:
-    """`qid`, the columns the first hops join on, and carried expressions of the query table."""
+def query_rows(catalog: Catalog, table: str, paths: Sequence[MetaPath], asked: dict[str, Column] | None = None) -> DataFrame:
+    """`qid`, the columns the first hops join on, and what is asked of a row.
+
+    `asked` maps attributes to a column that is NULL where the row does not ask for the attribute
+    (see `known` and `missing`); it travels along as `_t_<attr>`.
+    """
     columns = sorted({p.edges[0].src_col for p in paths})
     own = [F.col(c).alias(f"_n_{c}") for c in columns]
-    return catalog.table(table).select(
-        catalog.row_id(table).alias("qid"), *[e.alias(n) for n, e in (carry or {}).items()], *own
-    )
+    wanted = [e.alias(f"_t_{a}") for a, e in (asked or {}).items()]
+    return catalog.table(table).select(catalog.row_id(table).alias("qid"), *wanted, *own)
+
+
+def known(catalog: Catalog, table: str, attributes: Sequence[str]) -> dict[str, Column]:
+    """The text of every known cell."""
+    df = catalog.table(table)
+    return {a: canonical_text(F.col(a), df.schema[a].dataType) for a in attributes}
+
+
+def missing(attributes: Sequence[str]) -> dict[str, Column]:
+    """An empty text for every null cell."""
+    return {a: F.when(F.col(a).isNull(), F.lit("")) for a in attributes}
 
 
 def _column_type(catalog: Catalog, table: str, column: str) -> T.DataType:
@@ -53,13 +67,12 @@ def _keys(catalog: Catalog, edge: Edge, left: Column) -> tuple[Column, Column]:
     return (left, right) if _native(a, b) else (canonical_text(left, a), canonical_text(right, b))
 
 
-def payload_map(catalog: Catalog, table: str, columns: Sequence[str] | None = None, keys: bool = False) -> Column:
+def payload_columns(catalog: Catalog, table: str, columns: Sequence[str] | None = None, keys: bool = False) -> dict[str, Column]:
     """column -> canonical text of the cells of a row; keys on request, synthetic ids never."""
     df = catalog.table(table)
     own = [c for c in df.columns if keys or c not in catalog.key_columns(table)]
     own = [c for c in own if is_value(df.schema[c].dataType) and (columns is None or c in columns)]
-    entries = [x for c in own for x in (F.lit(c), canonical_text(F.col(c), df.schema[c].dataType))]
-    return F.create_map(*entries) if entries else F.create_map().cast("map<string,string>")
+    return {c: canonical_text(F.col(c), df.schema[c].dataType) for c in own}
 
 
 def path_instances(
@@ -70,14 +83,20 @@ def path_instances(
     payload: Sequence[str] | bool | None = None,
     keys: bool = False,
     share: bool = True,
+    attrs: dict[str, Sequence[str]] | None = None,
+    match: bool = False,
 ) -> DataFrame:
-    """(qid, carried columns, path_id, instance_id, row_ids[, payload]) of all paths.
+    """(qid, path_id, instance_id, row_ids[, cells][, payload]) of all paths.
 
     `rows` comes from `query_rows`. Row ids are unique, so an instance can not repeat and the
     default needs no dedup exchange; `dedup='join_key'` keeps one instance per key value at
     every hop. `payload` adds the cells of the last row, read by the same join that found it.
+
+    With `attrs` (path id -> attributes) a row that asks for none of them does not enter the path,
+    and `cells` lists the asked ones it serves. With `match` every listed cell has `hits`, the
+    payload columns that hold its truth, and the payload itself goes no further.
     """
-    carried = [c for c in rows.columns if c != "qid" and not c.startswith("_n_")]
+    carried = [c for c in rows.columns if c.startswith("_t_")]
     found: list[DataFrame] = []
 
     def walk(df: DataFrame, depth: int, group: list[MetaPath]) -> None:
@@ -85,7 +104,11 @@ def path_instances(
             own = [p for p in group if p.edges[depth] == edge]
             ends = [p for p in own if len(p.edges) == depth + 1]
             onward = [p for p in own if len(p.edges) > depth + 1]
-            step = _hop(catalog, df, edge, carried, sorted({p.edges[depth + 1].src_col for p in onward}), ends, payload, keys)
+            start = df
+            if attrs is not None and depth == 0:
+                start = _asking(df, {a for p in own for a in attrs[p.path_id]})
+            cells = payload_columns(catalog, edge.dst_table, None if payload is True else payload, keys) if payload and ends else {}
+            step = _hop(catalog, start, edge, carried, sorted({p.edges[depth + 1].src_col for p in onward}), cells)
             if dedup == "join_key":
                 step = _one_per_key(step)
             step = step.drop("_key")
@@ -93,9 +116,9 @@ def path_instances(
             if share and branches > 1:
                 step = step.persist(StorageLevel.MEMORY_AND_DISK)
             for path in ends:
-                found.append(_finish(step, path, carried, payload))
+                found.append(_finish(step, path, list(cells), payload, attrs, match))
             if onward:
-                walk(step.drop("_payload"), depth + 1, onward)
+                walk(step.drop(*[f"_p_{c}" for c in cells]), depth + 1, onward)
 
     walk(rows.withColumn("_ids", F.array().cast("array<string>")), 0, list(paths))
     out = found[0]
@@ -104,20 +127,25 @@ def path_instances(
     return out
 
 
-def _hop(catalog, df, edge, carried, onward, ends, payload, keys) -> DataFrame:
+def _asking(df: DataFrame, attributes) -> DataFrame:
+    """Rows that ask for one of the attributes."""
+    wanted = [F.col(f"_t_{a}").isNotNull() for a in sorted(attributes)]
+    condition = wanted[0]
+    for c in wanted[1:]:
+        condition = condition | c
+    return df.where(condition)
+
+
+def _hop(catalog: Catalog, df: DataFrame, edge: Edge, carried: list[str], onward: list[str], cells: dict[str, Column]) -> DataFrame:
     left, right = _keys(catalog, edge, F.col(f"_n_{edge.src_col}"))
+    dst = catalog.table(edge.dst_table)
     fetched = [right.alias("_key"), catalog.row_id(edge.dst_table).alias("_rid")]
-    for c in onward:
-        own = F.col(c) if c in catalog.table(edge.dst_table).columns else catalog.row_id(edge.dst_table)
-        fetched.append(own.alias(f"_m_{c}"))
-    if payload and ends:
-        wanted = None if payload is True else payload
-        fetched.append(payload_map(catalog, edge.dst_table, wanted, keys).alias("_payload"))
-    reached = catalog.table(edge.dst_table).select(*fetched)
-    joined = df.withColumn("_left", left).join(reached, F.col("_left") == F.col("_key"))
+    fetched += [(F.col(c) if c in dst.columns else catalog.row_id(edge.dst_table)).alias(f"_m_{c}") for c in onward]
+    fetched += [text.alias(f"_p_{c}") for c, text in cells.items()]
+    joined = df.withColumn("_left", left).join(dst.select(*fetched), F.col("_left") == F.col("_key"))
     kept = ["qid", *carried, "_key", F.concat("_ids", F.array("_rid")).alias("_ids")]
     kept += [F.col(f"_m_{c}").alias(f"_n_{c}") for c in onward]
-    return joined.select(*kept, *(["_payload"] if payload and ends else []))
+    return joined.select(*kept, *[f"_p_{c}" for c in cells])
 
 
 def _one_per_key(step: DataFrame) -> DataFrame:
@@ -127,12 +155,37 @@ def _one_per_key(step: DataFrame) -> DataFrame:
     return step.groupBy("_key").agg(lowest.alias("_row")).select("_key", "_row.*")
 
 
-def _finish(step: DataFrame, path: MetaPath, carried: list[str], payload) -> DataFrame:
-    return step.select(
-        "qid", *carried, F.lit(path.path_id).alias("path_id"),
-        F.md5(F.concat_ws(">", "_ids")).alias("instance_id"), F.col("_ids").alias("row_ids"),
-        *([F.col("_payload").alias("payload")] if payload else []),
-    )
+def _finish(step: DataFrame, path: MetaPath, cells: list[str], payload, attrs, match: bool) -> DataFrame:
+    if attrs is not None:
+        step = _asking(step, attrs[path.path_id])
+    out = [
+        "qid", F.lit(path.path_id).alias("path_id"), F.md5(F.concat_ws(">", "_ids")).alias("instance_id"), F.col("_ids").alias("row_ids"),
+    ]
+    if attrs is not None:
+        out.append(F.array(*[_cell(a, cells if match else None) for a in sorted(attrs[path.path_id])]).alias("cells"))
+    if payload and not match:
+        entries = [x for c in cells for x in (F.lit(c), F.col(f"_p_{c}"))]
+        held = F.create_map(*entries) if entries else F.create_map().cast("map<string,string>")
+        out.append(held.alias("payload"))
+    return step.select(*out)
+
+
+def _cell(attribute: str, payload: list[str] | None) -> Column:
+    """(attr, truth[, hits]) of an asked cell, else NULL.
+
+    Payload and truth are canonical text, where numeric-aware equality is plain equality; the
+    tokens for an unknown truth match nothing. `hits` has an entry per payload column, NULL where
+    the column does not hold the truth, and is NULL when none does.
+    """
+    asked = F.col(f"_t_{attribute}")
+    fields = [F.lit(attribute).alias("attr"), asked.alias("truth")]
+    if payload is not None:
+        truth = truth_or_null(asked)
+        met = [F.when(F.col(f"_p_{c}") == truth, F.lit(c)) for c in payload]
+        first = F.coalesce(*met) if met else F.lit(None)
+        hits = F.array(*met) if met else F.array().cast("array<string>")
+        fields.append(F.when(first.isNotNull(), hits).alias("hits"))
+    return F.when(asked.isNotNull(), F.struct(*fields))
 
 
 def instance_counts(catalog: Catalog, table: str, paths: Sequence[MetaPath]) -> DataFrame:
@@ -218,17 +271,6 @@ def top_instances(instances: DataFrame, paths: Sequence[MetaPath], k: int = 5, s
     return cut.unionByName(instances.where(F.col("path_id").isin(*single))) if single else cut
 
 
-def cells_of(catalog: Catalog, table: str, attributes: Sequence[str], missing: bool) -> Column:
-    """Array of (attr, truth) of a row: its null cells, or its known ones with their text."""
-    df = catalog.table(table)
-    entries = []
-    for a in attributes:
-        text = canonical_text(F.col(a), df.schema[a].dataType)
-        wanted = F.col(a).isNull() if missing else text.isNotNull()
-        entries.append(F.when(wanted, F.struct(F.lit(a).alias("attr"), text.alias("truth"))))
-    return F.filter(F.array(*entries), lambda e: e.isNotNull())
-
-
 def attribute_paths(spark, by_attribute: dict[str, Sequence[MetaPath]]) -> DataFrame:
     """(attr, path_id), at most ten rows per attribute of the query table."""
     pairs = [(a, p.path_id) for a, paths in by_attribute.items() for p in paths]
@@ -236,12 +278,11 @@ def attribute_paths(spark, by_attribute: dict[str, Sequence[MetaPath]]) -> DataF
 
 
 def assemble(instances: DataFrame, attr_paths: DataFrame) -> DataFrame:
-    """One row per (query cell, instance): the carried `cells` met with the paths of their attribute."""
-    opened = instances.withColumn("_cell", F.explode("cells")).withColumns(
-        {"attr": F.col("_cell.attr"), "truth": F.col("_cell.truth")}
-    )
+    """One row per (query cell, instance): the `cells` of an instance met with the paths of their attribute."""
+    opened = instances.withColumn("_cell", F.explode("cells")).where(F.col("_cell").isNotNull())
+    rest = [c for c in instances.columns if c != "cells"]
     # schema-sized: at most ten paths per attribute
-    return opened.drop("cells", "_cell").join(F.broadcast(attr_paths), ["attr", "path_id"])
+    return opened.select(*rest, "_cell.*").join(F.broadcast(attr_paths), ["attr", "path_id"])
 
 
 def candidate_cells(candidates: DataFrame) -> DataFrame:

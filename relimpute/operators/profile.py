@@ -123,7 +123,7 @@ def clean_stats(df: DataFrame, columns: list[str]) -> DataFrame:
         F.max("v").alias("max"), F.min("v").alias("min"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std")
     )
     distinct = counted.groupBy("attr").agg(F.count(F.lit(1)).alias("ndv"))
-    medians = quantile_columns(long, ["attr"], "v", {"median": 0.5})
+    medians = quantile_columns(long, ["attr"], "v", {"median": 0.5}, derived=False)
     return moments.join(medians, "attr", "left").join(distinct, "attr").select(
         "attr", "max", "min", "mean", "std", "median", "ndv"
     )
@@ -137,11 +137,16 @@ def value_distribution(df: DataFrame, column: str) -> DataFrame:
 
 
 def modes(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(col, mode) with the lowest of tied values; numbers compare as numbers."""
+    """(col, mode, lo, hi): the most frequent value, the lowest of tied ones, and the numeric range.
+
+    Numbers compare as numbers. All three come from the value counts, in one pass.
+    """
     numeric = {c: isinstance(df.schema[c].dataType, T.NumericType) for c in columns}
     counts = value_counts(df, columns, key_of=lambda v: v).where(F.col("value").isNotNull())
     number = F.when(F.col("col").isin(*[c for c in columns if numeric[c]]), F.col("value").try_cast("double"))
-    return counts.groupBy("col").agg(F.min_by("value", F.struct(-F.col("n"), number, F.col("value"))).alias("mode"))
+    return counts.groupBy("col").agg(
+        F.min_by("value", F.struct(-F.col("n"), number, F.col("value"))).alias("mode"), F.min(number).alias("lo"), F.max(number).alias("hi")
+    )
 
 
 def table_sizes(catalog: Catalog, tables: list[str] | None = None) -> DataFrame:

@@ -79,6 +79,12 @@ def _ordered(catalog: Catalog) -> tuple[list[str], list[str]]:
         order += free
 
 
+def _keys_once(catalog: Catalog, table: str, df: DataFrame) -> DataFrame:
+    """The rows of a sample with several foreign keys, reduced to those and written once for them all."""
+    columns = list(catalog.specs[table].fk_columns)
+    return cut_lineage(df.select(*columns)) if len(columns) > 1 else df
+
+
 def _wanted(catalog: Catalog, kept: dict[str, DataFrame], table: str, sources: Sequence[str]) -> DataFrame | None:
     """Distinct key values of `table` that kept rows refer to."""
     parts = None
@@ -102,7 +108,8 @@ def fk_closure(catalog: Catalog, samples: dict[str, DataFrame], max_rounds: int
     acyclic key graph. Tables on a cycle are repeated until their key counts stand still.
     """
     order, cyclic = _ordered(catalog)
-    kept = dict(samples)
+    reduced = {t: _keys_once(catalog, t, df) for t, df in samples.items()}
+    kept = dict(reduced)
     own = {t: df.select(catalog.row_id(t).alias("_k")) for t, df in samples.items()}
     for table in order:
         wanted = _wanted(catalog, kept, table, order)
@@ -130,12 +137,12 @@ def fk_closure(catalog: Catalog, samples: dict[str, DataFrame], max_rounds: int
     else:
         if cyclic:
             raise RuntimeError("key closure did not settle; raise max_rounds")
-    return kept
+    return {t: samples[t] if df is reduced.get(t) else df for t, df in kept.items()}
 
 
 def one_hop_dimensions(catalog: Catalog, samples: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Rows the samples refer to directly, then tables reached only through an already kept table."""
-    kept = dict(samples)
+    kept = {t: _keys_once(catalog, t, df) for t, df in samples.items()}
     facts = list(samples)
     first = {t: _wanted(catalog, kept, t, facts) for t in catalog.specs if t not in samples}
     for table, wanted in first.items():
@@ -146,7 +153,7 @@ def one_hop_dimensions(catalog: Catalog, samples: dict[str, DataFrame]) -> dict[
         wanted = _wanted(catalog, kept, table, list(kept))
         if wanted is not None:
             kept[table] = _keep(catalog, table, wanted)
-    return kept
+    return {**kept, **samples}
 
 
 def kept_rows(catalog: Catalog, kept: dict[str, DataFrame]) -> DataFrame:

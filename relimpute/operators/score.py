@@ -6,12 +6,10 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from relimpute.functions.text import truth_or_null
-
 FEATURES = ["sim", "query_sim", "prior", "inverse_hops"]
 TINY = 1e-10
 
@@ -28,14 +26,9 @@ def softmax(candidates: DataFrame, score: str = "score", weight: str = "weight")
     return raised.withColumn(weight, F.col("_e") / F.sum("_e").over(cell)).drop("_e")
 
 
-def holds_truth(payload: str = "payload", truth: str = "truth") -> Column:
-    """True when some cell of the candidate row has the text of the truth."""
-    known = truth_or_null(F.col(truth))
-    return F.coalesce(F.exists(F.map_values(payload), lambda v: v == known), F.lit(False))
-
-
 def label_candidates(candidates: DataFrame) -> DataFrame:
-    return candidates.withColumn("label", holds_truth().cast("int"))
+    """1 when some cell of the candidate row holds the truth."""
+    return candidates.withColumn("label", F.col("hits").isNotNull().cast("int"))
 
 
 def cell_loss(labelled: DataFrame) -> DataFrame:

@@ -64,20 +64,29 @@ def all_paths(by_attribute: dict[str, Sequence[MetaPath]]) -> list[MetaPath]:
     return list(dict.fromkeys(p for paths in by_attribute.values() for p in paths))
 
 
+def served(by_attribute: dict[str, Sequence[MetaPath]]) -> dict[str, list[str]]:
+    """path id -> attributes it serves."""
+    out: dict[str, list[str]] = {}
+    for attr, paths in by_attribute.items():
+        for p in paths:
+            out.setdefault(p.path_id, []).append(attr)
+    return out
+
+
 def known_candidates(dirty: Catalog, table: str, by_attribute: dict[str, Sequence[MetaPath]], n: int = 0, k: int = 5, keys: bool = False) -> DataFrame:
-    """Candidates of known cells, the truth kept aside: n sampled cells per attribute, or all."""
+    """Candidates of known cells with `hits`, the columns that hold the truth: n sampled cells per attribute, or all.
+
+    Truth and candidate are compared where they meet, so candidate rows are not exchanged.
+    """
     paths = all_paths(by_attribute)
     attributes = list(by_attribute)
-    carry = instances.cells_of(dirty, table, attributes, missing=False)
-    rows = instances.query_rows(dirty, table, paths, {"cells": carry})
+    rows = instances.query_rows(dirty, table, paths, instances.known(dirty, table, attributes))
     if n > 0:
+        # at most one cell per attribute and row, n rows per attribute
         picked = sample.known_cells(dirty, table, attributes, n)
-        # at most one cell per attribute and row
-        cells = picked.groupBy("qid").agg(F.collect_list(F.struct("attr", "truth")).alias("cells"))
-        rows = rows.drop("cells").join(cells, "qid")
-    else:
-        rows = rows.where(F.size("cells") > 0)
-    found = instances.path_instances(dirty, rows, paths, payload=True, keys=keys)
+        truths = [F.max(F.when(F.col("attr") == a, F.col("truth"))).alias(f"_t_{a}") for a in attributes]
+        rows = rows.drop(*[f"_t_{a}" for a in attributes]).join(picked.groupBy("qid").agg(*truths), "qid")
+    found = instances.path_instances(dirty, rows, paths, payload=True, keys=keys, attrs=served(by_attribute), match=True)
     best = instances.top_instances(found, paths, k)
     return instances.assemble(best, instances.attribute_paths(dirty.spark, by_attribute))
 
@@ -85,9 +94,8 @@ def known_candidates(dirty: Catalog, table: str, by_attribute: dict[str, Sequenc
 def missing_candidates(dirty: Catalog, table: str, by_attribute: dict[str, Sequence[MetaPath]], k: int = 5, payload: Sequence[str] | bool = True) -> DataFrame:
     """Candidates of the null cells."""
     paths = all_paths(by_attribute)
-    carry = instances.cells_of(dirty, table, list(by_attribute), missing=True)
-    rows = instances.query_rows(dirty, table, paths, {"cells": carry}).where(F.size("cells") > 0)
-    found = instances.path_instances(dirty, rows, paths, payload=payload)
+    rows = instances.query_rows(dirty, table, paths, instances.missing(list(by_attribute)))
+    found = instances.path_instances(dirty, rows, paths, payload=payload, attrs=served(by_attribute))
     best = instances.top_instances(found, paths, k)
     return instances.assemble(best, instances.attribute_paths(dirty.spark, by_attribute)).drop("truth")
 
@@ -103,13 +111,15 @@ def impute(dirty: Catalog, table: str, by_attribute: dict[str, Sequence[MetaPath
 
     One exchange by query row serves weighting, voting and the choice of the answer.
     """
-    kept = {(r["attr"], r["path_id"]) for r in summary.select("attr", "path_id").distinct().collect()}
+    # schema-sized: a handful of (path, column) pairs per attribute
+    chosen = summary.select("attr", "path_id", "col").collect()
+    kept = {(r["attr"], r["path_id"]) for r in chosen}
     used = {a: [p for p in paths if (a, p.path_id) in kept] for a, paths in by_attribute.items()}
     used = {a: paths for a, paths in used.items() if paths}
     if not used:
         empty = dirty.spark.createDataFrame([], "qid string, attr string, value string, w double, r double")
         return dirty.table(table), empty
-    columns = sorted({r["col"] for r in summary.select("col").distinct().collect()})
+    columns = sorted({r["col"] for r in chosen})
     candidates = missing_candidates(dirty, table, used, payload=columns).repartition("qid")
     voted = vote.votes(score.softmax(score.default_score(candidates, summary)), summary)
     return vote.write_back(dirty, table, vote.answers(voted), list(used)), voted

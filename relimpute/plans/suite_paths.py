@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from relimpute.operators import discover, entity, graph, instances, profile, sample
 from relimpute.operators.graph import MetaPath
+from relimpute.plans import flows
 from relimpute.plans import sql as q
-from relimpute.plans.flows import missing_candidates
 from relimpute.plans.registry import Registry
 from relimpute.plans.star import star_catalog
 from relimpute.plans.suite_tables import clean, dirty, with_redundant_orders
@@ -147,7 +147,7 @@ _COPIED = ["o_custkey_c_name", "o_custkey_c_acctbal"]
 )
 def candidate_cells(spark: SparkSession, folder: str) -> DataFrame:
     catalog = dirty(with_redundant_orders(spark, folder), "orders")
-    found = missing_candidates(catalog, "orders", {a: paths_of(catalog, TO_CUSTOMER) for a in _COPIED})
+    found = flows.missing_candidates(catalog, "orders", {a: paths_of(catalog, TO_CUSTOMER) for a in _COPIED})
     return instances.candidate_cells(found).drop("row_ids")
 
 
@@ -170,9 +170,8 @@ def assembled(spark: SparkSession, folder: str) -> DataFrame:
     catalog = dirty(clean(spark, folder), "customer")
     by_attribute = customer_paths(catalog)
     paths = by_attribute[NATION_NAME]
-    carry = {"cells": instances.cells_of(catalog, "customer", [NATION_NAME], missing=False)}
-    rows = instances.query_rows(catalog, "customer", paths, carry).where(F.size("cells") > 0)
-    found = instances.path_instances(catalog, rows, paths)
+    rows = instances.query_rows(catalog, "customer", paths, instances.known(catalog, "customer", [NATION_NAME]))
+    found = instances.path_instances(catalog, rows, paths, attrs=flows.served(by_attribute))
     return instances.assemble(found, instances.attribute_paths(spark, by_attribute))
 
 

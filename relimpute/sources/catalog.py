@@ -91,6 +91,12 @@ def narrow_whole_numbers(df: DataFrame) -> DataFrame:
     )
 
 
+def dealt_out(df: DataFrame) -> DataFrame:
+    """One exchange for a table in fewer splits than cores; a table in enough splits is untouched."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 @dataclass
 class Catalog:
     """Tables with their key schema.
@@ -118,11 +124,13 @@ class Catalog:
         schemas: dict[str, T.StructType | str] | None = None,
         narrow: bool = True,
         prepare: Callable[[str, DataFrame], DataFrame] | None = None,
+        spread: Sequence[str] = (),
     ) -> Catalog:
         """Scan one file or folder per schema table.
 
         `overrides` reads a table from elsewhere (the dirty query table), `null_flag` names the
-        written form of a missing value, `schemas` avoids inference.
+        written form of a missing value, `schemas` avoids inference. Tables named in `spread` are
+        dealt out over the cores when their files offer fewer splits than there are cores.
         """
 
         def scan(name: str) -> DataFrame:
@@ -135,6 +143,8 @@ class Catalog:
                 if null_flag is not None:
                     reader = reader.option("nullValue", null_flag)
             df = lower_names(reader.load((overrides or {}).get(name, f"{path.rstrip('/')}/{name}.{fmt}")))
+            if name in spread:
+                df = dealt_out(df)
             if prepare is not None:
                 df = prepare(name, df)
             return narrow_whole_numbers(df) if narrow else df
