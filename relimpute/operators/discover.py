@@ -119,11 +119,9 @@ def minhash(catalog: Catalog, tables: Sequence[str] | None = None, permutations:
 
     `n` steers the choice of bands only, so a mergeable distinct-count sketch is enough for it.
     """
-    values = cell_values(catalog, column_refs(catalog, tables))
-    lows = [F.min(F.xxhash64("value", F.lit(i))) for i in range(permutations)]
-    return values.groupBy("id").agg(
-        F.approx_count_distinct("value", 0.01).alias("n"), F.array(*lows).alias("signature")
-    )
+    values = cell_values(catalog, column_refs(catalog, tables)).select("id", F.xxhash64("value").alias("h"))
+    lows = [F.min(F.xxhash64("h", F.lit(i))) for i in range(permutations)]
+    return values.groupBy("id").agg(F.approx_count_distinct("h").alias("n"), F.array(*lows).alias("signature"))
 
 
 def lsh_candidates(
