@@ -26,7 +26,7 @@ def hash_first_n(df: DataFrame, by: Sequence[str], hashed: str, n: Column) -> Da
 
     Hashes are uniform, so counts per four-digit prefix find the one prefix the cut falls in:
     rows above it are dropped where they are read, and ranks are taken inside single prefixes. `n`
-    may use the columns `by` and `rows` (the group size).
+    may use the columns `by` and `rows` (the group size). Groups are attributes, so few.
     """
     by = list(by)
     prefixed = df.withColumn("_prefix", F.substring(hashed, 1, 4))
@@ -52,10 +52,14 @@ def _orderable(df: DataFrame, column: str) -> bool:
 
 
 def _join_on(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
-    """Equi-join on `by`; with no group columns both sides get one constant key."""
+    """Equi-join with a table of one or a few rows per group; no groups at all means one group.
+
+    Groups here are attributes, methods and measures, names that come from a schema, so `right`
+    is broadcast: a shuffle by group would put most of `left` on one task.
+    """
     if by:
-        return left.join(right, by)
-    return left.withColumn("_one", F.lit(1)).join(right.withColumn("_one", F.lit(1)), "_one").drop("_one")
+        return left.join(F.broadcast(right), by)
+    return left.withColumn("_one", F.lit(1)).join(F.broadcast(right.withColumn("_one", F.lit(1))), "_one").drop("_one")
 
 
 def positions(df: DataFrame, order: Sequence[str], name: str = "position") -> DataFrame:
@@ -94,6 +98,8 @@ def hashed_ids(df: DataFrame, key: Sequence[str], name: str = "id") -> DataFrame
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], derived: bool = True) -> DataFrame:
     """Linearly interpolated quantiles as rows (`by`, p, n, quantile), exact at any group size.
 
+    Groups are attributes, methods or measures, so few however large each is.
+
     A mergeable sketch brackets each quantile, counting below the bracket fixes the rank, and only
     the rows inside the bracket are sorted. If the counts show that a bracket missed, the next
     wider one is used; the widest spans the group. The values are read three times; `derived`

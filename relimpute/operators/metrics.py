@@ -154,10 +154,10 @@ def js_distance(judged_cells: DataFrame, by: Sequence[str] = ("method", "attr"),
         place = F.floor((x - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins)
         return F.when(x.between(F.col("_lo"), F.col("_hi")), F.least(place, F.lit(bins - 1)))
 
-    # one row per group on the joined side
     sides = F.array(F.struct(bin_of(F.col("_t")).alias("bin"), F.lit(1).alias("a"), F.lit(0).alias("b")),
                     F.struct(bin_of(F.col("_p")).alias("bin"), F.lit(0).alias("a"), F.lit(1).alias("b")))
-    opened = values.join(ends, by).select(*by, F.explode(sides).alias("s")).where(F.col("s.bin").isNotNull())
+    # one row per method and attribute
+    opened = values.join(F.broadcast(ends), by).select(*by, F.explode(sides).alias("s")).where(F.col("s.bin").isNotNull())
     counted = opened.groupBy(*by, "s.bin").agg(F.sum("s.a").alias("a"), F.sum("s.b").alias("b"))
     totals = counted.groupBy(*by).agg(F.sum("a").alias("_ta"), F.sum("b").alias("_tb"))
     x, y = F.col("a") / F.col("_ta"), F.col("b") / F.nullif(F.col("_tb"), F.lit(0))

@@ -133,7 +133,8 @@ def value_distribution(df: DataFrame, column: str) -> DataFrame:
     """(value, share) over the non-null values of a column."""
     counts = value_counts(df, [column], key_of=lambda v: v).where(F.col("value").isNotNull())
     totals = counts.groupBy("col").agg(F.sum("n").alias("total"))
-    return counts.join(totals, "col").select("value", (F.col("n") / F.col("total")).alias("share"))
+    # one row
+    return counts.join(F.broadcast(totals), "col").select("value", (F.col("n") / F.col("total")).alias("share"))
 
 
 def modes(df: DataFrame, columns: list[str]) -> DataFrame:
