@@ -11,6 +11,7 @@ from relimpute.functions.text import is_value, short_key, texts
 from relimpute.sources.catalog import Catalog
 
 RARE = 4
+STATS = "attr string, max double, min double, mean double, std double, median double, ndv bigint"
 
 
 def value_counts(df: DataFrame, columns: list[str], key_of=short_key) -> DataFrame:
@@ -116,6 +117,8 @@ def dtype_report(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def clean_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     """(attr, max, min, mean, std, median, ndv) of numeric columns; a null counts as a value."""
+    if not columns:
+        return df.sparkSession.createDataFrame([], STATS)
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "attr", "v")
     counted = long.groupBy("attr", "v").agg(F.count(F.lit(1)).alias("n"))
     # from value counts, so every group is small when it meets its reducer

@@ -57,6 +57,16 @@ def path_similarity(instances: DataFrame, paths: Sequence[MetaPath], embeddings:
     return instances.join(sims, ["qid", "path_id", "instance_id"], "left")
 
 
+def query_similarity(instances: DataFrame, paths: Sequence[MetaPath], queries: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """`instances` with `query_sim`, the cosine of the query row (`queries`: row_id, embedding) and the last node."""
+    goals = F.create_map(*[x for p in paths for x in (F.lit(p.path_id), F.lit(p.goal))])
+    ends = instances.withColumns({"_goal": F.element_at(goals, F.col("path_id")), "_last": F.element_at("row_ids", -1)})
+    asked = queries.select(F.col("row_id").alias("qid"), F.col("embedding").alias("_q"))
+    held = embeddings.select(F.col("table").alias("_goal"), F.col("row_id").alias("_last"), F.col("embedding").alias("_e"))
+    joined = ends.join(asked, "qid", "left").join(held, ["_goal", "_last"], "left")
+    return joined.select(*instances.columns, cosine(F.col("_q"), F.col("_e")).alias("query_sim"))
+
+
 def _matrix(vectors: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in vectors]) if len(vectors) else np.zeros((0, 1))
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relimpute.operators import denorm, discover, graph, induce, inject, instances, metrics, sample, score, vote
+from relimpute.operators import denorm, discover, features, graph, induce, inject, instances, metrics, sample, score, vectors, vote
 from relimpute.operators.graph import MetaPath
 from relimpute.session import cut_lineage
 from relimpute.sources.catalog import Catalog
@@ -73,7 +74,20 @@ def served(by_attribute: dict[str, Sequence[MetaPath]]) -> dict[str, list[str]]:
     return out
 
 
-def known_candidates(dirty: Catalog, table: str, by_attribute: dict[str, Sequence[MetaPath]], n: int = 0, k: int = 5, keys: bool = False) -> DataFrame:
+def compared(dirty: Catalog, table: str, by_attribute: dict[str, Sequence[MetaPath]], found: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """Instances with path and query similarity; the embedding of a query row leaves out what is asked."""
+    paths = all_paths(by_attribute)
+    similar = vectors.path_similarity(cut_lineage(found), paths, embeddings)
+    if set(by_attribute) >= set(dirty.descriptors(table)):
+        return similar
+    queries = features.row_embeddings(dirty, table, masked=list(by_attribute))
+    return vectors.query_similarity(similar, paths, queries, embeddings)
+
+
+def known_candidates(
+    dirty: Catalog, table: str, by_attribute: dict[str, Sequence[MetaPath]], n: int = 0, k: int = 5, keys: bool = False,
+    embeddings: DataFrame | None = None,
+) -> DataFrame:
     """Candidates of known cells with `hits`, the columns that hold the truth: n sampled cells per attribute, or all.
 
     Truth and candidate are compared where they meet, so candidate rows are not exchanged.
@@ -87,16 +101,26 @@ def known_candidates(dirty: Catalog, table: str, by_attribute: dict[str, Sequenc
         truths = [F.max(F.when(F.col("attr") == a, F.col("truth"))).alias(f"_t_{a}") for a in attributes]
         rows = rows.drop(*[f"_t_{a}" for a in attributes]).join(picked.groupBy("qid").agg(*truths), "qid")
     found = instances.path_instances(dirty, rows, paths, payload=True, keys=keys, attrs=served(by_attribute), match=True)
-    best = instances.top_instances(found, paths, k)
+    best = most_similar(dirty, table, by_attribute, found, k, embeddings)
     return instances.assemble(best, instances.attribute_paths(dirty.spark, by_attribute))
 
 
-def missing_candidates(dirty: Catalog, table: str, by_attribute: dict[str, Sequence[MetaPath]], k: int = 5, payload: Sequence[str] | bool = True) -> DataFrame:
+def most_similar(dirty, table, by_attribute, found: DataFrame, k: int, embeddings: DataFrame | None) -> DataFrame:
+    """The k most similar instances per query row and path, or the first k by id without embeddings."""
+    if embeddings is None:
+        return instances.top_instances(found, all_paths(by_attribute), k)
+    return instances.top_instances(compared(dirty, table, by_attribute, found, embeddings), all_paths(by_attribute), k, "sim")
+
+
+def missing_candidates(
+    dirty: Catalog, table: str, by_attribute: dict[str, Sequence[MetaPath]], k: int = 5, payload: Sequence[str] | bool = True,
+    embeddings: DataFrame | None = None,
+) -> DataFrame:
     """Candidates of the null cells."""
     paths = all_paths(by_attribute)
     rows = instances.query_rows(dirty, table, paths, instances.missing(list(by_attribute)))
     found = instances.path_instances(dirty, rows, paths, payload=payload, attrs=served(by_attribute))
-    best = instances.top_instances(found, paths, k)
+    best = most_similar(dirty, table, by_attribute, found, k, embeddings)
     return instances.assemble(best, instances.attribute_paths(dirty.spark, by_attribute)).drop("truth")
 
 
@@ -106,7 +130,29 @@ def induced_summary(dirty: Catalog, table: str, by_attribute: dict[str, Sequence
     return induce.settle(induce.path_summary(induce.matching_columns(weighted), k))
 
 
-def impute(dirty: Catalog, table: str, by_attribute: dict[str, Sequence[MetaPath]], summary: DataFrame) -> tuple[DataFrame, DataFrame]:
+def scored(candidates: DataFrame, by_attribute: dict[str, Sequence[MetaPath]], summary: DataFrame | None, scorer: PipelineModel | None) -> DataFrame:
+    """Candidates with the score of the fitted scorer, or else the prior of their path."""
+    if scorer is None:
+        return score.default_score(candidates, summary)
+    hops = {p.path_id: len(p.edges) for p in all_paths(by_attribute)}
+    return score.apply_scorer(scorer, score.scorer_features(candidates, hops, summary))
+
+
+def train_scorer(
+    dirty: Catalog, table: str, by_attribute: dict[str, Sequence[MetaPath]], summary: DataFrame | None = None, n: int = 800,
+    embeddings: DataFrame | None = None,
+) -> PipelineModel:
+    """Fit the scorer on labelled candidates of the training share of sampled known cells."""
+    candidates = score.label_candidates(known_candidates(dirty, table, by_attribute, n, embeddings=embeddings))
+    share = sample.split_of(F.concat("qid", "attr"), sample.SAMPLE_SPLIT)
+    hops = {p.path_id: len(p.edges) for p in all_paths(by_attribute)}
+    return score.fit_scorer(cut_lineage(score.scorer_features(candidates.where(share == "train"), hops, summary)))
+
+
+def impute(
+    dirty: Catalog, table: str, by_attribute: dict[str, Sequence[MetaPath]], summary: DataFrame, embeddings: DataFrame | None = None,
+    scorer: PipelineModel | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """(imputed table, votes): weigh the candidates of every null cell, vote, write back.
 
     One exchange by query row serves weighting, voting and the choice of the answer.
@@ -120,8 +166,8 @@ def impute(dirty: Catalog, table: str, by_attribute: dict[str, Sequence[MetaPath
         empty = dirty.spark.createDataFrame([], "qid string, attr string, value string, w double, r double")
         return dirty.table(table), empty
     columns = sorted({r["col"] for r in chosen})
-    candidates = missing_candidates(dirty, table, used, payload=columns).repartition("qid")
-    voted = vote.votes(score.softmax(score.default_score(candidates, summary)), summary)
+    candidates = missing_candidates(dirty, table, used, payload=columns, embeddings=embeddings).repartition("qid")
+    voted = vote.votes(score.softmax(scored(candidates, used, summary, scorer)), summary)
     return vote.write_back(dirty, table, vote.answers(voted), list(used)), voted
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from relimpute.functions.text import normalize_value, values_equal
-from relimpute.operators import induce, metrics, profile, sample, score, vote
+from relimpute.operators import features, induce, metrics, profile, sample, score, vote
 from relimpute.operators.graph import MetaPath
 from relimpute.plans import flows
 from relimpute.plans import sql as q
@@ -15,6 +15,7 @@ from relimpute.plans.registry import Registry
 from relimpute.plans.star import star_catalog
 from relimpute.plans.suite_paths import CUSTOMER_KNOWN, CUSTOMER_PATHS, HOME, NATION_NAME, TO_CUSTOMER, customer_paths, paths_of
 from relimpute.plans.suite_tables import VALUE_TABLES, clean, dirty, with_redundant_orders
+from relimpute.session import cut_lineage
 from relimpute.sources.catalog import Catalog
 
 suite = Registry()
@@ -86,8 +87,11 @@ def split_loss(spark: SparkSession, folder: str) -> DataFrame:
 
 @suite.add("scorer_fit")
 def scorer_fit(spark: SparkSession, folder: str) -> DataFrame:
-    """A scorer fitted on labelled candidates, and the weights it gives them."""
-    featured = score.scorer_features(score.label_candidates(candidates(spark, folder)), HOPS)
+    """A scorer fitted on the similarities of labelled candidates, and the weights it gives them."""
+    catalog = dirty(clean(spark, folder), "customer")
+    vectors_of = features.database_embeddings(catalog, "customer", ["nation", "supplier", "orders"])
+    found = flows.known_candidates(catalog, "customer", customer_paths(catalog), embeddings=vectors_of)
+    featured = cut_lineage(score.scorer_features(score.label_candidates(found), HOPS))
     scored = score.apply_scorer(score.fit_scorer(featured), featured)
     return score.softmax(scored).select("qid", "attr", "path_id", "instance_id", "label", F.round("weight", 4).alias("weight"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from relimpute.functions.hashing import draw
-from relimpute.operators import induce, instances, metrics, sample, score, vote
+from relimpute.operators import features, induce, instances, metrics, sample, score, vote
 from relimpute.operators.graph import parse_path
 from relimpute.plans import flows, suites
 from relimpute.plans.star import star_catalog
@@ -142,6 +142,23 @@ def test_weights_sum_to_one_along_all_paths(spark):
     assert instances.top_instances(found, paths, 5).count() == found.count()
 
 
+def test_fitted_scorer_prefers_rows_that_hold_the_truth(spark):
+    data = flows.make_dirty(star_catalog(spark, FOLDER), "customer", min_refs=1, also=["supplier"])
+    labels = ("customer>(c_nationkey,n_nationkey)>nation", "customer>(c_custkey,o_custkey)>orders")
+    by_attribute = {"c_nationkey_n_name": [parse_path(data.dirty, label) for label in labels]}
+    stored = features.database_embeddings(data.dirty, "customer", ["nation", "orders"])
+    assert stored.where("table = 'customer'").isEmpty()
+    scorer = flows.train_scorer(data.dirty, "customer", by_attribute, n=0, embeddings=stored)
+    summary = spark.createDataFrame([("c_nationkey_n_name", by_attribute["c_nationkey_n_name"][0].path_id, "n_name", 1, 1.0)], induce.PATH_SUMMARY)
+    found = flows.known_candidates(data.dirty, "customer", by_attribute, embeddings=stored)
+    weighted_ = score.softmax(flows.scored(found, by_attribute, None, scorer))
+    means = {r["held"]: r["w"] for r in weighted_.groupBy(F.col("hits").isNotNull().alias("held")).agg(F.avg("weight").alias("w")).collect()}
+    assert means[True] > means[False]
+    imputed, _ = flows.impute(data.dirty, "customer", by_attribute, summary, stored, scorer)
+    report = flows.report(data, imputed, "scored", list(by_attribute)).where("attr <> 'all'").first()
+    assert report["accuracy"] == 1.0
+
+
 def test_registry_is_consistent():
     names = set(suites.all_queries())
     assert set(suites.all_sql()) <= names
