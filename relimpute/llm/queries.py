@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from relimpute.llm import line_dedup
+from relimpute.llm import decontaminate, jaccard, line_dedup, packing
 from relimpute.plans.registry import Registry
 
 suite = Registry()
@@ -17,3 +18,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 @suite.add("op2_line_dedup", line_dedup.SQL)
 def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.line_dedup_digest(table(spark, folder, "documents"), min_docs=10)
+
+
+@suite.add("op4_packing")
+def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), capacity=2048)
+
+
+@suite.add("op6_jaccard_join", jaccard.SQL)
+def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.jaccard_join(table(spark, folder, "documents"), k=5, percent=75)
+
+
+@suite.add("op7_decontamination", decontaminate.SQL)
+def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.decontaminate_digest(table(spark, folder, "documents"), table(spark, folder, "benchmark"), size=10)
