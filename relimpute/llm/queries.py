@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from relimpute.llm import decontaminate, jaccard, line_dedup, packing
+from relimpute.llm import decontaminate, jaccard, language_id, language_model, line_dedup, packing, token_counts, toxicity, vector_dedup
 from relimpute.plans.registry import Registry
 
 suite = Registry()
@@ -15,6 +15,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@suite.add("op1_language_id")
+def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.language_id(table(spark, folder, "documents"), folds=4, held_out=2)
+
+
 @suite.add("op2_line_dedup", line_dedup.SQL)
 def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.line_dedup_digest(table(spark, folder, "documents"), min_docs=10)
@@ -25,6 +30,11 @@ def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), capacity=2048)
 
 
+@suite.add("op5_vector_dedup", vector_dedup.SQL)
+def op5_vector_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_dedup.vector_dedup(table(spark, folder, "embeddings"), least=0.9)
+
+
 @suite.add("op6_jaccard_join", jaccard.SQL)
 def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.jaccard_join(table(spark, folder, "documents"), k=5, percent=75)
@@ -33,3 +43,18 @@ def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 @suite.add("op7_decontamination", decontaminate.SQL)
 def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.decontaminate_digest(table(spark, folder, "documents"), table(spark, folder, "benchmark"), size=10)
+
+
+@suite.add("op8_lm_scores")
+def op8_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return language_model.lm_scores(table(spark, folder, "documents"), folds=7, held_out=2)
+
+
+@suite.add("op9_token_counts")
+def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+@suite.add("op10_toxicity")
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"), folds=5, held_out=0)
