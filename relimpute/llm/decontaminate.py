@@ -5,23 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relimpute.llm.tables import ascii_lower, stored, taken
+from relimpute.llm.tables import ascii_lower, sent_if_small, stored, taken
 
 #: What lies between words, after A-Z are in lower case: all of ASCII but digits and letters.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Rows of a table on window words up to which it is sent to every task; above, Spark joins by exchange.
-SENT_ROWS = 500_000
 
 
 def words_of(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), BETWEEN), "")
 
 
-def small(df: DataFrame) -> DataFrame:
-    """Marked for broadcast if its measured size allows it."""
-    return F.broadcast(df) if df.count() <= SENT_ROWS else df
-
-
 def item_windows(items: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """item_id (text), key (the words, joined by spaces), n: every run of `size` words, or a shorter item as a whole."""
     split = taken(items, item_id=id_col, text=text_col).where("item_id IS NOT NULL").select(F.col("item_id").cast("string"), words_of(F.col("text")).alias("words"))
@@ -37,7 +30,7 @@ def rarest_words(windows: DataFrame, docs: DataFrame) -> DataFrame:
     """
     spelled = windows.select("key", "n").distinct().select("key", "n", F.posexplode(F.split("key", " ")).alias("at", "word"))
     vocabulary = stored(spelled.select("word").distinct(), "bench-words")
-    counts = docs.select(F.explode("words").alias("word")).join(small(vocabulary), "word").groupBy("word").agg(F.count(F.lit(1)).alias("seen"))
+    counts = docs.select(F.explode("words").alias("word")).join(sent_if_small(vocabulary), "word").groupBy("word").agg(F.count(F.lit(1)).alias("seen"))
     first = spelled.join(counts, "word").groupBy("key", "n").agg(F.count(F.lit(1)).alias("found"), F.min(F.struct("seen", "word", "at")).alias("rare"))
     return first.where("found = n").select(F.col("rare.word").alias("word"), F.col("rare.at").alias("at"), "n", "key", F.xxhash64("key").alias("wid"))
 
@@ -60,7 +53,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc
     windows = stored(item_windows(items, item_id, item_text, size), "windows")
     rare = stored(rarest_words(windows, rows), "rarest")
     spread = rows.select("doc_id", "version", "words", F.size("words").alias("n_words"), F.posexplode_outer("words").alias("pos", "word"))
-    proposed = spread.join(small(rare), "word", "left")
+    proposed = spread.join(sent_if_small(rare), "word", "left")
     start = F.col("pos") - F.col("at")
     inside = F.col("wid").isNotNull() & (start >= 0) & (start + F.col("n") <= F.col("n_words"))
     same = inside & (F.array_join(F.slice("words", F.greatest(start, F.lit(0)) + 1, F.coalesce("n", F.lit(1))), " ") == F.col("key"))

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relimpute.llm.components import components
-from relimpute.llm.tables import partitions, stored, taken
-from relimpute.llm.words import mix, shingle_hashes, word_hashes
+from relimpute.llm.tables import partitions, sent_if_small, stored, taken
+from relimpute.llm.words import mix, shingle_hashes, slices, word_hashes
 
 U64 = np.uint64
 #: Frequent shingles that the order of shingles takes into account: 8 bytes each in every task.
@@ -38,15 +38,15 @@ def set_key(shingles: np.ndarray) -> np.uint64:
 
 
 def keyed_rows(docs: DataFrame, k: int) -> DataFrame:
-    """Per row doc_id, n (set size) and set_key (NULL if empty); besides, rows (token, times) on shingles frequent within a batch."""
+    """Per row doc_id, n (set size), set_key (NULL if empty) and bits; besides, rows (token, times) on shingles frequent within a batch."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             sets = list(row_sets(batch.column("text"), k))
             n = np.array([len(s) for s in sets], np.int64)
             keys = np.array([set_key(s) for s in sets], U64).view(np.int64)
             token, times = np.unique(np.concatenate(sets), return_counts=True) if len(sets) else (np.zeros(0, U64), np.zeros(0, np.int64))
-            often = times >= max(3, len(sets) // 500)
+            often = times >= 3
             token, times = token[often].view(np.int64), times[often]
             there, more = len(sets), len(token)
             yield pa.record_batch(
@@ -54,14 +54,15 @@ def keyed_rows(docs: DataFrame, k: int) -> DataFrame:
                     pa.concat_arrays([batch.column("doc_id"), pa.nulls(more, batch.column("doc_id").type)]),
                     pa.array(np.r_[n, np.zeros(more, np.int64)], mask=np.r_[np.zeros(there, bool), np.ones(more, bool)]),
                     pa.array(np.r_[keys, np.zeros(more, np.int64)], mask=np.r_[n == 0, np.ones(more, bool)]),
+                    pa.array([bitmap(s).tobytes() if len(s) else None for s in sets] + [None] * more, pa.binary()),
                     pa.array(np.r_[np.zeros(there, np.int64), token], mask=np.r_[np.ones(there, bool), np.zeros(more, bool)]),
                     pa.array(np.r_[np.zeros(there, np.int64), times], mask=np.r_[np.ones(there, bool), np.zeros(more, bool)]),
                 ],
-                names=["doc_id", "n", "set_key", "token", "times"],
+                names=["doc_id", "n", "set_key", "bits", "token", "times"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, n bigint, set_key bigint, token bigint, times bigint")
+    return docs.mapInArrow(run, f"doc_id {kind}, n bigint, set_key bigint, bits binary, token bigint, times bigint")
 
 
 def prefix_tiles(docs: DataFrame, k: int, percent: int, tiles: int, frequent: np.ndarray) -> DataFrame:
@@ -87,7 +88,7 @@ def prefix_tiles(docs: DataFrame, k: int, percent: int, tiles: int, frequent: np
 
     def run(batches):
         met: set[int] = set()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             tokens, keys = [], []
             for shingles in row_sets(batch.column("text"), k):
                 if not len(shingles) or (key := int(set_key(shingles))) in met:
@@ -112,7 +113,10 @@ def prefix_tiles(docs: DataFrame, k: int, percent: int, tiles: int, frequent: np
 
 
 def shared_runs(tiles: DataFrame) -> DataFrame:
-    """run, head, member: sets with a prefix shingle in common, as links of the smallest one (head) to each other one."""
+    """run, head, member: sets with a prefix shingle in common, as links of the smallest one (head) to each other one.
+
+    A run is named by its sets, so that shingles shared by the same sets make one run.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         token = np.concatenate([np.frombuffer(x.as_py(), U64) for x in table.column("tokens")])
@@ -124,7 +128,6 @@ def shared_runs(tiles: DataFrame) -> DataFrame:
         first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
         size = np.diff(np.r_[first, len(token)])
         first, size = first[size > 1], size[size > 1]
-        # Runs of the same sets need one copy in a tile.
         with np.errstate(over="ignore"):
             sums = np.concatenate([[U64(0)], np.cumsum(mix(key))])
             same = mix(sums[first + size] - sums[first] + size.astype(U64))
@@ -132,14 +135,14 @@ def shared_runs(tiles: DataFrame) -> DataFrame:
         first, size = first[pick], size[pick]
         rest = size - 1
         inner = np.arange(int(rest.sum())) - np.repeat(np.cumsum(rest) - rest, rest)
-        return pa.table({"run": np.repeat(token[first], rest).view(np.int64), "head": np.repeat(key[first], rest).view(np.int64), "member": key[np.repeat(first + 1, rest) + inner].view(np.int64)})
+        return pa.table({"run": np.repeat(same[pick], rest).view(np.int64), "head": np.repeat(key[first], rest).view(np.int64), "member": key[np.repeat(first + 1, rest) + inner].view(np.int64)})
 
-    return tiles.groupBy("tile").applyInArrow(run, "run bigint, head bigint, member bigint")
+    return tiles.groupBy("tile").applyInArrow(run, "run bigint, head bigint, member bigint").distinct()
 
 
-def bitmap(shingles: np.ndarray) -> np.ndarray:
-    """A bit for every shingle, in a width of the power of two from twice the set's size."""
-    width = 1 << max(6, (2 * len(shingles) - 1).bit_length())
+def bitmap(shingles: np.ndarray, spread: int = 4) -> np.ndarray:
+    """A bit for every shingle, in a width of the power of two from `spread` times the set's size."""
+    width = 1 << max(6, (spread * len(shingles) - 1).bit_length())
     bits = np.zeros(width, np.uint8)
     bits[(shingles % U64(width)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little")
@@ -168,60 +171,58 @@ def may_link(n_a, bits_a, n_b, bits_b, percent: int) -> np.ndarray:
         return ok
     width = min(min(map(len, bits_a)), min(map(len, bits_b))) * 8
     a, b = np.stack([folded(x, width) for x in bits_a]), np.stack([folded(x, width) for x in bits_b])
-    only_a, only_b = np.zeros(ok.shape, np.int32), np.zeros(ok.shape, np.int32)
-    for i in range(a.shape[1]):
-        x, y = a[:, i][:, None], b[:, i][None, :]
-        only_a += np.bitwise_count(x & ~y)
-        only_b += np.bitwise_count(y & ~x)
-    return ok & (np.minimum(n_a - only_a, n_b - only_b) >= least)
+    for r in np.flatnonzero(ok.any(axis=1)):
+        c = np.flatnonzero(ok[r])
+        only_a = np.bitwise_count(a[r] & ~b[c]).sum(axis=1, dtype=np.int64)
+        only_b = np.bitwise_count(b[c] & ~a[r]).sum(axis=1, dtype=np.int64)
+        ok[r, c] = np.minimum(n_a[r] - only_a, n_b[0, c] - only_b) >= least[r, c]
+    return ok
 
 
-def involved_sets(docs: DataFrame, rows: DataFrame, runs: DataFrame, k: int) -> DataFrame:
-    """set_key, n, bits, shingles (sorted, 8 bytes each) of the sets that stand in a run, each from one document."""
-    wanted = runs.select(F.col("head").alias("set_key")).union(runs.select("member")).distinct()
-    holder = rows.join(wanted, "set_key", "left_semi").groupBy("set_key").agg(F.min("doc_id").alias("_holder")).select("_holder").distinct()
-    texts = docs.join(holder, docs["doc_id"].eqNullSafe(holder["_holder"]), "left_semi").select("text")
+def bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that the sizes, and then the bitmaps, of `sets` (set_key, n, bits) leave."""
+    side = lambda c, *more: sets.select(F.col("set_key").alias(c), *[F.col(m).alias(f"{m}_{c}") for m in more])
+    fits = (F.col("n_a") * percent <= F.col("n_b") * 100) & (F.col("n_b") * percent <= F.col("n_a") * 100)
+    near = pairs.join(side("a", "n"), "a").join(side("b", "n"), "b").where(fits)
+    both = near.join(side("a", "bits"), "a").join(side("b", "bits"), "b")
 
     def run(batches):
-        met: set[int] = set()
         for batch in batches:
-            sets = []
-            for shingles in row_sets(batch.column("text"), k):
-                if len(shingles) and (key := int(set_key(shingles))) not in met:
-                    met.add(key)
-                    sets.append((key, shingles))
+            keep = []
+            for n_a, bits_a, n_b, bits_b in zip(*(batch.column(c) for c in ("n_a", "bits_a", "n_b", "bits_b")), strict=True):
+                x, y = np.frombuffer(bits_a.as_buffer(), np.uint8), np.frombuffer(bits_b.as_buffer(), np.uint8)
+                keep.append(bool(may_link([n_a.as_py()], [x], [n_b.as_py()], [y], percent)[0, 0]))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("a", "b", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(run, "a bigint, b bigint")
+
+
+def read_sets(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """set_key, n, bits (wide) and shingles (sorted, 8 bytes each) of the sets in `pairs`, read again from one document each."""
+    wanted = pairs.select(F.col("a").alias("set_key")).union(pairs.select("b")).distinct()
+    holders = stored(sets.select("set_key", "least").join(wanted, "set_key", "left_semi").select("least").distinct(), "holders")
+    texts = docs.join(sent_if_small(holders), docs["doc_id"].eqNullSafe(F.col("least")), "left_semi").select("text")
+
+    def read(batches):
+        for batch in (part for whole in batches for part in slices(whole)):
+            found = [s for s in row_sets(batch.column("text"), k) if len(s)]
             yield pa.record_batch(
                 [
-                    pa.array(np.array([key for key, _ in sets], U64).view(np.int64)),
-                    pa.array([len(s) for _, s in sets], pa.int64()),
-                    pa.array([bitmap(s).tobytes() for _, s in sets], pa.binary()),
-                    pa.array([s.tobytes() for _, s in sets], pa.binary()),
+                    pa.array(np.array([set_key(s) for s in found], U64).view(np.int64)),
+                    pa.array([len(s) for s in found], pa.int64()),
+                    pa.array([bitmap(s, 16).tobytes() for s in found], pa.binary()),
+                    pa.array([s.tobytes() for s in found], pa.binary()),
                 ],
                 names=["set_key", "n", "bits", "shingles"],
             )
 
-    return texts.mapInArrow(run, "set_key bigint, n bigint, bits binary, shingles binary").dropDuplicates(["set_key"])
-
+    return texts.mapInArrow(read, "set_key bigint, n bigint, bits binary, shingles binary").dropDuplicates(["set_key"])
 
-def bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that sizes and bitmaps leave."""
-    side = lambda c: sets.select(F.col("set_key").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
-    fits = F.col("n_a") * percent <= F.col("n_b") * 100
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where(fits & (F.col("n_b") * percent <= F.col("n_a") * 100))
-
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for n_a, bits_a, n_b, bits_b in zip(*(batch.column(c).to_pylist() for c in ("n_a", "bits_a", "n_b", "bits_b")), strict=True):
-                keep.append(bool(may_link([n_a], [np.frombuffer(bits_a, np.uint8)], [n_b], [np.frombuffer(bits_b, np.uint8)], percent)[0, 0]))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.select("a", "b", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(run, "a bigint, b bigint")
 
-
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sorted sets overlap enough."""
-    side = lambda c: sets.select(F.col("set_key").alias(c), F.col("shingles").alias(f"s_{c}"))
+def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sorted sets overlap enough; wider bitmaps first leave few to intersect."""
+    whole = stored(read_sets(pairs, sets, docs, k), "whole-sets")
+    side = lambda c: whole.select(F.col("set_key").alias(c), F.col("shingles").alias(f"s_{c}"))
 
     def run(batches):
         for batch in batches:
@@ -232,36 +233,34 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b").mapInArrow(run, "a bigint, b bigint")
+    close = bounded(pairs, whole, percent)
+    return close.join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b").mapInArrow(run, "a bigint, b bigint")
 
 
 def across(runs: DataFrame, sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of a run that lie in different components so far and pass the bit bound.
 
-    Runs whose sets are all in one component are done. The others are cut into blocks by key; every pair of
-    blocks is one group, tiles of similar sizes are compared as matrices, and only pairs that may link leave it.
+    Runs whose sets are all in one component are done, and so are pairs with a run's head. The others are cut into
+    blocks by key; every pair of blocks is compared in tiles of similar size, as matrices, and only pairs that
+    may link leave it. Short runs share a group, a pair of blocks of a long run is a group of its own.
     """
     root = lambda c: found.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
     labelled = runs.join(root("head"), "head", "left").join(root("member"), "member", "left")
-    apart = F.coalesce("root_head", "head") != F.coalesce("root_member", "member")
-    labelled = labelled.select("run", "head", "member", F.coalesce("root_head", "head").alias("root_head"), F.coalesce("root_member", "member").alias("root"), apart.alias("apart"))
-    sizes = labelled.groupBy("run", "head", "root_head").agg(F.count(F.lit(1)).alias("size"), F.max("apart").alias("open")).where("open")
-    sizes = stored(sizes.withColumn("blocks", F.ceil((F.col("size") + 1) / BLOCK).cast("int")).drop("open"), "open-runs")
-    rows = labelled.join(sizes.select("run", "head", "blocks"), ["run", "head"]).select("run", "head", "blocks", F.col("member").alias("set_key"), "root")
-    rows = rows.unionByName(sizes.select("run", "head", "blocks", F.col("head").alias("set_key"), F.col("root_head").alias("root")))
+    labelled = labelled.select("run", "member", F.coalesce("root_head", "head").alias("root_head"), F.coalesce("root_member", "member").alias("root"))
+    sizes = labelled.groupBy("run").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
+    # A run of which all but the head are in one component has no pair left.
+    sizes = stored(sizes.where("size > 1 AND low <> high").select("run", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "open-runs")
+    rows = labelled.join(sizes, "run").select("run", "blocks", F.col("member").alias("set_key"), "root")
     own = F.pmod(F.xxhash64("set_key"), "blocks").cast("int")
-    other = F.sequence(F.lit(0), F.col("blocks") - 1)
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(other))
-    rows = rows.select("run", "head", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set_key", "root").join(sets.select("set_key", "n", "bits"), "set_key")
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    groups = 16 * int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shared = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("run"), F.lit(groups))).otherwise(F.col("run"))
+    rows = rows.select(shared.alias("group"), "run", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set_key", "root").join(sets.select("set_key", "n", "bits"), "set_key")
 
-    def run(table: pa.Table) -> pa.Table:
-        i, j, own = (table.column(c).to_numpy() for c in ("i", "j", "own"))
-        n, key, root = (table.column(c).to_numpy() for c in ("n", "set_key", "root"))
-        bits = [np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("bits")]
+    def pairs_of(n, bits, root, own, i, j):
         order = np.argsort(n, kind="stable")
-        within = i[0] == j[0]
-        left, right = (order, order) if within else (order[own[order] == i[0]], order[own[order] == j[0]])
-        out_a, out_b = [], []
+        within = i == j
+        left, right = (order, order) if within else (order[own[order] == i], order[own[order] == j])
         for p in range(0, len(left), SIDE):
             a = left[p : p + SIDE]
             for q in range(p if within else 0, len(right), SIDE):
@@ -271,15 +270,23 @@ def across(runs: DataFrame, sets: DataFrame, found: DataFrame, percent: int) ->
                 if n[b[-1]] * 100 < n[a[0]] * percent:
                     continue
                 differ = root[a][:, None] != root[b][None, :]
-                if not differ.any():
-                    continue
-                x, y = np.nonzero(differ & may_link(n[a], [bits[r] for r in a], n[b], [bits[r] for r in b], percent))
-                out_a.append(key[a[x]])
-                out_b.append(key[b[y]])
-        a, b = (np.concatenate(o) if o else np.zeros(0, np.int64) for o in (out_a, out_b))
+                if differ.any():
+                    x, y = np.nonzero(differ & may_link(n[a], [bits[r] for r in a], n[b], [bits[r] for r in b], percent))
+                    yield a[x], b[y]
+
+    def run(table: pa.Table) -> pa.Table:
+        i, j, own, n, key, root, name = (table.column(c).to_numpy() for c in ("i", "j", "own", "n", "set_key", "root", "run"))
+        bits = [np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("bits")]
+        order = np.argsort(name, kind="stable")
+        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for part in np.split(order, np.flatnonzero(np.diff(name[order])) + 1):
+            for x, y in pairs_of(n[part], [bits[r] for r in part], root[part], own[part], i[part[0]], j[part[0]]):
+                out_a.append(key[part[x]])
+                out_b.append(key[part[y]])
+        a, b = np.concatenate(out_a), np.concatenate(out_b)
         return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
 
-    return rows.groupBy("run", "head", "i", "j").applyInArrow(run, "a bigint, b bigint").distinct()
+    return rows.groupBy("group", "i", "j").applyInArrow(run, "a bigint, b bigint").distinct()
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
@@ -301,23 +308,23 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     docs = taken(docs, doc_id=id_col, text=text_col)
     keyed = stored(keyed_rows(docs, k), "sets")
-    rows = keyed.where("token IS NULL").select("doc_id", "n", "set_key")
+    rows = keyed.where("token IS NULL").select("doc_id", "n", "set_key", "bits")
     frequent = keyed.where("token IS NOT NULL").groupBy("token").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "token").limit(FREQUENT).select("token").toPandas()
     frequent = frequent["token"].to_numpy(np.int64)[::-1].copy().view(U64)
     total = rows.agg(F.sum("n")).first()[0] or 0
     tiles = 4 * partitions(spark, math.ceil(total * (100 - percent) / 100), 4 * TILE)
     runs = stored(shared_runs(prefix_tiles(docs, k, percent, tiles, frequent)), "runs")
-    sets = stored(involved_sets(docs, rows, runs, k), "involved")
+    by_set = rows.where("set_key IS NOT NULL").groupBy("set_key")
+    sets = stored(by_set.agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bits").alias("bits")), "distinct-sets")
 
     star = runs.select(F.greatest("head", "member").alias("a"), F.least("head", "member").alias("b")).distinct()
-    links = stored(verified(bounded(star, sets, percent), sets, percent), "star-links")
+    links = stored(verified(stored(bounded(star, sets, percent), "star-pairs"), sets, docs, k, percent), "star-links")
     found = components(links, "star")
-    more = stored(verified(across(runs, sets, found, percent), sets, percent), "cross-links")
+    more = stored(verified(stored(across(runs, sets, found, percent), "cross-pairs"), sets, docs, k, percent), "cross-links")
     if not more.isEmpty():
         found = components(links.unionByName(more), "sets-linked")
 
-    by_set = rows.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("least"))
-    rooted = by_set.join(found.select(F.col("node").alias("set_key"), "root"), "set_key", "left").select("set_key", "least", F.coalesce("root", "set_key").alias("root"))
+    rooted = sets.select("set_key", "least").join(found.select(F.col("node").alias("set_key"), "root"), "set_key", "left").select("set_key", "least", F.coalesce("root", "set_key").alias("root"))
     rooted = stored(rooted, "rooted")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     label = rooted.select("set_key", "root").join(least, "root").select("set_key", "component_id")

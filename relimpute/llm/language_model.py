@@ -12,15 +12,13 @@ from pyspark.sql import functions as F
 
 from relimpute.llm.files import read_array, write_array
 from relimpute.llm.tables import crc_fold, partitions, shared_folder, stored, taken
-from relimpute.llm.words import mix, word_hashes
+from relimpute.llm.words import mix, slices, word_hashes
 
 U64 = np.uint64
 #: The token after the last word of a text. No word has this hash but by chance.
 END = U64(0xE7D0E7D0E7D0E7D1)
 #: Word occurrences per shard of the vocabulary and of the word pairs, about.
 SHARD = 1 << 22
-#: Tokens looked up together.
-TOGETHER = 1 << 19
 UNSEEN = np.int64(-1)
 
 
@@ -144,15 +142,6 @@ def texts_with_ends(column) -> tuple[np.ndarray, np.ndarray]:
     return out, at
 
 
-def slices(batch: pa.RecordBatch):
-    """Parts of a batch of about TOGETHER tokens, by the length of the texts."""
-    sizes = np.array([len(x.as_buffer()) + 1 if x.is_valid else 1 for x in batch.column("text")])
-    group = np.cumsum(sizes) // (6 * TOGETHER)
-    for g in np.unique(group):
-        where = np.flatnonzero(group == g)
-        yield batch.slice(int(where[0]), len(where))
-
-
 def count_words(train: DataFrame) -> DataFrame:
     """word (hash), n over all texts, the end included."""
 

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from relimpute.session import ensure_checkpoint_dir
 
+#: Rows of a narrow table up to which it is sent to every task.
+SENT_ROWS = 500_000
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named in `spark.checkpoint.dir`; a private one only where it is unset on a local master."""
@@ -41,6 +44,11 @@ def partitions(spark: SparkSession, rows: int, each: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / each))
 
 
+def sent_if_small(df: DataFrame) -> DataFrame:
+    """Marked for broadcast if its counted rows (narrow ones) allow it; otherwise Spark joins as it sees fit."""
+    return F.broadcast(df) if df.count() <= SENT_ROWS else df
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case, all other characters as they are."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -50,6 +50,16 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), at
 
 
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 22):
+    """Parts of a batch with about `most` bytes of text each; a longer text is a part of its own."""
+    at = text_buffers(batch.column(column))[1]
+    group = (at[1:] - at[0]) // most
+    cuts = np.r_[0, np.flatnonzero(np.diff(group)) + 1, len(group)]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if b > a:
+            yield batch.slice(int(a), int(b - a))
+
+
 def word_hashes(column: pa.Array, blank: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all rows, A-Z as a-z, and where each row's words begin (rows + 1 entries)."""
     data, at = text_buffers(column)
