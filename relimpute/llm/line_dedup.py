@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relimpute.llm.tables import ascii_lower, taken
+from relimpute.llm.tables import ascii_lower, stored
 
 #: Space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -21,11 +21,11 @@ def key_hash(key: Column) -> Column:
     return F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit(1), key).alias("b"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, keep: list[str] | None = None) -> DataFrame:
     """Drop every line whose key is found in at least `min_docs` documents.
 
     Returns one row per input row: doc_id, text (the lines that stay, joined by a line feed), n_lines
-    (before dropping) and n_dropped. Every document contributes a key once, however often it
+    (before dropping), n_dropped, and the columns named in `keep`. Every document contributes a key once, however often it
     repeats a line; documents count as rows, so a repeated row counts again, and rows of
     one doc_id or without one are documents of their own. NULL and empty texts have one empty line. Keys under
     `min_chars` code points are never dropped. Empty tables give empty results; other columns are ignored.
@@ -35,24 +35,25 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     back to their documents repeats a hot hash on one side only, where Spark splits it; their lines
     are then cut out of the text in place, which keeps positions without sorting.
     """
-    spark = docs.sparkSession
-    rows = taken(docs, doc_id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
+    rows = docs.select(docs[f"`{id_col}`"].alias("doc_id"), F.coalesce(docs[f"`{text_col}`"], F.lit("")).alias("text"), F.struct(*[docs[f"`{c}`"] for c in keep or []], F.lit(0).alias("_")).alias("rest"))
     # A key of its own for every text: rows may share a doc_id.
     rows = rows.withColumn("row", F.struct("doc_id", F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b")))
     keys = F.array_distinct(F.transform(F.split("text", "\n"), line_key))
     keyed = rows.select("row", F.explode(keys).alias("key")).where(F.length("key") >= min_chars).select("row", key_hash(F.col("key")).alias("hash"))
-    frequent = keyed.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("hash")
+    # A table of its own, so that the join below has its own exchange, which Spark can split.
+    frequent = stored(keyed.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("hash"), "frequent-lines")
     drops = keyed.join(frequent, "hash").groupBy("row").agg(F.collect_set("hash").alias("drops"))
-    joined = rows.join(drops, rows["row"].eqNullSafe(drops["row"]), "left").select("doc_id", "text", F.coalesce("drops", F.array().cast(drops.schema["drops"].dataType)).alias("drops"))
+    joined = rows.join(drops, rows["row"].eqNullSafe(drops["row"]), "left").select("doc_id", "text", "rest", F.coalesce("drops", F.array().cast(drops.schema["drops"].dataType)).alias("drops"))
     lines = F.split("text", "\n")
     stays = lambda line: (F.length(line_key(line)) < min_chars) | ~F.array_contains("drops", key_hash(line_key(line)))
     some = F.size("drops") > 0
     kept = F.when(some, F.filter(lines, stays))
-    return joined.select("doc_id", F.size(lines).cast("bigint").alias("n_lines"), "text", kept.alias("kept")).select(
+    return joined.select("doc_id", "rest", F.size(lines).cast("bigint").alias("n_lines"), "text", kept.alias("kept")).select(
         "doc_id",
         F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.array_join("kept", "\n")).alias("text"),
         "n_lines",
         F.when(F.col("kept").isNull(), F.lit(0)).otherwise(F.col("n_lines") - F.size("kept")).cast("bigint").alias("n_dropped"),
+        *[F.col("rest").getField(c).alias(c) for c in keep or []],
     )
 
 

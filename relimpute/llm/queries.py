@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from relimpute.llm import decontaminate, jaccard, language_id, language_model, line_dedup, packing, token_counts, toxicity, vector_dedup
+from relimpute.llm import decontaminate, jaccard, language_id, language_model, licenses, line_dedup, packing, token_counts, toxicity, vector_dedup
 from relimpute.plans.registry import Registry
 
 suite = Registry()
@@ -25,6 +27,13 @@ def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.line_dedup_digest(table(spark, folder, "documents"), min_docs=10)
 
 
+@suite.add("op3_license_scan")
+def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """A document lies in the folder of its source."""
+    docs = table(spark, folder, "documents")
+    return licenses.license_scan(docs.select("doc_id", "text", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path")))
+
+
 @suite.add("op4_packing")
 def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), capacity=2048)
@@ -58,3 +67,6 @@ def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 @suite.add("op10_toxicity")
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"), folds=5, held_out=0)
+
+
+suite.add("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
