@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 NULL_TOKENS = ("<NA>", "nan", "Unknown")
 
-WHOLE_LIMIT = 1e15
+WHOLE = r"^\s*\+?(-?)0*(\d+)(\.0*)?\s*$"
 LONG_TEXT = 64
 
 
@@ -24,18 +24,24 @@ def as_double(text: Column) -> Column:
 
 
 def number_text(number: Column) -> Column:
-    """Whole numbers without a fraction part, others as Spark writes a double; NaN is no value."""
-    whole = (number == F.floor(number)) & (F.abs(number) < WHOLE_LIMIT)
+    """Whole numbers with all their digits, others as Spark writes a double; NaN is no value."""
+    whole = (number == F.floor(number)) & (F.abs(number) < 1e38)
     spelled = F.nullif(number.cast("string"), F.lit("NaN"))
-    return F.when(whole, number.cast("bigint").cast("string")).otherwise(spelled)
+    return F.when(whole, number.cast("decimal(38,0)").cast("string")).otherwise(spelled)
+
+
+def whole_text(text: Column) -> Column:
+    """Digits of a text that spells a whole number, of any length: no plus sign, leading zeros or empty fraction."""
+    return F.regexp_replace(F.regexp_replace(text, WHOLE, "$1$2"), "^-0$", "0")
 
 
 def normalize_value(text: Column) -> Column:
     """Number-like text in the canonical number form, other text unchanged.
 
-    The pattern is matched once per cell and fails on the first letter of ordinary text.
+    Whole numbers keep every digit; the others go through a double. The patterns fail on the first
+    letter of ordinary text.
     """
-    return F.when(is_number(text), number_text(F.trim(text).try_cast("double"))).otherwise(text)
+    return F.when(text.rlike(WHOLE), whole_text(text)).otherwise(F.coalesce(number_text(as_double(text)), text))
 
 
 def is_value(data_type: T.DataType) -> bool:
@@ -46,6 +52,8 @@ def canonical_text(column: Column, data_type: T.DataType) -> Column:
     """The text of a typed column: `1`, `1.0` and `'1'` of three columns all read `1`."""
     if isinstance(data_type, T.IntegralType):
         return column.cast("string")
+    if isinstance(data_type, T.DecimalType):
+        return F.when(column == F.floor(column), whole_text(column.cast("string"))).otherwise(number_text(column.cast("double")))
     if isinstance(data_type, T.NumericType):
         return number_text(column.cast("double"))
     if isinstance(data_type, T.StringType):

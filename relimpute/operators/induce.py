@@ -13,14 +13,14 @@ PATH_SUMMARY = "attr string, path_id string, col string, n bigint, ratio double"
 
 
 def ranked_candidates(weighted: DataFrame) -> DataFrame:
-    """Rank of a candidate within its cell by weight; cells are small after `top_instances`."""
-    order = W.partitionBy("qid", "attr").orderBy(F.desc("weight"), "path_id", "instance_id")
-    return weighted.withColumn("rank", F.row_number().over(order))
+    """Rank of a candidate within its cell by weight; equal weights share a rank, so none is preferred by its name."""
+    order = W.partitionBy("qid", "attr").orderBy(F.desc(F.round("weight", 12)))
+    return weighted.withColumn("rank", F.rank().over(order))
 
 
 def matching_columns(weighted: DataFrame, k: int = 3) -> DataFrame:
-    """(qid, attr, path_id, instance_id, col): columns of a cell's top candidates that hold the truth."""
-    best = top_k(weighted, ["qid", "attr"], [F.desc("weight"), F.col("path_id"), F.col("instance_id")], k)
+    """(qid, attr, path_id, instance_id, col): columns of a cell's top candidates, ties included, that hold the truth."""
+    best = ranked_candidates(weighted).where(F.col("rank") <= k)
     opened = best.select("qid", "attr", "path_id", "instance_id", F.explode("hits").alias("col"))
     return opened.where(F.col("col").isNotNull())
 

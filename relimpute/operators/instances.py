@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from relimpute.functions.hashing import bucket_of
 from relimpute.functions.ranking import exact_quantiles, top_k
-from relimpute.functions.text import canonical_text, is_value, truth_or_null
+from relimpute.functions.text import canonical_text, is_value, plain_text, truth_or_null
 from relimpute.operators.graph import Edge, MetaPath
 from relimpute.sources.catalog import Catalog
 
@@ -67,12 +67,12 @@ def _keys(catalog: Catalog, edge: Edge, left: Column) -> tuple[Column, Column]:
     return (left, right) if _native(a, b) else (canonical_text(left, a), canonical_text(right, b))
 
 
-def payload_columns(catalog: Catalog, table: str, columns: Sequence[str] | None = None, keys: bool = False) -> dict[str, Column]:
-    """column -> canonical text of the cells of a row; keys on request, synthetic ids never."""
+def payload_columns(catalog: Catalog, table: str, columns: Sequence[str] | None = None, keys: bool = False, form=canonical_text) -> dict[str, Column]:
+    """column -> text of the cells of a row; keys on request, synthetic ids never."""
     df = catalog.table(table)
     own = [c for c in df.columns if keys or c not in catalog.key_columns(table)]
     own = [c for c in own if is_value(df.schema[c].dataType) and (columns is None or c in columns)]
-    return {c: canonical_text(F.col(c), df.schema[c].dataType) for c in own}
+    return {c: form(F.col(c), df.schema[c].dataType) for c in own}
 
 
 def path_instances(
@@ -90,7 +90,8 @@ def path_instances(
 
     `rows` comes from `query_rows`. Row ids are unique, so an instance can not repeat and the
     default needs no dedup exchange; `dedup='join_key'` keeps one instance per key value at
-    every hop. `payload` adds the cells of the last row, read by the same join that found it.
+    every hop. `payload` adds the cells of the last row as they are written, read by the same join
+    that found it.
 
     With `attrs` (path id -> attributes) a row that asks for none of them does not enter the path,
     and `cells` lists the asked ones it serves. With `match` every listed cell has `hits`, the
@@ -107,7 +108,7 @@ def path_instances(
             start = df
             if attrs is not None and depth == 0:
                 start = _asking(df, {a for p in own for a in attrs[p.path_id]})
-            cells = payload_columns(catalog, edge.dst_table, None if payload is True else payload, keys) if payload and ends else {}
+            cells = payload_columns(catalog, edge.dst_table, None if payload is True else payload, keys, canonical_text if match else plain_text) if payload and ends else {}
             step = _hop(catalog, start, edge, carried, sorted({p.edges[depth + 1].src_col for p in onward}), cells)
             if dedup == "join_key":
                 step = _one_per_key(step)
@@ -173,7 +174,7 @@ def _finish(step: DataFrame, path: MetaPath, cells: list[str], payload, attrs, m
 def _cell(attribute: str, payload: list[str] | None) -> Column:
     """(attr, truth[, hits]) of an asked cell, else NULL.
 
-    Payload and truth are canonical text, where numeric-aware equality is plain equality; the
+    Payload and truth are here canonical text, where numeric-aware equality is plain equality; the
     tokens for an unknown truth match nothing. `hits` has an entry per payload column, NULL where
     the column does not hold the truth, and is NULL when none does.
     """

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from relimpute.functions.ranking import exact_quantiles
-from relimpute.functions.text import canonical_text, normalize_value
+from relimpute.functions.text import as_double, canonical_text, normalize_value
 from relimpute.operators.profile import clean_stats
 from relimpute.session import cut_lineage
 from relimpute.sources.catalog import Catalog
@@ -94,12 +94,12 @@ def judged(cells: DataFrame, runs: DataFrame, classes: dict[str, str], stats: Da
     # one row per attribute
     joined = joined.join(F.broadcast(stats), "attr", "left")
     number = F.col("class") == "num"
-    told = F.col("pred").try_cast("double").isNotNull()
+    told = as_double(F.col("pred")).isNotNull()
     base = joined.select(
         "method", "class", "attr", "qid", "truth", "pred", "min", "max",
         F.when(number, F.col("pred").isNull() | told).otherwise(~F.coalesce(told, F.lit(False))).alias("used"),
-        F.when(number, F.col("truth").try_cast("double")).alias("t"),
-        F.when(number, F.when(F.col("pred").isNull(), F.col("median")).otherwise(F.col("pred").try_cast("double"))).alias("p"),
+        F.when(number, as_double(F.col("truth"))).alias("t"),
+        F.when(number, F.when(F.col("pred").isNull(), F.col("median")).otherwise(as_double(F.col("pred")))).alias("p"),
     )
     spread = F.nullif(F.col("max") - F.col("min"), F.lit(0.0))
     same = F.when(F.col("class") == "num", F.col("t") == F.col("p")).otherwise(F.col("truth") == F.col("pred"))

@@ -163,5 +163,5 @@ def table_sizes(catalog: Catalog, tables: list[str] | None = None) -> DataFrame:
 
 
 def training_tables(catalog: Catalog, tables: list[str] | None = None, low: int = 100, high: int = 10_000) -> DataFrame:
-    """Tables of a size fit for training: low < rows <= high."""
-    return table_sizes(catalog, tables).where((F.col("rows") > low) & (F.col("rows") <= high))
+    """(table, rows, fit): every table, and whether low < rows <= high."""
+    return table_sizes(catalog, tables).withColumn("fit", (F.col("rows") > low) & (F.col("rows") <= high))

@@ -37,12 +37,6 @@ def down_sample(df: DataFrame, key: Column, fraction: float, seed: int = 10) ->
     return df.where(drawn(draw(key, "row", seed), fraction))
 
 
-def down_sample_large(df: DataFrame, key: Column, limit: int = 50_000, fraction: float = 0.01, seed: int = 10) -> DataFrame:
-    """A share of the rows when the table has more than `limit`, else the whole table."""
-    large = df.agg((F.count(F.lit(1)) > limit).alias("large")).scalar()
-    return df.where(~large | drawn(draw(key, "row", seed), fraction))
-
-
 def split_of(key: Column, shares: Sequence[tuple[str, float]], seed: int = 42) -> Column:
     """The split a key falls in, by cumulative share; the last split takes the rest."""
     hashed = draw(key, "split", seed)

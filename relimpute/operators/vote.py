@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relimpute.functions.text import canonical_text, normalize_value
+from relimpute.functions.text import as_double, canonical_text, normalize_value
 from relimpute.sources.catalog import Catalog
 
 
@@ -23,9 +23,28 @@ def votes(weighted: DataFrame, summary: DataFrame) -> DataFrame:
     return valued.groupBy("qid", "attr", "value").agg(F.sum("weight").alias("w"), F.sum("ratio").alias("r"))
 
 
+def counted_votes(scored: DataFrame, summary: DataFrame) -> DataFrame:
+    """(qid, attr, value, text, w, r): the votes of all candidates of a cell, however many.
+
+    Equal values are added up where they are found, and so is the total of the cell: what is
+    exchanged and normalised is a row per value, not per candidate. `value` is canonical text,
+    by which values are told apart; `text` is the lowest of the texts that were found for it.
+    """
+    # a handful of pairs per attribute
+    picks = summary.groupBy("attr", "path_id").agg(F.collect_list(F.struct("col", "ratio")).alias("picks"))
+    held = F.transform("picks", lambda p: F.struct(F.element_at("payload", p["col"]).alias("text"), p["ratio"].cast("double").alias("ratio")))
+    whole = F.array(F.struct(F.lit(None).cast("string").alias("text"), F.lit(0.0).alias("ratio")))
+    entries = F.concat(whole, F.filter(F.coalesce(held, F.array().cast("array<struct<text:string,ratio:double>>")), lambda p: p["text"].isNotNull()))
+    rows = scored.join(F.broadcast(picks), ["attr", "path_id"], "left").select("qid", "attr", F.exp("score").alias("e"), F.explode(entries).alias("p"))
+    rows = rows.select("qid", "attr", "e", normalize_value(F.col("p.text")).alias("value"), "p.text", "p.ratio")
+    sums = rows.groupBy("qid", "attr", "value").agg(F.min("text").alias("text"), F.sum("e").alias("w"), F.sum("ratio").alias("r"))
+    total = F.max(F.when(F.col("value").isNull(), F.col("w"))).over(W.partitionBy("qid", "attr"))
+    return sums.withColumn("w", F.col("w") / total).where(F.col("value").isNotNull())
+
+
 def answers(voted: DataFrame) -> DataFrame:
-    """(qid, attr, value, w, r): the value with the largest (weight, ratio), ties to the lowest value."""
-    best = F.min_by(F.struct("value", "w", "r"), F.struct((-F.round("w", 9)), (-F.round("r", 9)), F.col("value")))
+    """(qid, attr, value[, text], w, r): the value with the largest (weight, ratio), ties to the lowest value."""
+    best = F.min_by(F.struct(*[c for c in ("value", "text", "w", "r") if c in voted.columns]), F.struct((-F.round("w", 9)), (-F.round("r", 9)), F.col("value")))
     return voted.groupBy("qid", "attr").agg(best.alias("_b")).select("qid", "attr", "_b.*")
 
 
@@ -57,8 +76,9 @@ def qrels(answered: DataFrame, clean: Catalog, table: str) -> DataFrame:
 
 
 def answer_columns(answered: DataFrame, attributes: list[str]) -> DataFrame:
-    """One row per query row with its answers as columns."""
-    picks = [F.max(F.when(F.col("attr") == a, F.col("value"))).alias(f"_a_{a}") for a in attributes]
+    """One row per query row with its answers as columns, as they were found where that is known."""
+    found = "text" if "text" in answered.columns else "value"
+    picks = [F.max(F.when(F.col("attr") == a, F.col(found))).alias(f"_a_{a}") for a in attributes]
     return answered.groupBy("qid").agg(*picks)
 
 
@@ -88,7 +108,7 @@ def typed_answers(answered: DataFrame, types: dict[str, T.DataType]) -> DataFram
 
 def widened(df: DataFrame, answered: DataFrame) -> DataFrame:
     """Whole-number columns that received a fractional answer, cast to double."""
-    number = F.col("value").try_cast("double")
+    number = as_double(F.col("value"))
     fractional = answered.where(number != F.floor(number)).select("attr").distinct()
     hit = {r["attr"] for r in fractional.collect()}
     whole = [f.name for f in df.schema.fields if f.name in hit and isinstance(f.dataType, T.IntegralType)]

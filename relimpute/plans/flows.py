@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from relimpute.operators import denorm, discover, features, graph, induce, inject, instances, metrics, sample, score, vectors, vote
@@ -39,9 +40,9 @@ def make_dirty(
 
 def discover_paths(
     dirty: Catalog, table: str, tables: Sequence[str], attributes: Sequence[str], threshold: float = 0.9, limit: int = 10,
-    use_lsh: bool = False, guard: bool = True,
+    use_lsh: bool = False, guard: bool = False,
 ) -> dict[str, list[MetaPath]]:
-    """Meta-paths per attribute; paths that would match far more rows than the query table has are left out."""
+    """Meta-paths per attribute. With `guard`, those that would match far more rows than the query table has are left out."""
     index = discover.lsh_index(dirty, tables) if use_lsh else discover.containment_index(dirty, tables)
     # column pairs above the threshold, written once: they steer everything after them
     compatible = cut_lineage(discover.compatible_columns(index, threshold))
@@ -85,7 +86,7 @@ def compared(dirty: Catalog, table: str, by_attribute: dict[str, Sequence[MetaPa
 
 
 def known_candidates(
-    dirty: Catalog, table: str, by_attribute: dict[str, Sequence[MetaPath]], n: int = 0, k: int = 5, keys: bool = False,
+    dirty: Catalog, table: str, by_attribute: dict[str, Sequence[MetaPath]], n: int = 0, k: int | None = None, keys: bool = False,
     embeddings: DataFrame | None = None,
 ) -> DataFrame:
     """Candidates of known cells with `hits`, the columns that hold the truth: n sampled cells per attribute, or all.
@@ -105,15 +106,23 @@ def known_candidates(
     return instances.assemble(best, instances.attribute_paths(dirty.spark, by_attribute))
 
 
-def most_similar(dirty, table, by_attribute, found: DataFrame, k: int, embeddings: DataFrame | None) -> DataFrame:
-    """The k most similar instances per query row and path, or the first k by id without embeddings."""
+def most_similar(dirty, table, by_attribute, found: DataFrame, k: int | None, embeddings: DataFrame | None) -> DataFrame:
+    """All instances, with their similarities if there are embeddings.
+
+    With `k`, of those that have a similarity only the k most similar per query row and path, ties
+    included; where none is known nothing is left out.
+    """
     if embeddings is None:
-        return instances.top_instances(found, all_paths(by_attribute), k)
-    return instances.top_instances(compared(dirty, table, by_attribute, found, embeddings), all_paths(by_attribute), k, "sim")
+        return found
+    similar = compared(dirty, table, by_attribute, found, embeddings)
+    if k is None:
+        return similar
+    place = F.rank().over(W.partitionBy("qid", "path_id").orderBy(F.desc_nulls_last("sim")))
+    return similar.withColumn("_place", place).where(F.col("sim").isNull() | (F.col("_place") <= k)).drop("_place")
 
 
 def missing_candidates(
-    dirty: Catalog, table: str, by_attribute: dict[str, Sequence[MetaPath]], k: int = 5, payload: Sequence[str] | bool = True,
+    dirty: Catalog, table: str, by_attribute: dict[str, Sequence[MetaPath]], k: int | None = None, payload: Sequence[str] | bool = True,
     embeddings: DataFrame | None = None,
 ) -> DataFrame:
     """Candidates of the null cells."""
@@ -124,8 +133,8 @@ def missing_candidates(
     return instances.assemble(best, instances.attribute_paths(dirty.spark, by_attribute)).drop("truth")
 
 
-def induced_summary(dirty: Catalog, table: str, by_attribute: dict[str, Sequence[MetaPath]], n: int = 800, k: int = 5) -> DataFrame:
-    """Which (path, column) reproduce sampled known cells, fixed as a small table."""
+def induced_summary(dirty: Catalog, table: str, by_attribute: dict[str, Sequence[MetaPath]], n: int = 0, k: int = 5) -> DataFrame:
+    """Which (path, column) reproduce known cells (all, or n sampled per attribute), fixed as a small table."""
     weighted = score.softmax(score.default_score(known_candidates(dirty, table, by_attribute, n)))
     return induce.settle(induce.path_summary(induce.matching_columns(weighted), k))
 
@@ -155,7 +164,7 @@ def impute(
 ) -> tuple[DataFrame, DataFrame]:
     """(imputed table, votes): weigh the candidates of every null cell, vote, write back.
 
-    One exchange by query row serves weighting, voting and the choice of the answer.
+    Every candidate counts; equal values of a cell are added up before they are exchanged.
     """
     # schema-sized: a handful of (path, column) pairs per attribute
     chosen = summary.select("attr", "path_id", "col").collect()
@@ -163,11 +172,11 @@ def impute(
     used = {a: [p for p in paths if (a, p.path_id) in kept] for a, paths in by_attribute.items()}
     used = {a: paths for a, paths in used.items() if paths}
     if not used:
-        empty = dirty.spark.createDataFrame([], "qid string, attr string, value string, w double, r double")
+        empty = dirty.spark.createDataFrame([], "qid string, attr string, value string, text string, w double, r double")
         return dirty.table(table), empty
     columns = sorted({r["col"] for r in chosen})
-    candidates = missing_candidates(dirty, table, used, payload=columns, embeddings=embeddings).repartition("qid")
-    voted = vote.votes(score.softmax(scored(candidates, used, summary, scorer)), summary)
+    candidates = missing_candidates(dirty, table, used, payload=columns, embeddings=embeddings)
+    voted = vote.counted_votes(scored(candidates, used, summary, scorer), summary)
     return vote.write_back(dirty, table, vote.answers(voted), list(used)), voted
 
 

@@ -26,9 +26,9 @@ HOPS = {q.path_id(label): (label.count(">") // 2) for label in CUSTOMER_PATHS}
 # --- candidates of known customer cells -------------------------------------------------------
 
 _CAND = (
-    f"{CUSTOMER_KNOWN}, c5 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, path_id ORDER BY instance_id) AS r FROM ci) WHERE r <= 5), "
-    "ca AS (SELECT qid, truth, path_id, instance_id, hops, name, CASE WHEN name = truth THEN 1 ELSE 0 END AS label FROM kn JOIN c5 USING (qid)), "
-    "rk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY path_id, instance_id) AS rank FROM ca), "
+    f"{CUSTOMER_KNOWN}, "
+    "ca AS (SELECT qid, truth, path_id, instance_id, hops, name, CASE WHEN name = truth THEN 1 ELSE 0 END AS label FROM kn JOIN ci USING (qid)), "
+    "rk AS (SELECT *, 1 AS rank FROM ca), "
     f"mt AS (SELECT *, CASE path_id WHEN '{q.path_id(HOME)}' THEN 'n_name' ELSE 's_nationkey_n_name' END AS col FROM rk WHERE rank <= 3 AND label = 1), "
     "sm AS (SELECT path_id, col, count(*) AS n, count(*) / sum(count(*)) OVER () AS ratio FROM mt GROUP BY 1, 2), "
     "sc AS (SELECT ca.*, coalesce(ratio, 0.0) AS score FROM ca LEFT JOIN sm USING (path_id)), "
@@ -160,7 +160,7 @@ def order_paths(catalog: Catalog) -> dict[str, list[MetaPath]]:
 
 
 _ITEMS = (
-    f"{q.ORD_X}, {q.LI}, it AS (SELECT * FROM (SELECT l_orderkey, l_linestatus, md5(row_id) AS instance_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY md5(row_id)) AS r FROM li) WHERE r <= 5)"
+    f"{q.ORD_X}, {q.LI}, it AS (SELECT l_orderkey, l_linestatus, md5(row_id) AS instance_id FROM li)"
 )
 _VOTES = (
     f"{_ITEMS}, vo AS (SELECT CAST(o_orderkey AS VARCHAR) AS qid, 'o_orderstatus' AS attr, l_linestatus AS value, sum(wt) AS w, CAST(count(*) AS DOUBLE) AS r FROM "
@@ -190,13 +190,13 @@ def order_votes(spark: SparkSession, folder: str) -> tuple[Catalog, Catalog, Dat
     tidy = with_redundant_orders(spark, folder)
     catalog = dirty(tidy, "orders")
     _, voted = flows.impute(catalog, "orders", order_paths(catalog), orders_summary_of(catalog))
-    return tidy, catalog, voted
+    return tidy, catalog, voted.drop("text")
 
 
 @suite.add(
     "orders_summary",
     f"WITH {_ITEMS}, kn AS (SELECT o_orderkey, o_orderstatus AS truth FROM ord_x WHERE o_orderstatus IS NOT NULL), "
-    "mt AS (SELECT 1 FROM kn JOIN it ON o_orderkey = l_orderkey WHERE r <= 3 AND l_linestatus = truth) "
+    "mt AS (SELECT 1 FROM kn JOIN it ON o_orderkey = l_orderkey WHERE l_linestatus = truth) "
     f"SELECT 'o_orderstatus' AS attr, '{q.path_id(TO_ITEMS)}' AS path_id, 'l_linestatus' AS col, count(*) AS n, 1.0::DOUBLE AS ratio FROM mt UNION ALL "
     + " UNION ALL ".join(f"SELECT '{a}', '{q.path_id(TO_CUSTOMER)}', '{c}', count({a}), 1.0 FROM ord_x" for a, (c, _) in _COPIES.items()),
 )

@@ -234,11 +234,11 @@ _ONE_PERCENT = "028f5c28"
 
 @suite.add(
     "downsample_large",
-    f"WITH {q.LI} SELECT * FROM li WHERE (SELECT count(*) FROM li) <= 50000 OR substring({q.draw('row_id', repr('row'), 10)},1,8) < '{_ONE_PERCENT}'",
+    f"WITH {q.LI} SELECT * FROM li WHERE substring({q.draw('row_id', repr('row'), 10)},1,8) < '{_ONE_PERCENT}'",
 )
 def downsample_large(spark: SparkSession, folder: str) -> DataFrame:
     catalog = star_catalog(spark, folder)
-    return sample.down_sample_large(catalog.table("lineitem"), catalog.row_id("lineitem"))
+    return sample.down_sample(catalog.table("lineitem"), catalog.row_id("lineitem"), 0.01)
 
 
 @suite.add(
@@ -271,7 +271,7 @@ def row_split(spark: SparkSession, folder: str) -> DataFrame:
 
 @suite.add(
     "table_size_filter",
-    "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS rows FROM {t}" for t in q.KEYS) + ") WHERE rows > 100 AND rows <= 10000",
+    "SELECT *, rows > 100 AND rows <= 10000 AS fit FROM (" + " UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS rows FROM {t}" for t in q.KEYS) + ")",
 )
 def table_size_filter(spark: SparkSession, folder: str) -> DataFrame:
     return profile.training_tables(star_catalog(spark, folder))

@@ -101,8 +101,8 @@ def reuse(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> Dat
 
 
 def find_rows(df: DataFrame, attributes: dict[str, object]) -> DataFrame:
-    """Rows in which every given attribute has the given value; numbers are met as whole numbers."""
+    """Rows in which every given attribute has the given value; a value asked of a number column is read as a whole number."""
     for name, value in attributes.items():
         numeric = df.schema[name].dataType.typeName() in ("integer", "long", "short", "byte", "double", "float")
-        df = df.where(F.col(name).cast("bigint") == F.lit(int(value)) if numeric else F.col(name) == F.lit(value))
+        df = df.where(F.col(name) == F.lit(int(value) if numeric else value))
     return df

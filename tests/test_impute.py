@@ -5,6 +5,7 @@ from conftest import tuples
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from relimpute.functions import text
 from relimpute.functions.hashing import draw
 from relimpute.operators import features, induce, instances, metrics, sample, score, vote
 from relimpute.operators.graph import parse_path
@@ -35,12 +36,15 @@ def test_path_summary_ratios(spark):
 
 
 def test_induction_flags(spark):
-    rows = [("1", "a", "p", f"i{i}", 0.0, "x", ["c"] if i == 4 else None) for i in range(5)]
+    rows = [("1", "a", "p", f"i{i}", -float(i), "x", ["c"] if i == 4 else None) for i in range(5)]
     rows += [("2", "a", "p", "i0", 0.0, "nan", None), ("3", "a", "p", "i0", 0.0, "y", ["c"])]
     flags = induce.induction_flags(score.softmax(weighted(spark, rows)))
     assert tuples(flags) == [("1", "a", 1, 1, 0), ("2", "a", 0, 0, 0), ("3", "a", 1, 1, 1)]
     assert tuples(induce.coverage(flags)) == [("a", 2, 1.0, 0.5)]
     assert induce.valid_attributes(flags, 0.5).count() == 0 and induce.covered_attributes(flags).count() == 1
+    # Candidates of one weight share a rank: none is left out for its name.
+    tied = [("1", "a", "p", f"i{i}", 0.0, "x", ["c"] if i == 4 else None) for i in range(5)]
+    assert tuples(induce.induction_flags(score.softmax(weighted(spark, tied)))) == [("1", "a", 1, 1, 1)]
 
 
 def test_vote_breaks_ties_by_ratio_then_value(spark):
@@ -138,8 +142,7 @@ def test_weights_sum_to_one_along_all_paths(spark):
     found = flows.known_candidates(catalog, "customer", {"c_mktsegment": paths})
     sums = score.softmax(score.default_score(found)).groupBy("qid", "attr").agg(F.sum("weight").alias("s"), F.count(F.lit(1)).alias("n"))
     assert sums.where(F.abs(F.col("s") - 1) > 1e-9).isEmpty()
-    assert sums.agg(F.max("n")).first()[0] <= 6
-    assert instances.top_instances(found, paths, 5).count() == found.count()
+    assert sums.agg(F.max("n")).first()[0] > 6 and instances.top_instances(found, paths, 5).count() < found.count()
 
 
 def test_fitted_scorer_prefers_rows_that_hold_the_truth(spark):
@@ -185,3 +188,27 @@ def test_query_matches_its_sql(spark, name):
     places = [answer.columns.index(c) for c in columns]
     theirs = sorted((tuple(r[i] for i in places) for r in answer.fetchall()), key=repr)
     assert ours == theirs
+
+
+def test_every_candidate_of_a_cell_counts_and_text_is_written_as_found(spark, make_catalog):
+    hubs = [(str(9007199254740993 + i), "00501" if i < 400 else "501" if i < 700 else "1E5", 1) for i in range(1000)]
+    catalog = make_catalog(
+        q=("k", {}, [(1, None), (2, "x")], "k bigint, zip string"),
+        h=("id", {"q": "q"}, hubs, "id string, code string, q bigint"),
+    )
+    path = parse_path(catalog, "q>(k,q)>h")
+    summary = spark.createDataFrame([("zip", path.path_id, "code", 1, 1.0)], induce.PATH_SUMMARY)
+    imputed, voted = flows.impute(catalog, "q", {"zip": [path]}, summary)
+    voted = voted.withColumn("w", F.round("w", 9))
+    assert tuples(voted, "value", "text", "w", "r") == [("100000", "1E5", 0.3, 300.0), ("501", "00501", 0.7, 700.0)]
+    assert tuples(imputed, "k", "zip") == [(1, "00501"), (2, "x")]
+
+
+def test_canonical_numbers_keep_every_digit(spark):
+    rows = [("9007199254740993",), (" +009007199254740993.00",), ("-0",), ("00.0",), ("12345678901234567890",), ("1E5",), ("0.50",), ("5f",), ("x",), (None,)]
+    df = spark.createDataFrame(rows, "s string")
+    got = [r[0] for r in df.select(text.normalize_value(F.col("s"))).collect()]
+    assert got == ["9007199254740993", "9007199254740993", "0", "0", "12345678901234567890", "100000", "0.5", "5f", "x", None]
+    wide = spark.sql("SELECT 9007199254740993L AS b, CAST('9007199254740993' AS DECIMAL(20,0)) AS d, CAST('9007199254740993.00' AS DECIMAL(20,2)) AS e, 1e15D AS f")
+    types = {f.name: f.dataType for f in wide.schema.fields}
+    assert list(wide.select(*[text.canonical_text(F.col(c), t) for c, t in types.items()]).first()) == ["9007199254740993"] * 3 + ["1000000000000000"]
