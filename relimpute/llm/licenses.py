@@ -42,11 +42,11 @@ def folder_of(path: Column) -> Column:
     return F.regexp_replace(path, "/?[^/]*$", "")
 
 
-def weighted_templates(templates: DataFrame, least: float) -> tuple[DataFrame, float]:
+def weighted_templates(templates: DataFrame, docs: DataFrame, least: float) -> tuple[DataFrame, float]:
     """license, t (one template), word, idf, w (tf * idf), norm, needed; and the idf of words of no template.
 
-    A line is at most as similar to a template as the part of it that it covers. Words are needed from the heaviest
-    on, until those left weigh less than `least` of the template: a line without a needed word can't reach it.
+    A line is at most as similar to a template as the part of it that it covers. Words are needed from the one in the
+    fewest documents on, until those left weigh less than `least` of the template: a line without a needed word can't reach it.
     """
     listed = taken(templates, license="license", text="text").where(F.col("license").isNotNull() & (F.size(words(F.coalesce("text", F.lit("")))) > 0)).distinct()
     listed = stored(listed.select("license", F.xxhash64("license", "text").alias("t"), words(F.col("text")).alias("words")), "template-texts")
@@ -54,16 +54,21 @@ def weighted_templates(templates: DataFrame, least: float) -> tuple[DataFrame, f
     terms = listed.select("license", "t", F.explode("words").alias("word")).groupBy("license", "t", "word").agg(F.count(F.lit(1)).alias("tf"))
     idf = terms.groupBy("word").agg(F.log(1 + F.lit(float(many)) / F.count(F.lit(1))).alias("idf"))
     terms = terms.join(idf, "word").withColumn("w", F.col("tf") * F.col("idf"))
+    terms = stored(terms, "template-terms")
+    # In how many documents each template word stands: counted over all, combined before the exchange.
+    vocabulary = terms.select("word").distinct()
+    held = docs.select(F.explode(F.array_distinct(words(F.col("text")))).alias("word")).join(sent_if_small(vocabulary), "word")
+    terms = terms.join(held.groupBy("word").agg(F.count(F.lit(1)).alias("held")), "word", "left").na.fill(0, ["held"])
     square, one = F.col("w") * F.col("w"), W.partitionBy("t")
     terms = terms.withColumn("norm", F.sqrt(F.sum(square).over(one)))
-    lighter = F.sum(square).over(one.orderBy("w", F.desc("word")).rowsBetween(W.unboundedPreceding, 0))
-    terms = terms.withColumn("needed", lighter >= least * least * F.col("norm") * F.col("norm"))
+    commoner = F.sum(square).over(one.orderBy(F.desc("held"), "word").rowsBetween(W.unboundedPreceding, 0))
+    terms = terms.withColumn("needed", commoner >= least * least * F.col("norm") * F.col("norm"))
     return stored(terms.select("license", "t", "word", "idf", "w", "norm", "needed"), "templates"), math.log(1 + many)
 
 
 def stated_licenses(docs: DataFrame, templates: DataFrame, least: float) -> DataFrame:
     """key, license, score of the best template line of every document that has one, and share (of its non-empty lines that are such)."""
-    terms, other_idf = weighted_templates(templates, least)
+    terms, other_idf = weighted_templates(templates, docs, least)
     needed = [r["word"] for r in terms.where("needed").select("word").distinct().orderBy("word").collect()]
     if not needed:
         return docs.select("key", F.lit("").alias("license"), F.lit(0.0).alias("score"), F.lit(0.0).alias("share")).where("false")
