@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -27,6 +29,8 @@ TEMPLATES = [
 #: File names that say what the file is.
 NAMED = r"(?i)(^|/)(licen[cs]e|copying)(\.[a-z]+)?$"
 BETWEEN = "[^0-9A-Za-z]+"
+#: Template words up to which texts are searched for each; with more, texts are taken apart once instead.
+SEARCHED = 256
 
 
 def template_table(spark: SparkSession) -> DataFrame:
@@ -37,6 +41,24 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), BETWEEN), "")
 
 
+def found_in(text: Column, wanted: list[str]) -> Column:
+    """Those of the words that the text, in lower case, holds anywhere, also as parts of other words."""
+    return F.element_at(F.transform(F.array(F.lower(text)), lambda low: F.filter(F.array(*map(F.lit, wanted)), lambda w: F.contains(low, w))), 1)
+
+
+def holds_any(text: Column, wanted: list[str]) -> Column:
+    return F.exists(F.array(F.lower(text)), lambda low: F.exists(F.array(*map(F.lit, wanted)), lambda w: F.contains(low, w)))
+
+
+def reaches(text: Column, templates: list[tuple[list[str], list[float], float]]) -> Column:
+    """Whether the text has words of a template (words, their squared weights, the sum asked for) that weigh enough."""
+
+    def covered(found: Column, names: list[str], squares: list[float]) -> Column:
+        return sum((F.when(F.array_contains(found, n), s).otherwise(0.0) for n, s in zip(names, squares, strict=True)), F.lit(0.0))
+
+    return F.exists(F.array(words(text)), lambda found: reduce(or_, (covered(found, n, s) >= least for n, s, least in templates)))
+
+
 def folder_of(path: Column) -> Column:
     """The path without its last part; empty at the top."""
     return F.regexp_replace(path, "/?[^/]*$", "")
@@ -57,7 +79,11 @@ def weighted_templates(templates: DataFrame, docs: DataFrame, least: float) -> t
     terms = stored(terms, "template-terms")
     # In how many documents each template word stands: counted over all, combined before the exchange.
     vocabulary = terms.select("word").distinct()
-    held = docs.select(F.explode(F.array_distinct(words(F.col("text")))).alias("word")).join(sent_if_small(vocabulary), "word")
+    listed_words = [r["word"] for r in vocabulary.orderBy("word").limit(SEARCHED + 1).collect()]
+    if len(listed_words) <= SEARCHED:
+        held = docs.select(F.explode(found_in(F.col("text"), listed_words)).alias("word"))
+    else:
+        held = docs.select(F.explode(F.array_distinct(words(F.col("text")))).alias("word")).join(sent_if_small(vocabulary), "word")
     terms = terms.join(held.groupBy("word").agg(F.count(F.lit(1)).alias("held")), "word", "left").na.fill(0, ["held"])
     square, one = F.col("w") * F.col("w"), W.partitionBy("t")
     terms = terms.withColumn("norm", F.sqrt(F.sum(square).over(one)))
@@ -72,20 +98,22 @@ def stated_licenses(docs: DataFrame, templates: DataFrame, least: float) -> Data
     needed = [r["word"] for r in terms.where("needed").select("word").distinct().orderBy("word").collect()]
     if not needed:
         return docs.select("key", F.lit("").alias("license"), F.lit(0.0).alias("score"), F.lit(0.0).alias("share")).where("false")
-    # Words hold letters and digits alone. One pass over a text without any of them ends it.
-    any_of = "(?i)(?<![0-9A-Za-z])(" + "|".join(needed) + ")(?![0-9A-Za-z])"
-    lines = docs.where(F.col("text").rlike(any_of)).select("key", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    filled = lines.where(F.length(F.trim("line")) > 0)
-    counts = filled.groupBy("key").agg(F.count(F.lit(1)).alias("n_lines"))
-    spread = filled.where(F.col("line").rlike(any_of)).select("key", "pos", F.explode(words(F.col("line"))).alias("word")).groupBy("key", "pos", "word").agg(F.count(F.lit(1)).alias("tf"))
+    # A text, and then a line, without any of them is out after a plain search.
+    near = docs.where(holds_any(F.col("text"), needed)).withColumn("lines", F.split("text", "\n"))
+    filled = F.size(F.filter("lines", lambda line: F.length(F.trim(line)) > 0)).alias("n_lines")
+    lines = near.select("key", filled, F.posexplode("lines").alias("pos", "line")).where(holds_any(F.col("line"), needed))
+    if terms.select("word").distinct().count() <= SEARCHED:
+        asked = terms.groupBy("t").agg(F.collect_list("word").alias("names"), F.collect_list(F.col("w") * F.col("w")).alias("squares"), (F.max("norm") ** 2 * (least**2 - 1e-6)).alias("least")).orderBy("t").collect()
+        lines = lines.where(reaches(F.col("line"), [(r["names"], r["squares"], r["least"]) for r in asked]))
+    spread = lines.select("key", "n_lines", "pos", F.explode(words(F.col("line"))).alias("word")).groupBy("key", "pos", "word").agg(F.count(F.lit(1)).alias("tf"), F.first("n_lines").alias("n_lines"))
     known = sent_if_small(terms.select("word", "idf").distinct())
     weighed = spread.join(known, "word", "left").withColumn("v", F.col("tf") * F.coalesce("idf", F.lit(other_idf)))
-    weighed = stored(weighed.select("key", "pos", "word", "v"), "licence-lines")
-    norms = weighed.groupBy("key", "pos").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("length"))
+    weighed = stored(weighed.select("key", "n_lines", "pos", "word", "v"), "licence-lines")
+    norms = weighed.groupBy("key", "pos").agg(F.first("n_lines").alias("n_lines"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("length"))
     dots = weighed.join(sent_if_small(terms.select("license", "t", "word", "w", "norm")), "word").groupBy("key", "pos", "license", "t", "norm").agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
     scored = dots.join(norms, ["key", "pos"]).withColumn("score", F.round(F.col("dot") / F.col("norm") / F.col("length"), 9)).where(F.col("score") >= least)
-    best = scored.groupBy("key").agg(F.max(F.struct("score", F.col("license").alias("license"))).alias("best"), F.count_distinct("pos").alias("stating"))
-    return best.join(counts, "key").select("key", F.col("best.license").alias("license"), F.col("best.score").alias("score"), (F.col("stating") / F.col("n_lines")).alias("share"))
+    best = scored.groupBy("key").agg(F.max(F.struct("score", F.col("license").alias("license"))).alias("best"), F.count_distinct("pos").alias("stating"), F.first("n_lines").alias("n_lines"))
+    return best.select("key", F.col("best.license").alias("license"), F.col("best.score").alias("score"), (F.col("stating") / F.col("n_lines")).alias("share"))
 
 
 def license_scan(docs: DataFrame, templates: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str = "path", least: float = 0.7, file_share: float = 0.5) -> DataFrame:
