@@ -145,6 +145,8 @@ def license_scan(docs: DataFrame, templates: DataFrame | None = None, id_col: st
     climbs = folders.select("folder", F.posexplode(F.array_distinct(ups)).alias("depth", "above"))
     nearest = climbs.join(licensed, "above").groupBy("folder").agg(F.max(F.struct("depth", "best", "above")).alias("near"))
     nearest = nearest.select("folder", F.col("near.best.license").alias("near_license"), F.col("near.best.score").alias("near_score"), F.col("near.above").alias("near_folder"))
+    # A table of its own, so that the join below has its own exchange, which Spark can split.
+    nearest = stored(nearest, "nearest-folders")
     stated = own.select(F.col("key").alias("own_key"), F.col("license").alias("own_license"), F.col("score").alias("own_score"))
     slim = rows.select("doc_id", "path", "key", folder_of(F.col("path")).alias("folder"))
     joined = slim.join(stated, F.col("key").eqNullSafe(F.col("own_key")), "left").join(nearest, "folder", "left")
