@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from relimpute.llm.components import components
@@ -331,10 +332,27 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.join(label, "set_key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def one_per_component(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` that stand for their component, with all their columns; rows without doc_id stay."""
-    gone = jaccard_join(docs, **options).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of `docs` per component, with all its columns: the one with the smallest doc_id, rows without one last.
+
+    Rows are told apart by doc_id and two hashes of the text, so that rows of one doc_id are judged each by its own text. Rows that
+    share both are exact repeats, of which one stays (by a hash of its columns). Texts without words link to nothing: all their rows stay.
+    """
+    id_, text = docs[f"`{id_col}`"], docs[f"`{text_col}`"]
+    key = F.struct(id_.isNull().alias("last"), id_.alias("id"), F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
+    keyed = docs.withColumn("_key", key)
+    # A table of its own: it is read twice.
+    joined = stored(jaccard_join(keyed, id_col="_key", text_col=text_col, **options), "row-components")
+    gone = joined.where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_gone")).distinct()
+    left = keyed.join(gone, F.col("_key").eqNullSafe(F.col("_gone")), "left_anti")
+    stands = joined.where((F.col("n_shingles") > 0) & F.col("component_id").eqNullSafe(F.col("doc_id")))
+    repeats = stored(stands.groupBy(F.col("doc_id").alias("_again")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_again"), "repeated-rows")
+    if repeats.isEmpty():
+        return left.drop("_key")
+    again = F.col("_key").eqNullSafe(F.col("_again"))
+    order = F.row_number().over(W.partitionBy("_key").orderBy(F.xxhash64(*[docs[f"`{c}`"] for c in docs.columns])))
+    one = left.join(repeats, again, "left_semi").withColumn("_nth", order).where("_nth = 1").drop("_nth")
+    return left.join(repeats, again, "left_anti").unionByName(one).drop("_key")
 
 
 SQL = r"""

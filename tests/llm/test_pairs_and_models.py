@@ -98,6 +98,15 @@ def test_jaccard_join_ids_and_empty(spark):
     assert [r for r in tuples(kept, "doc_id") if r[0]] == [(3,)]
 
 
+def test_one_per_component_keeps_one_row_of_each(spark):
+    same, own = "a b c d e f g", "q r s t u v w"
+    rows = [(1, same), (1, same), (5, same.upper()), (5, own), (None, "x y z"), (None, "x y z"), (None, "X y z"), (None, same), (8, "k l m"), (None, "k l m"), (9, ""), (9, ""), (None, None)]
+    kept = jaccard.one_per_component(docs(spark, rows))
+    assert kept.columns == ["doc_id", "text", "n", "key"]
+    got = [(i, low(t)) for i, t in tuples(kept, "doc_id", "text")]
+    assert sorted(got, key=repr) == sorted([(1, same), (5, own), (None, "x y z"), (8, "k l m"), (9, ""), (9, ""), (None, "")], key=repr)
+
+
 @pytest.mark.parametrize("together", [components.TOGETHER, 5])
 def test_components_with_and_without_rounds(spark, monkeypatch, together):
     monkeypatch.setattr(components, "TOGETHER", together)
