@@ -205,3 +205,30 @@ def test_license_scan_empty(spark):
     none = spark.createDataFrame([], "license string, text string")
     assert tuples(licenses.license_scan(frame, none), "doc_id", "license", "origin") == [(1, None, "none")]
     assert licenses.license_scan(frame.limit(0)).collect() == []
+
+
+def test_license_scan_headers_files_and_variants(spark):
+    from relimpute.llm.licence_templates import whole_texts
+
+    whole = dict(whole_texts())
+    by = "Copyright (c) 2019 Some One\n\n"
+    code = "\n\ndef f(x):\n    return alpha + beta * gamma\n" * 5
+    stated = [
+        ("Apache-2.0", "Apache License\nVersion 2.0, January 2004"),
+        ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE\nVersion 3"),
+        ("MIT", "MIT License"),
+        ("MIT", "# SPDX-License-Identifier: MIT" + code),
+        ("LGPL-2.1", "/* This library is free software; you can redistribute it and/or\n * modify it under the terms of the GNU Lesser General Public\n * License as published by the Free Software Foundation; either\n * version 2.1 of the License, or (at your option) any later version.\n */" + code),
+        ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+        ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+        ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+        ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+        ("BSD-2-Clause", by + whole["BSD-2-Clause"] + code),
+        ("BSD-3-Clause", by + whole["BSD-3-Clause"] + code),
+        ("ISC", by + whole["ISC"]),
+        *((x, whole[x]) for x in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "Apache-2.0")),
+    ]
+    rows = [(i, text, f"p{i}/text.txt") for i, (_, text) in enumerate(stated)] + [(100, "code only", "p12/src/a.py"), (101, "code only", "p9/src/a.py"), (102, "The public version of the general work is free.\nPlease read the terms under this section.", "q/a"), (103, "mit\nwas anderes", "q/b")]
+    out = {r["doc_id"]: r for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id bigint, text string, path string")).collect()}
+    assert [(i, out[i]["license"]) for i in range(len(stated))] == [(i, x) for i, (x, _) in enumerate(stated)]
+    assert (out[100]["license"], out[100]["origin"], out[101]["origin"], out[102]["origin"], out[103]["origin"]) == ("GPL-2.0", "inherited", "none", "none", "none")
