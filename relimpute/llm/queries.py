@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relimpute.llm import decontaminate, jaccard, language_id, language_model, licenses, line_dedup, packing, token_counts, toxicity, vector_dedup
+from relimpute.llm import conversation_repair, decontaminate, jaccard, language_id, language_model, licenses, line_dedup, packing, token_counts, toxicity, vector_dedup
 from relimpute.plans.registry import Registry
 
 suite = Registry()
@@ -69,4 +69,9 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"), folds=5, held_out=0)
 
 
+@suite.add("op11_conversation_repair", conversation_repair.SQL)
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_repair.conversation_repair(table(spark, folder, "conversations"))
+
+
 suite.add("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
