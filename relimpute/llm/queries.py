@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relimpute.llm import conversation_repair, decontaminate, jaccard, language_id, language_model, licenses, line_dedup, packing, token_counts, toxicity, vector_dedup
+from relimpute.llm import conversation_repair, cross_polytope, decontaminate, hard_negatives, jaccard, language_id, language_model, licenses, line_dedup, packing, token_counts, toxicity, vector_dedup
 from relimpute.plans.registry import Registry
 
 suite = Registry()
@@ -74,4 +74,17 @@ def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     return conversation_repair.conversation_repair(table(spark, folder, "conversations"))
 
 
+@suite.add("op12_hard_negatives", hard_negatives.SQL)
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Labels of rows whose id is divisible by 7 are moved on by one first."""
+    rows = table(spark, folder, "embeddings").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(rows.withColumn("label", moved), every=50)
+
+
+@suite.add("op13_nearest_neighbours")
+def op13_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return cross_polytope.nearest(table(spark, folder, "embeddings"), every=50, k=5)
+
+
 suite.add("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
