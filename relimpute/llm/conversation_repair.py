@@ -233,7 +233,7 @@ def repair(
     included, roles as they become. `conv` is the id as text.
 
     Rows are sorted by turn (NULL first), then role and text, so ties have one order and repeated rows are repeats. NULL role or text is
-    one space; NULL ids are one conversation. Rows where `gone_col` is true only make their conversation known. Empty
+    one space; a row with an empty role can't stay as it is; NULL ids are one conversation. Rows where `gone_col` is true only make their conversation known. Empty
     tables give no rows; other columns are ignored. Texts are never cut.
 
     A partition is one sorted stream. A task holds one conversation up to 65,536 rows or 16 M characters; beyond that rows and
