@@ -209,9 +209,12 @@ def marked(rows: DataFrame) -> DataFrame:
         F.coalesce(F.concat(F.length("conv").cast("string"), F.lit(":"), "conv"), F.lit("-")), F.lit(":"),
         F.length("role").cast("string"), F.lit(":"), "role", F.lit(":"), "text",
     )
-    rows = rows.withColumn("digest", F.when(~F.col("gone") & (last != ""), F.unhex(F.md5(whole))))
+    # Rows that can't repeat anything get a name of their own turn, so that they don't meet in one task.
+    own = F.concat_ws("|", F.lit("-"), "conv", F.col("turn").cast("string"))
+    able = F.coalesce(~F.col("gone") & (last != ""), F.lit(False))
+    rows = rows.withColumn("digest", F.unhex(F.md5(F.when(able, F.concat(F.lit("+"), whole)).otherwise(own))))
     turn = F.when(~F.col("no_turn"), F.col("turn"))
-    seen = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.bool_or("no_turn").alias("open"), F.min(turn).alias("first"), F.max(turn).alias("final"))
+    seen = rows.where(able).groupBy("digest").agg(F.bool_or("no_turn").alias("open"), F.min(turn).alias("first"), F.max(turn).alias("final"))
     seen = seen.where("first < final OR open AND first IS NOT NULL").select("digest", "open", "first")
     again = ~F.col("no_turn") & (F.col("open") | (F.col("turn") > F.col("first")))
     fault = F.when(last == "", 1).when(F.coalesce(again, F.lit(False)), 2).when(~last.isin(".", "!", "?"), 3).otherwise(0)
