@@ -80,7 +80,8 @@ def placed(rows: DataFrame, tables: int, polytopes: int, probes: int, seed: int,
                     heads = [pa.array(np.full(n, table, np.int32)), pa.array(np.full(n, x.shape[1], np.int32)), pa.array(codes.ravel())]
                     yield pa.record_batch([*heads, again.column("id"), again.column("vec")], names=["tab", "dim", "cell", "id", "vec"])
 
-    return rows.select("id", "vec").mapInArrow(run, f"tab int, dim int, cell bigint, id {id_type}, vec array<double>")
+    vec_type = rows.schema["vec"].dataType.simpleString()
+    return rows.select("id", "vec").mapInArrow(run, f"tab int, dim int, cell bigint, id {id_type}, vec {vec_type}")
 
 
 def best(a: np.ndarray, b: np.ndarray, ids: np.ndarray, k: int):

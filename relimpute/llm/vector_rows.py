@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from relimpute.llm import files
 from relimpute.llm.tables import taken
@@ -15,26 +16,31 @@ from relimpute.llm.tables import taken
 
 def finite(vector: Column) -> Column:
     """True for an array that is there, has a component, and holds only finite numbers."""
-    number = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    number = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf"))
     return F.coalesce((F.size(vector) > 0) & F.forall(vector, number), F.lit(False))
 
 
 def vector_rows(vectors: DataFrame, id_col: str, vec_col: str, zero: bool, **more: str) -> DataFrame:
-    """vec_id, vec (array<double>) and the columns of `more`, for rows with an id and a finite vector; all-zero ones only if `zero`."""
-    rows = taken(vectors, vec_id=id_col, vec=vec_col, **more).withColumn("vec", F.col("vec").cast("array<double>"))
+    """vec_id, vec (array<float> as it came, else array<double>) and the columns of `more`, for rows with an id and a finite vector.
+
+    All-zero ones only if `zero`.
+    """
+    rows = taken(vectors, vec_id=id_col, vec=vec_col, **more)
+    if not isinstance(rows.schema["vec"].dataType, ArrayType) or not isinstance(rows.schema["vec"].dataType.elementType, FloatType):
+        rows = rows.withColumn("vec", F.col("vec").cast("array<double>"))
     rows = rows.where(F.col("vec_id").isNotNull() & finite(F.col("vec")))
     return rows if zero else rows.where(F.exists("vec", lambda x: x != 0))
 
 
 def matrices(table: pa.Table | pa.RecordBatch, column: str = "vec"):
-    """(row numbers, matrix) per vector length of a batch."""
+    """(row numbers, matrix of doubles) per vector length of a batch."""
     lists = table.column(column)
     lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
     flat, at = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False)
     begin = np.cumsum(at) - at
     for size in np.unique(at):
         rows = np.flatnonzero(at == size)
-        yield rows, flat[begin[rows][:, None] + np.arange(size)]
+        yield rows, flat[begin[rows][:, None] + np.arange(size)].astype(float)
 
 
 def slabs(batches, rows: int):
