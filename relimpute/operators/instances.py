@@ -18,6 +18,7 @@ from relimpute.functions.hashing import bucket_of
 from relimpute.functions.ranking import exact_quantiles, top_k
 from relimpute.functions.text import canonical_text, is_value, plain_text, truth_or_null
 from relimpute.operators.graph import Edge, MetaPath
+from relimpute.session import cut_lineage
 from relimpute.sources.catalog import Catalog
 
 GUARD_FACTOR = 20
@@ -224,19 +225,63 @@ def _own_column(catalog: Catalog, edge: Edge) -> Column:
     return F.col(edge.src_col) if edge.src_col in catalog.table(edge.src_table).columns else catalog.row_id(edge.src_table)
 
 
+def prefix_counts(catalog: Catalog, table: str, paths: Sequence[MetaPath]) -> DataFrame:
+    """(label, hops, instances, query_rows): exact instance counts of every prefix of the paths, the paths included.
+
+    Counts are carried forward over the prefix tree, once for all paths: per row of a table the number of instances that end there,
+    added up per key of the next hops before they are joined. No join multiplies rows, and what is written per
+    inner node is at most a row per combination of its onward keys. Counts are decimals, since
+    those of a path that explodes may pass 64 bits; `instances` stops at the largest bigint.
+    """
+    count = F.sum("_c").cast("decimal(38,0)").alias("_c")
+    parts: list[DataFrame] = []
+
+    def walk(state: DataFrame, depth: int, group: list[MetaPath]) -> None:
+        for edge in dict.fromkeys(p.edges[depth] for p in group):
+            own = [p for p in group if p.edges[depth] == edge]
+            onward = [p for p in own if len(p.edges) > depth + 1]
+            left, right = _keys(catalog, edge, F.col(f"_n_{edge.src_col}"))
+            arriving = state.groupBy(left.alias("_k")).agg(count)
+            nexts = sorted({p.edges[depth + 1].src_col for p in onward})
+            dst = catalog.table(edge.dst_table)
+            cells = [(F.col(c) if c in dst.columns else catalog.row_id(edge.dst_table)).alias(f"_n_{c}") for c in nexts]
+            reached = dst.select(right.alias("_key"), *cells).join(arriving, F.col("_key") == F.col("_k"))
+            if onward:
+                reached = cut_lineage(reached.groupBy(*[f"_n_{c}" for c in nexts]).agg(count))
+            label = MetaPath(own[0].edges[: depth + 1]).label
+            total = F.least(F.coalesce(F.sum("_c"), F.lit(0)).cast("decimal(38,0)"), F.lit(2**63 - 1).cast("decimal(38,0)")).cast("bigint")
+            parts.append(reached.agg(total.alias("instances")).select(F.lit(label).alias("label"), F.lit(depth + 1).alias("hops"), "instances"))
+            if onward:
+                walk(reached, depth + 1, onward)
+
+    first = sorted({p.edges[0].src_col for p in paths})
+    own = catalog.table(table)
+    one = F.lit(1).cast("decimal(38,0)").alias("_c")
+    start = own.select(*[(F.col(c) if c in own.columns else catalog.row_id(table)).alias(f"_n_{c}") for c in first], one)
+    walk(start, 0, list(paths))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.withColumn("query_rows", own.agg(F.count(F.lit(1)).alias("n")).scalar())
+
+
 def guarded(counts: DataFrame, factor: int = GUARD_FACTOR) -> DataFrame:
-    """Adds `kept`: a path is left out when it matches more than `factor` rows per query row."""
+    """Adds `kept`: a path (or prefix) is left out when it matches more than `factor` rows per query row."""
     return counts.withColumn("kept", F.col("instances") <= factor * F.col("query_rows"))
 
 
 def guard_paths(catalog: Catalog, table: str, paths: Sequence[MetaPath], factor: int = GUARD_FACTOR) -> list[MetaPath]:
-    """The paths that pass the guard. Paths to keys only can not fan out and are not counted."""
+    """The paths of which every prefix passes the guard, so that none explodes half-way and narrows again.
+
+    Paths to keys only can not fan out and are not counted.
+    """
     open_ended = [p for p in paths if not p.single_valued]
     if not open_ended:
         return list(paths)
-    counted = guarded(instance_counts(catalog, table, open_ended), factor)
-    dropped = {r["path_id"] for r in counted.where(~F.col("kept")).collect()}
-    return [p for p in paths if p.path_id not in dropped]
+    counted = guarded(prefix_counts(catalog, table, open_ended), factor)
+    # schema-sized: a row per prefix that explodes
+    dropped = {r["label"] for r in counted.where(~F.col("kept")).collect()}
+    return [p for p in paths if not any(MetaPath(p.edges[: i + 1]).label in dropped for i in range(len(p.edges)))]
 
 
 def grouped_instances(instances: DataFrame, chunk: int = CHUNK) -> DataFrame:

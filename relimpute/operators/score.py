@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 FEATURES = ["sim", "query_sim", "prior", "inverse_hops"]
 TINY = 1e-10
+#: What a neighbour's cosine weighs in its score: a tenth of nearness is worth as much as a whole share of a path.
+NEARNESS = 10.0
 
 
 def softmax(candidates: DataFrame, score: str = "score", weight: str = "weight") -> DataFrame:
@@ -81,9 +83,10 @@ def apply_scorer(model: PipelineModel, featured: DataFrame) -> DataFrame:
 
 
 def default_score(candidates: DataFrame, priors: DataFrame | None = None) -> DataFrame:
-    """Without a fitted scorer a candidate scores the share of its path, or 0."""
+    """Without a fitted scorer a candidate scores the share of its path, or 0; a neighbour its nearness (`near`) times ten more."""
+    near = NEARNESS * F.coalesce("near", F.lit(0.0)) if "near" in candidates.columns else F.lit(0.0)
     if priors is None:
-        return candidates.withColumn("score", F.lit(0.0))
+        return candidates.withColumn("score", near)
     share = priors.groupBy("attr", "path_id").agg(F.sum("ratio").alias("score"))
     joined = candidates.join(F.broadcast(share), ["attr", "path_id"], "left")
-    return joined.withColumn("score", F.coalesce("score", F.lit(0.0)))
+    return joined.withColumn("score", F.coalesce("score", F.lit(0.0)) + near)

@@ -67,6 +67,20 @@ def query_similarity(instances: DataFrame, paths: Sequence[MetaPath], queries: D
     return joined.select(*instances.columns, cosine(F.col("_q"), F.col("_e")).alias("query_sim"))
 
 
+def asked_similarity(candidates: DataFrame, goals: dict[str, str], queries: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """`candidates` with `query_sim`, the cosine of the asked cell (`queries`: qid, attr, embedding) and the candidate's last row.
+
+    `goals` maps a path to the table it ends in. Every distinct (cell, last row) is compared once.
+    """
+    ends = F.create_map(*[x for p, t in goals.items() for x in (F.lit(p), F.lit(t))])
+    named = candidates.withColumns({"_goal": F.element_at(ends, F.col("path_id")), "_last": F.element_at("row_ids", -1)})
+    pairs = named.select("qid", "attr", "_goal", "_last").distinct()
+    held = embeddings.select(F.col("table").alias("_goal"), F.col("row_id").alias("_last"), F.col("embedding").alias("_e"))
+    pairs = pairs.join(held, ["_goal", "_last"]).join(queries.select("qid", "attr", F.col("embedding").alias("_q")), ["qid", "attr"])
+    pairs = pairs.select("qid", "attr", "_goal", "_last", cosine(F.col("_q"), F.col("_e")).alias("query_sim"))
+    return named.join(pairs, ["qid", "attr", "_goal", "_last"], "left").drop("_goal", "_last")
+
+
 def _matrix(vectors: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in vectors]) if len(vectors) else np.zeros((0, 1))
 
@@ -143,15 +157,23 @@ def knn_join(
 
     routed = left.mapInPandas(route, f"id {query_type}, vec array<double>, cells array<int>")
     routed = cut_lineage(routed.select("id", "vec", F.explode("cells").alias("cell")))
-    asked = routed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("qparts"))
-    held = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("tparts"))
-    # one row per pivot
-    parts = F.broadcast(asked.join(held, "cell"))
-    q = routed.join(parts, "cell").withColumn("qpart", bucket_of(draw(F.col("id"), "block", 0), F.col("qparts")))
+    near = _compared(routed, placed, ["cell"], k, metric, True)
+    # distances that differ in rounding only are ties, decided by id
+    return top_k(near, ["query_id"], [F.round("distance", 9), F.col("target_id")], k)
+
+
+def _compared(routed: DataFrame, placed: DataFrame, cell: list[str], k: int, metric: str, few: bool) -> DataFrame:
+    """(query_id, target_id, distance): k targets per query and block of a cell; `few` cells are sent to every task."""
+    key_type, query_type = (df.schema["id"].dataType.simpleString() for df in (placed, routed))
+    asked = routed.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("qparts"))
+    held = placed.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("tparts"))
+    parts = asked.join(held, cell)
+    parts = F.broadcast(parts) if few else parts
+    q = routed.join(parts, cell).withColumn("qpart", bucket_of(draw(F.col("id"), "block", 0), F.col("qparts")))
     q = q.withColumn("tpart", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tparts") - 1)))
-    t = placed.join(parts, "cell").withColumn("tpart", bucket_of(draw(F.col("id"), "block", 0), F.col("tparts")))
+    t = placed.join(parts, cell).withColumn("tpart", bucket_of(draw(F.col("id"), "block", 0), F.col("tparts")))
     t = t.withColumn("qpart", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("qparts") - 1)))
-    block = ["cell", "qpart", "tpart"]
+    block = [*cell, "qpart", "tpart"]
 
     def compare(ours: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
         if ours.empty or theirs.empty:
@@ -174,8 +196,95 @@ def knn_join(
         return ranked.groupby("query_id", sort=False).head(k).drop(columns="place")
 
     schema = f"query_id {query_type}, target_id {key_type}, distance double"
-    near = q.select("id", "vec", *block).groupBy(*block).cogroup(t.select("id", "vec", *block).groupBy(*block)).applyInPandas(compare, schema)
-    # distances that differ in rounding only are ties, decided by id
+    return q.select("id", "vec", *block).groupBy(*block).cogroup(t.select("id", "vec", *block).groupBy(*block)).applyInPandas(compare, schema)
+
+
+def _projected(vec: np.ndarray, axes: np.ndarray, shifts: np.ndarray, width: float) -> np.ndarray:
+    """Place of every vector on every projection in bucket widths: (vectors, tables, projections)."""
+    return np.einsum("nd,tpd->ntp", vec, axes) / width + shifts
+
+
+def _bucket(places: np.ndarray, mixers: np.ndarray) -> np.ndarray:
+    """One 64-bit number per list of bucket places; two lists that share a number only cost a comparison."""
+    return (places.astype(np.int64).astype(np.uint64) * mixers).sum(-1, dtype=np.uint64).view(np.int64)
+
+
+def _steps(projections: int) -> np.ndarray:
+    """Moves to other buckets: none, one step on one projection, one step on two."""
+    single = [(i, s) for i in range(projections) for s in (-1, 1)]
+    chosen = [[], *[[x] for x in single], *[[x, y] for x in single for y in single if x[0] < y[0]]]
+    moves = np.zeros((len(chosen), projections), np.int64)
+    for row, steps in zip(moves, chosen, strict=True):
+        for i, s in steps:
+            row[i] = s
+    return moves
+
+
+def bucketed_sides(
+    queries: DataFrame, targets: DataFrame, k: int, metric: str = "l2", query: tuple[str, str] = ("id", "vec"), target: tuple[str, str] = ("id", "vec"),
+    tables: int = 8, projections: int = 6, probes: int = 12, width: float | None = None, seed: int = 7,
+) -> tuple[DataFrame, DataFrame]:
+    """Queries and targets with the buckets (tab, cell) they are compared in: a target in one bucket per table, a query in `probes`.
+
+    A bucket is a list of intervals of random projections. A query looks into its own bucket and those nearest to
+    it, by the distance to their borders. Without a `width` an interval is four times the median distance to the k-th
+    neighbour within a sample of at most 1,024 targets.
+    """
+    left, right = _sides(queries, *query, metric), cut_lineage(_sides(targets, *target, metric))
+    key_type, query_type = (df.schema["id"].dataType.simpleString() for df in (right, left))
+    sample = [r["vec"] for r in right.orderBy(draw(F.col("id"), "pivot", 0), "id").limit(MAX_PIVOTS).select("vec").collect()]
+    size = len(sample[0]) if sample else 1
+    if width is None:
+        far = np.sort(_distances(np.array(sample), np.array(sample)), axis=1) if len(sample) > 1 else np.ones((1, 2))
+        width = 4 * float(np.median(far[:, min(k, far.shape[1] - 1)])) or 1.0
+    rng = np.random.default_rng(seed)
+    axes, shifts = rng.normal(size=(tables, projections, size)), rng.random((tables, projections))
+    mixers = rng.integers(0, 2**63, (tables, projections), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    moves = _steps(projections)
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                spots = np.floor(_projected(_matrix(batch["vec"]), axes, shifts, width))
+                batch["cells"] = list(_bucket(spots, mixers))
+                yield batch
+
+    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), BLOCK):
+                part = batch.iloc[at : at + BLOCK].copy()
+                spots = _projected(_matrix(part["vec"]), axes, shifts, width)
+                inside = spots - np.floor(spots)
+                # squared distance to the border that a step crosses
+                cost = np.einsum("ntp,mp->ntm", inside**2, moves == -1) + np.einsum("ntp,mp->ntm", (1 - inside) ** 2, moves == 1)
+                best = np.argsort(cost, axis=2, kind="stable")[:, :, :probes]
+                found = _bucket(np.floor(spots)[:, :, None, :] + moves[best], mixers[None, :, None, :])
+                part["cells"] = list(found.reshape(len(part), -1))
+                yield part
+
+    def opened(df: DataFrame, each: int) -> DataFrame:
+        cells = df.select("id", "vec", F.posexplode("cells").alias("_at", "cell"))
+        return cells.select("id", "vec", F.floor(F.col("_at") / each).cast("int").alias("tab"), "cell").distinct()
+
+    each = min(probes, len(moves))
+    held = opened(right.mapInPandas(place, f"id {key_type}, vec array<double>, cells array<bigint>"), 1)
+    asked = opened(left.mapInPandas(probe, f"id {query_type}, vec array<double>, cells array<bigint>"), each)
+    return cut_lineage(asked), cut_lineage(held)
+
+
+def bucketed_knn(
+    queries: DataFrame, targets: DataFrame, k: int, metric: str = "l2", query: tuple[str, str] = ("id", "vec"), target: tuple[str, str] = ("id", "vec"), **options,
+) -> DataFrame:
+    """(query_id, target_id, distance, rank): approximately the k nearest targets, with exact distances.
+
+    The approximate mode of `knn_join`, which is quadratic where its pivots rule nothing out. Only rows that share a bucket
+    (see `bucketed_sides` for the options) are compared, in blocks of bounded size, so a crowded bucket is split and
+    never cut. A query that shares buckets with fewer than k targets gets fewer. How much is found depends on the
+    vectors: in tight groups nearly everything at a few per cent of the pairs; between vectors that are all about
+    equally far apart no bucket helps and `knn_join` is the choice.
+    """
+    asked, held = bucketed_sides(queries, targets, k, metric, query, target, **options)
+    near = _compared(asked, held, ["tab", "cell"], k, metric, False).groupBy("query_id", "target_id").agg(F.min("distance").alias("distance"))
     return top_k(near, ["query_id"], [F.round("distance", 9), F.col("target_id")], k)
 
 

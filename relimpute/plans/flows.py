@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from relimpute.operators import denorm, discover, features, graph, induce, inject, instances, metrics, sample, score, vectors, vote
+from relimpute.operators import denorm, discover, embed, fallback, graph, induce, inject, instances, metrics, sample, score, vectors, vote
 from relimpute.operators.graph import MetaPath
 from relimpute.session import cut_lineage
 from relimpute.sources.catalog import Catalog
@@ -38,11 +38,23 @@ def make_dirty(
     return Redundant(clean, clean.with_tables(**{table: masked}), table, attributes)
 
 
-def discover_paths(
+@dataclass
+class Discovery:
+    """Where the values of an attribute may be found: along key paths, or else among the rows of related tables."""
+
+    paths: dict[str, list[MetaPath]]
+    related: dict[str, list[str]]
+
+
+def discover_sources(
     dirty: Catalog, table: str, tables: Sequence[str], attributes: Sequence[str], threshold: float = 0.9, limit: int = 10,
     use_lsh: bool = False, guard: bool = False,
-) -> dict[str, list[MetaPath]]:
-    """Meta-paths per attribute. With `guard`, those that would match far more rows than the query table has are left out."""
+) -> Discovery:
+    """Meta-paths per attribute, and related tables for the attributes that have none.
+
+    With `guard`, paths that would match far more rows than the query table has are left out; an attribute that
+    loses all its paths this way turns to related tables too.
+    """
     index = discover.lsh_index(dirty, tables) if use_lsh else discover.containment_index(dirty, tables)
     # column pairs above the threshold, written once: they steer everything after them
     compatible = cut_lineage(discover.compatible_columns(index, threshold))
@@ -55,11 +67,26 @@ def discover_paths(
     kept = set(by_label)
     if guard:
         kept = {p.label for p in instances.guard_paths(dirty, table, list(by_label.values()))}
-    out: dict[str, list[MetaPath]] = {}
+    paths: dict[str, list[MetaPath]] = {}
     for r in rows:
         if r["label"] in kept:
-            out.setdefault(r["attr"], []).append(by_label[r["label"]])
-    return out
+            paths.setdefault(r["attr"], []).append(by_label[r["label"]])
+    related: dict[str, list[str]] = {}
+    left = [a for a in attributes if a not in paths]
+    if left:
+        served_ = dirty.spark.createDataFrame([(a,) for a in paths], "attr string")
+        # schema-sized: at most `limit` tables per attribute
+        for r in graph.fallback_tables(compatible, served_, table, left, limit).orderBy("attr", "rank").collect():
+            related.setdefault(r["attr"], []).append(r["related"])
+    return Discovery(paths, related)
+
+
+def discover_paths(
+    dirty: Catalog, table: str, tables: Sequence[str], attributes: Sequence[str], threshold: float = 0.9, limit: int = 10,
+    use_lsh: bool = False, guard: bool = False,
+) -> dict[str, list[MetaPath]]:
+    """Only the meta-paths of `discover_sources`."""
+    return discover_sources(dirty, table, tables, attributes, threshold, limit, use_lsh, guard).paths
 
 
 def all_paths(by_attribute: dict[str, Sequence[MetaPath]]) -> list[MetaPath]:
@@ -75,19 +102,28 @@ def served(by_attribute: dict[str, Sequence[MetaPath]]) -> dict[str, list[str]]:
     return out
 
 
-def compared(dirty: Catalog, table: str, by_attribute: dict[str, Sequence[MetaPath]], found: DataFrame, embeddings: DataFrame) -> DataFrame:
-    """Instances with path and query similarity; the embedding of a query row leaves out what is asked."""
-    paths = all_paths(by_attribute)
-    similar = vectors.path_similarity(cut_lineage(found), paths, embeddings)
-    if set(by_attribute) >= set(dirty.descriptors(table)):
-        return similar
-    queries = features.row_embeddings(dirty, table, masked=list(by_attribute))
-    return vectors.query_similarity(similar, paths, queries, embeddings)
+def asked_vectors(dirty: Catalog, table: str, attributes: Sequence[str], known: bool, embeddings: DataFrame) -> DataFrame:
+    """(qid, attr, embedding) of the asked cells, in as many dimensions as the stored embeddings have."""
+    # one row
+    first = embeddings.select(F.size("embedding").alias("n")).first()
+    asked = instances.known(dirty, table, attributes) if known else instances.missing(attributes)
+    return embed.query_vectors(dirty, table, asked, first["n"] if first else embed.DIMENSION).select("qid", "attr", "embedding")
+
+
+def with_query_similarity(
+    dirty: Catalog, table: str, by_attribute: dict[str, Sequence[MetaPath]], found: DataFrame, embeddings: DataFrame | None, known: bool,
+    queries: DataFrame | None = None,
+) -> DataFrame:
+    """Candidates with `query_sim`; every asked attribute has its own embedding of the row, which leaves it out."""
+    if embeddings is None:
+        return found
+    queries = asked_vectors(dirty, table, list(by_attribute), known, embeddings) if queries is None else queries
+    return vectors.asked_similarity(found, {p.path_id: p.goal for p in all_paths(by_attribute)}, queries, embeddings)
 
 
 def known_candidates(
     dirty: Catalog, table: str, by_attribute: dict[str, Sequence[MetaPath]], n: int = 0, k: int | None = None, keys: bool = False,
-    embeddings: DataFrame | None = None,
+    embeddings: DataFrame | None = None, queries: DataFrame | None = None,
 ) -> DataFrame:
     """Candidates of known cells with `hits`, the columns that hold the truth: n sampled cells per attribute, or all.
 
@@ -102,19 +138,20 @@ def known_candidates(
         truths = [F.max(F.when(F.col("attr") == a, F.col("truth"))).alias(f"_t_{a}") for a in attributes]
         rows = rows.drop(*[f"_t_{a}" for a in attributes]).join(picked.groupBy("qid").agg(*truths), "qid")
     found = instances.path_instances(dirty, rows, paths, payload=True, keys=keys, attrs=served(by_attribute), match=True)
-    best = most_similar(dirty, table, by_attribute, found, k, embeddings)
-    return instances.assemble(best, instances.attribute_paths(dirty.spark, by_attribute))
+    best = most_similar(by_attribute, found, k, embeddings)
+    cells = instances.assemble(best, instances.attribute_paths(dirty.spark, by_attribute))
+    return with_query_similarity(dirty, table, by_attribute, cells, embeddings, True, queries)
 
 
-def most_similar(dirty, table, by_attribute, found: DataFrame, k: int | None, embeddings: DataFrame | None) -> DataFrame:
-    """All instances, with their similarities if there are embeddings.
+def most_similar(by_attribute: dict[str, Sequence[MetaPath]], found: DataFrame, k: int | None, embeddings: DataFrame | None) -> DataFrame:
+    """All instances, with their path similarities if there are embeddings.
 
     With `k`, of those that have a similarity only the k most similar per query row and path, ties
     included; where none is known nothing is left out.
     """
     if embeddings is None:
         return found
-    similar = compared(dirty, table, by_attribute, found, embeddings)
+    similar = vectors.path_similarity(cut_lineage(found), all_paths(by_attribute), embeddings)
     if k is None:
         return similar
     place = F.rank().over(W.partitionBy("qid", "path_id").orderBy(F.desc_nulls_last("sim")))
@@ -123,27 +160,57 @@ def most_similar(dirty, table, by_attribute, found: DataFrame, k: int | None, em
 
 def missing_candidates(
     dirty: Catalog, table: str, by_attribute: dict[str, Sequence[MetaPath]], k: int | None = None, payload: Sequence[str] | bool = True,
-    embeddings: DataFrame | None = None,
+    embeddings: DataFrame | None = None, queries: DataFrame | None = None,
 ) -> DataFrame:
     """Candidates of the null cells."""
     paths = all_paths(by_attribute)
     rows = instances.query_rows(dirty, table, paths, instances.missing(list(by_attribute)))
     found = instances.path_instances(dirty, rows, paths, payload=payload, attrs=served(by_attribute))
-    best = most_similar(dirty, table, by_attribute, found, k, embeddings)
-    return instances.assemble(best, instances.attribute_paths(dirty.spark, by_attribute)).drop("truth")
+    best = most_similar(by_attribute, found, k, embeddings)
+    cells = instances.assemble(best, instances.attribute_paths(dirty.spark, by_attribute)).drop("truth")
+    return with_query_similarity(dirty, table, by_attribute, cells, embeddings, False, queries)
 
 
-def induced_summary(dirty: Catalog, table: str, by_attribute: dict[str, Sequence[MetaPath]], n: int = 0, k: int = 5) -> DataFrame:
-    """Which (path, column) reproduce known cells (all, or n sampled per attribute), fixed as a small table."""
-    weighted = score.softmax(score.default_score(known_candidates(dirty, table, by_attribute, n)))
+def together(parts: Sequence[DataFrame | None]) -> DataFrame | None:
+    """Candidates along paths and from related tables as one table."""
+    out = None
+    for part in parts:
+        if part is not None:
+            out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def induced_summary(
+    dirty: Catalog, table: str, by_attribute: dict[str, Sequence[MetaPath]], n: int = 0, k: int = 5, related: dict[str, Sequence[str]] | None = None,
+    related_n: int = 800, approximate: bool = False,
+) -> DataFrame:
+    """Which (path, column) reproduce known cells (all, or n sampled per attribute), fixed as a small table.
+
+    Related tables stand in for a path under their own name; they are tried on `related_n` sampled cells per attribute.
+    """
+    along = known_candidates(dirty, table, by_attribute, n) if by_attribute else None
+    beside = fallback.candidates(dirty, table, related, True, related_n, approximate=approximate) if related else None
+    found = together([along, beside])
+    if found is None:
+        return dirty.spark.createDataFrame([], induce.PATH_SUMMARY)
+    weighted = score.softmax(score.default_score(found))
     return induce.settle(induce.path_summary(induce.matching_columns(weighted), k))
 
 
-def scored(candidates: DataFrame, by_attribute: dict[str, Sequence[MetaPath]], summary: DataFrame | None, scorer: PipelineModel | None) -> DataFrame:
-    """Candidates with the score of the fitted scorer, or else the prior of their path."""
+def scored(
+    candidates: DataFrame, by_attribute: dict[str, Sequence[MetaPath]], summary: DataFrame | None, scorer: PipelineModel | None,
+    related: dict[str, Sequence[str]] | None = None,
+) -> DataFrame:
+    """Candidates with the score of the fitted scorer, or else the prior of their path.
+
+    To the scorer a neighbour is a path of one hop whose query similarity is its nearness.
+    """
     if scorer is None:
         return score.default_score(candidates, summary)
-    hops = {p.path_id: len(p.edges) for p in all_paths(by_attribute)}
+    hops = {p.path_id: len(p.edges) for p in all_paths(by_attribute)} | {t: 1 for t in fallback.tables_of(related or {})}
+    if "near" in candidates.columns:
+        known = F.col("query_sim") if "query_sim" in candidates.columns else F.lit(None).cast("double")
+        candidates = candidates.withColumn("query_sim", F.coalesce("near", known))
     return score.apply_scorer(scorer, score.scorer_features(candidates, hops, summary))
 
 
@@ -160,24 +227,29 @@ def train_scorer(
 
 def impute(
     dirty: Catalog, table: str, by_attribute: dict[str, Sequence[MetaPath]], summary: DataFrame, embeddings: DataFrame | None = None,
-    scorer: PipelineModel | None = None,
+    scorer: PipelineModel | None = None, related: dict[str, Sequence[str]] | None = None, approximate: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """(imputed table, votes): weigh the candidates of every null cell, vote, write back.
 
-    Every candidate counts; equal values of a cell are added up before they are exchanged.
+    Every candidate counts; equal values of a cell are added up before they are exchanged. Attributes without a path
+    are filled from `related`, the tables that `discover_sources` names for them: the nearest rows are weighed
+    and voted on together with the candidates along paths.
     """
     # schema-sized: a handful of (path, column) pairs per attribute
     chosen = summary.select("attr", "path_id", "col").collect()
     kept = {(r["attr"], r["path_id"]) for r in chosen}
     used = {a: [p for p in paths if (a, p.path_id) in kept] for a, paths in by_attribute.items()}
     used = {a: paths for a, paths in used.items() if paths}
-    if not used:
+    beside = {a: [t for t in tables if (a, t) in kept] for a, tables in (related or {}).items()}
+    beside = {a: tables for a, tables in beside.items() if tables}
+    if not used and not beside:
         empty = dirty.spark.createDataFrame([], "qid string, attr string, value string, text string, w double, r double")
         return dirty.table(table), empty
     columns = sorted({r["col"] for r in chosen})
-    candidates = missing_candidates(dirty, table, used, payload=columns, embeddings=embeddings)
-    voted = vote.counted_votes(scored(candidates, used, summary, scorer), summary)
-    return vote.write_back(dirty, table, vote.answers(voted), list(used)), voted
+    along = missing_candidates(dirty, table, used, payload=columns, embeddings=embeddings) if used else None
+    near = fallback.candidates(dirty, table, beside, payload=columns, approximate=approximate) if beside else None
+    voted = vote.counted_votes(scored(together([along, near]), used, summary, scorer, beside), summary)
+    return vote.write_back(dirty, table, vote.answers(voted), list(dict.fromkeys([*used, *beside]))), voted
 
 
 def evaluate(data: Redundant, runs: DataFrame, attributes: Sequence[str]) -> DataFrame:

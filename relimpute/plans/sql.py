@@ -139,3 +139,28 @@ def path_search(start: str, tables: list[str] | None = None, per_goal: int = 3)
         "pth AS (SELECT spot AS goal, label, hops FROM (SELECT *, row_number() OVER (PARTITION BY spot ORDER BY hops, label) AS r "
         f"FROM walk WHERE hops > 0) WHERE r <= {per_goal})"
     )
+
+
+def value_parts(key: str, columns: list[tuple[str, str]], source_: str) -> str:
+    """(row_id, attr, slot, w): the hashed values of the rows of a table; kinds as in `COLUMNS`."""
+    parts = []
+    for c, kind in columns:
+        v = text(c, kind)
+        head = f"SELECT CAST({key} AS VARCHAR) AS row_id, '{c}' AS attr"
+        parts.append(f"{head}, {v} AS token, 1.0::DOUBLE AS weight FROM {source_} WHERE {c} IS NOT NULL")
+        if kind in "id":
+            digits = f"length(regexp_extract({v}, '^-?([0-9]+)', 1))"
+            parts.append(f"{head}, '#' || CASE WHEN {v} LIKE '-%' THEN '-' ELSE '' END || CAST({digits} AS VARCHAR), 0.5 FROM {source_} WHERE {c} IS NOT NULL")
+    return (
+        "SELECT row_id, attr, CAST(CAST('0x' || substring(md5(token),1,8) AS BIGINT) % 64 AS INTEGER) AS slot, "
+        f"CASE WHEN substring(md5(token),9,1) < '8' THEN weight ELSE -weight END AS w FROM ({' UNION ALL '.join(parts)})"
+    )
+
+
+def dense(source_: str, by: str) -> str:
+    """(`by`, e): the parts summed into unit vectors of 64 numbers."""
+    return (
+        f"SELECT {by}, list_transform(v, lambda x: x / CASE WHEN list_dot_product(v, v) > 0 THEN sqrt(list_dot_product(v, v)) ELSE 1 END) AS e FROM ("
+        f"SELECT {by}, list(coalesce(w, 0.0::DOUBLE) ORDER BY i) AS v FROM (SELECT DISTINCT {by} FROM {source_}) CROSS JOIN range(64) AS t(i) "
+        f"LEFT JOIN (SELECT {by}, slot, sum(w) AS w FROM {source_} GROUP BY ALL) USING ({by}, slot) GROUP BY {by})"
+    ).replace(f"range(64) AS t(i) LEFT JOIN", "(SELECT range AS i, CAST(range AS INTEGER) AS slot FROM range(64)) LEFT JOIN")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from relimpute.functions.text import normalize_value, values_equal
-from relimpute.operators import features, induce, metrics, profile, sample, score, vote
+from relimpute.operators import embed, fallback, induce, metrics, profile, sample, score, vote
 from relimpute.operators.graph import MetaPath
 from relimpute.plans import flows
 from relimpute.plans import sql as q
@@ -89,7 +91,7 @@ def split_loss(spark: SparkSession, folder: str) -> DataFrame:
 def scorer_fit(spark: SparkSession, folder: str) -> DataFrame:
     """A scorer fitted on the similarities of labelled candidates, and the weights it gives them."""
     catalog = dirty(clean(spark, folder), "customer")
-    vectors_of = features.database_embeddings(catalog, "customer", ["nation", "supplier", "orders"])
+    vectors_of = embed.database_vectors(catalog, "customer", ["nation", "supplier", "orders"])
     found = flows.known_candidates(catalog, "customer", customer_paths(catalog), embeddings=vectors_of)
     featured = cut_lineage(score.scorer_features(score.label_candidates(found), HOPS))
     scored = score.apply_scorer(score.fit_scorer(featured), featured)
@@ -272,6 +274,96 @@ def typed_writeback(spark: SparkSession, folder: str) -> DataFrame:
     return vote.typed_answers(best, types).select("qid", "attr", "value", "fits")
 
 
+# --- attributes without a path, and the fitted scorer --------------------------------------------
+
+_RELATED = ["o_custkey_c_name", "o_custkey_c_acctbal"]
+
+
+def unlinked(spark: SparkSession, folder: str) -> Catalog:
+    """Dirty orders in a schema that does not name the keys of orders and customer: no path leads from one to the other."""
+    catalog = dirty(with_redundant_orders(spark, folder), "orders")
+    specs = {n: replace(s, fks=tuple(f for f in s.fks if f[0] not in ("o_custkey", "c_nationkey"))) for n, s in catalog.specs.items()}
+    return replace(catalog, specs=specs)
+
+
+def _near_sql() -> str:
+    """CTEs up to `kn` (known cells, sampled, with truth) and `ms` (null cells), each with its five nearest customers."""
+    asked = {
+        "kc": " UNION ALL ".join(
+            f"(SELECT CAST(o_orderkey AS VARCHAR) AS row_id, '{a}' AS asked, {q.text(a, _COPIES[a][1])} AS truth FROM ord_x WHERE {a} IS NOT NULL "
+            f"ORDER BY {q.draw('o_orderkey', repr(a))} LIMIT 800)" for a in _RELATED
+        ),
+        "mc": " UNION ALL ".join(f"SELECT CAST(o_orderkey AS VARCHAR) AS row_id, '{a}' AS asked, NULL::VARCHAR AS truth FROM ord_x WHERE {a} IS NULL" for a in _RELATED),
+    }
+    out = [q.ORD_X, f"po AS MATERIALIZED ({q.value_parts('o_orderkey', q.COLUMNS['orders'][1:], 'ord_x')})", f"pc AS ({q.value_parts('c_custkey', q.COLUMNS['customer'], 'customer')})"]
+    out.append(f"ec AS MATERIALIZED ({q.dense('pc', 'row_id')})")
+    for cells, (name, sql) in zip(("kn", "ms"), asked.items(), strict=True):
+        out.append(f"{name} AS ({sql}), p_{name} AS (SELECT row_id, asked, slot, w FROM {name} JOIN po USING (row_id) WHERE attr <> asked), e_{name} AS MATERIALIZED ({q.dense(f'p_{name}', 'row_id, asked')})")
+        out.append(
+            f"{cells} AS MATERIALIZED (SELECT d.row_id AS qid, d.asked AS attr, {name}.truth, c.row_id AS target, d.d, c_name, {q.text('c_acctbal', 'd')} AS c_acctbal, round(1 - d * d / 2, 9) AS near FROM "
+            f"(SELECT a.row_id, asked, c.row_id AS target, list_distance(a.e, c.e) AS d FROM e_{name} a CROSS JOIN ec c "
+            "QUALIFY row_number() OVER (PARTITION BY a.row_id, asked ORDER BY round(d, 9), c.row_id) <= 5) d "
+            f"JOIN {name} USING (row_id, asked) JOIN ec c ON c.row_id = d.target JOIN customer ON c.row_id = CAST(c_custkey AS VARCHAR))"
+        )
+    return ", ".join(out)
+
+
+_FALLBACK = (
+    f"{_near_sql()}, rk AS (SELECT *, rank() OVER (PARTITION BY qid, attr ORDER BY near DESC) AS r FROM kn), "
+    "mt AS (SELECT attr, 'c_name' AS col FROM rk WHERE r <= 3 AND c_name = truth UNION ALL SELECT attr, 'c_acctbal' FROM rk WHERE r <= 3 AND c_acctbal = truth), "
+    "sm AS (SELECT attr, col, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY attr) AS ratio FROM mt GROUP BY 1, 2)"
+)
+_NEAR_VOTES = (
+    f"{_FALLBACK}, pr AS (SELECT attr, sum(ratio) AS prior FROM sm GROUP BY attr), sc AS (SELECT ms.*, exp(prior + 10.0::DOUBLE * near) AS e FROM ms JOIN pr USING (attr)), "
+    "tt AS (SELECT qid, attr, sum(e) AS total FROM sc GROUP BY 1, 2), "
+    "vo AS (SELECT qid, attr, value, sum(e) / any_value(total) AS w, sum(ratio) AS r FROM (SELECT qid, attr, e, ratio, CASE col WHEN 'c_name' THEN c_name ELSE c_acctbal END AS value "
+    "FROM sc JOIN sm USING (attr)) JOIN tt USING (qid, attr) GROUP BY 1, 2, 3), "
+    "an AS (SELECT * FROM vo QUALIFY row_number() OVER (PARTITION BY qid, attr ORDER BY round(w, 9) DESC, round(r, 9) DESC, value) = 1)"
+)
+
+
+@suite.add("fallback_candidates", f"WITH {_NEAR_VOTES} SELECT qid, attr, 'customer' AS path_id, target AS row_id, round(near, 6) AS near, c_name, c_acctbal FROM ms")
+def fallback_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    """The nearest customers of every null cell, with what they offer."""
+    found = fallback.candidates(unlinked(spark, folder), "orders", {a: ["customer"] for a in _RELATED})
+    offered = [F.element_at("payload", F.lit(c)).alias(c) for c in ("c_name", "c_acctbal")]
+    return found.select("qid", "attr", "path_id", F.element_at("row_ids", 1).alias("row_id"), F.round("near", 6).alias("near"), *offered)
+
+
+def related_summary(spark: SparkSession, folder: str) -> tuple[Catalog, flows.Discovery, DataFrame]:
+    """What the data offers for the two attributes: no path, one related table, and which of its columns reproduce known cells."""
+    catalog = unlinked(spark, folder)
+    sources = flows.discover_sources(catalog, "orders", catalog.names, _RELATED)
+    return catalog, sources, flows.induced_summary(catalog, "orders", sources.paths, related=sources.related)
+
+
+@suite.add("fallback_summary", f"WITH {_FALLBACK} SELECT attr, 'customer' AS path_id, col, n, round(ratio, 6) AS ratio FROM sm")
+def fallback_summary(spark: SparkSession, folder: str) -> DataFrame:
+    return related_summary(spark, folder)[2].withColumn("ratio", F.round("ratio", 6))
+
+
+@suite.add(
+    "impute_fallback",
+    f"WITH {_NEAR_VOTES} SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority, coalesce(o_custkey_c_name, n.value) AS o_custkey_c_name, "
+    "coalesce(o_custkey_c_acctbal, CAST(b.value AS DOUBLE)) AS o_custkey_c_acctbal FROM ord_x LEFT JOIN (SELECT * FROM an WHERE attr = 'o_custkey_c_name') n ON n.qid = CAST(o_orderkey AS VARCHAR) "
+    "LEFT JOIN (SELECT * FROM an WHERE attr = 'o_custkey_c_acctbal') b ON b.qid = CAST(o_orderkey AS VARCHAR)",
+)
+def impute_fallback(spark: SparkSession, folder: str) -> DataFrame:
+    catalog, sources, summary = related_summary(spark, folder)
+    return flows.impute(catalog, "orders", sources.paths, summary, related=sources.related)[0]
+
+
+@suite.add("impute_scored", f"WITH {q.CUST_X} SELECT c_custkey, c_nationkey, c_name, c_acctbal, c_mktsegment, coalesce(c_nationkey_n_name, n_name) AS c_nationkey_n_name FROM cust_x JOIN nation ON c_nationkey = n_nationkey")
+def impute_scored(spark: SparkSession, folder: str) -> DataFrame:
+    """Candidates weighed by the fitted scorer over path similarity, query similarity, prior and length."""
+    catalog = dirty(clean(spark, folder), "customer")
+    by_attribute = customer_paths(catalog)
+    stored = embed.database_vectors(catalog, "customer", ["nation", "supplier", "orders"])
+    summary = flows.induced_summary(catalog, "customer", by_attribute)
+    scorer = flows.train_scorer(catalog, "customer", by_attribute, summary, embeddings=stored)
+    return flows.impute(catalog, "customer", by_attribute, summary, stored, scorer)[0]
+
+
 # --- evaluation -------------------------------------------------------------------------------
 
 _JUDGED_ATTRIBUTES = {"o_totalprice": "d", "o_custkey_c_acctbal": "d", "o_custkey_c_name": "s", "o_orderstatus": "s"}

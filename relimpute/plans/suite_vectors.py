@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relimpute.operators import features, instances, profile, vectors
+from relimpute.operators import embed, features, instances, profile, vectors
 from relimpute.plans import sql as q
 from relimpute.plans.registry import Registry
 from relimpute.plans.star import star_catalog
 from relimpute.plans.suite_paths import HOME, NEIGHBOURS, along, paths_of
-from relimpute.plans.suite_tables import dirty
+from relimpute.plans.suite_tables import dirty, with_redundant_orders
 from relimpute.sources.catalog import Catalog
 
 suite = Registry()
@@ -122,6 +122,42 @@ def row_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     return features.row_embeddings(star_catalog(spark, folder), "customer")
 
 
+def entries(found: DataFrame, *key: str) -> DataFrame:
+    """The components of embeddings that are not zero, as rows."""
+    opened = found.select(*key, F.posexplode("embedding").alias("slot", "value")).where(F.col("value") != 0)
+    return opened.withColumn("value", F.round("value", 9))
+
+
+_SLOTS = "CAST(unnest(range(64)) AS INTEGER) AS slot, round(unnest(e), 9) AS value"
+_ALL_TABLES = [t for t in q.COLUMNS if t not in ("orders", "labels", "events")]
+
+
+@suite.add(
+    "additive_embeddings",
+    "WITH " + ", ".join(f"p_{t} AS ({q.value_parts(q.KEYS[t][0], q.COLUMNS[t], t)}), e_{t} AS ({q.dense(f'p_{t}', 'row_id')})" for t in _ALL_TABLES)
+    + " SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{t}' AS \"table\", row_id, {_SLOTS} FROM e_{t}" for t in _ALL_TABLES) + ") WHERE value <> 0",
+)
+def additive_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of the dimension tables, keys included."""
+    return entries(embed.database_vectors(star_catalog(spark, folder), "orders", _ALL_TABLES, keys=True), "table", "row_id")
+
+
+_ORDER_COLUMNS = [c for c in q.COLUMNS["orders"] if c[0] not in ("o_orderkey", "o_custkey")]
+_ASKED = " UNION ALL ".join(f"SELECT CAST(o_orderkey AS VARCHAR) AS row_id, '{c}' AS asked FROM ord_x WHERE {c} IS NULL" for c, _ in _ORDER_COLUMNS)
+
+
+@suite.add(
+    "query_embeddings",
+    f"WITH {q.ORD_X}, p AS ({q.value_parts('o_orderkey', _ORDER_COLUMNS, 'ord_x')}), ak AS ({_ASKED}), pa AS (SELECT row_id, asked, slot, w FROM ak JOIN p USING (row_id) WHERE attr <> asked), "
+    f"en AS ({q.dense('pa', 'row_id, asked')}) SELECT qid, attr, slot, value FROM (SELECT row_id AS qid, asked AS attr, {_SLOTS} FROM en) WHERE value <> 0",
+)
+def query_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    """Every null cell of orders has a vector of its row, though every attribute is asked for."""
+    catalog = dirty(with_redundant_orders(spark, folder), "orders")
+    asked = instances.missing(catalog.descriptors("orders"))
+    return entries(embed.query_vectors(catalog, "orders", asked), "qid", "attr")
+
+
 def stored_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from relimpute.functions import text
 from relimpute.functions.hashing import draw
-from relimpute.operators import features, induce, instances, metrics, sample, score, vote
+from relimpute.operators import embed, induce, instances, metrics, sample, score, vote
 from relimpute.operators.graph import parse_path
 from relimpute.plans import flows, suites
 from relimpute.plans.star import star_catalog
@@ -149,7 +149,7 @@ def test_fitted_scorer_prefers_rows_that_hold_the_truth(spark):
     data = flows.make_dirty(star_catalog(spark, FOLDER), "customer", min_refs=1, also=["supplier"])
     labels = ("customer>(c_nationkey,n_nationkey)>nation", "customer>(c_custkey,o_custkey)>orders")
     by_attribute = {"c_nationkey_n_name": [parse_path(data.dirty, label) for label in labels]}
-    stored = features.database_embeddings(data.dirty, "customer", ["nation", "orders"])
+    stored = embed.database_vectors(data.dirty, "customer", ["nation", "orders"])
     assert stored.where("table = 'customer'").isEmpty()
     scorer = flows.train_scorer(data.dirty, "customer", by_attribute, n=0, embeddings=stored)
     summary = spark.createDataFrame([("c_nationkey_n_name", by_attribute["c_nationkey_n_name"][0].path_id, "n_name", 1, 1.0)], induce.PATH_SUMMARY)
