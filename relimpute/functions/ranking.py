@@ -95,65 +95,67 @@ def hashed_ids(df: DataFrame, key: Sequence[str], name: str = "id") -> DataFrame
     return numbered.withColumn(name, F.col("_before") + F.col("_within") - 1).drop("_h", "_prefix", "_within", "_before")
 
 
+#: Bits of a digit of the radix selection: a group has at most 65,536 counts per pass.
+DIGIT = 16
+
+
+def ordered_bits(number: Column) -> Column:
+    """A double as a bigint of the same order: its IEEE bits, negated for negative numbers; both zeros are 0, NaN is last.
+
+    Exponent and fraction come from scaling by powers of two, which is exact.
+    """
+    size = F.abs(number)
+    guess = F.floor(F.log2(size))
+    exponent = F.when(F.pow(F.lit(2.0), guess) > size, guess - 1).when(F.pow(F.lit(2.0), guess + 1) <= size, guess + 1).otherwise(guess)
+    exponent = F.greatest(exponent, F.lit(-1022))
+    fraction = size / F.pow(F.lit(2.0), exponent)
+    bits = (exponent + 1022) * F.lit(2**52) + (fraction * float(2**52)).cast("bigint")
+    bits = F.when(size == 0, F.lit(0)).when(size == float("inf"), F.lit(2047 * 2**52)).otherwise(bits).cast("bigint")
+    return F.when(F.isnan(number), F.lit(2**63 - 1)).when(number < 0, -bits).otherwise(bits)
+
+
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], derived: bool = True) -> DataFrame:
     """Linearly interpolated quantiles as rows (`by`, p, n, quantile), exact at any group size.
 
     Groups are attributes, methods or measures, so few however large each is.
 
-    A mergeable sketch brackets each quantile, counting below the bracket fixes the rank, and only
-    the rows inside the bracket are sorted. If the counts show that a bracket missed, the next
-    wider one is used; the widest spans the group. The values are read three times; `derived`
-    ones (the result of joins, not a scan) are written once first.
+    Radix selection over the bits of the values: a pass counts the next 16 bits of what still may hold the wanted
+    ranks, combined map-side, and keeps one digit per rank. Four passes read the counted distinct values, which
+    are written once; no window sees more than 65,536 counts of a group and rank, whatever the values are.
+    `derived` is kept for callers that say whether the values are a scan or the result of joins; both are read once.
     """
     by = list(by)
     data = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
-    data = cut_lineage(data) if derived else data
-    widths = (0.002, 0.05)
-    points = sorted({min(max(p + s * w, 0.0), 1.0) for p in probs for w in widths for s in (-1, 1)})
-    at = {p: i for i, p in enumerate(points)}
-    sketch = data.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("_v").alias("_lo"),
-        F.max("_v").alias("_hi"),
-        F.percentile_approx("_v", points, 10000).alias("_q"),
-    )
-
-    def edge(p: float, sign: int, width: float) -> Column:
-        return F.col("_q")[at[min(max(p + sign * width, 0.0), 1.0)]]
-
-    asked = [
-        F.struct(
-            F.lit(float(p)).alias("p"),
-            F.array(*[edge(p, -1, w) for w in widths], F.col("_lo")).alias("a"),
-            F.array(*[edge(p, 1, w) for w in widths], F.col("_hi")).alias("b"),
-        )
-        for p in probs
-    ]
-    brackets = sketch.select(*by, "n", F.explode(F.array(*asked)).alias("_k")).select(*by, "n", "_k.*")
-    brackets = brackets.withColumn("_h", (F.col("n") - 1) * F.col("p"))
-    brackets = brackets.withColumn("_first", F.floor("_h") + 1).withColumn("_last", F.ceil("_h") + 1)
     counts = data.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    spread = range(len(widths) + 1)
-    tallied = _join_on(counts, brackets, by).groupBy(*by, "n", "p", "_h", "_first", "_last", "a", "b").agg(
-        F.array(*[F.sum(F.when(F.col("_v") < F.col("a")[i], F.col("_c")).otherwise(0)) for i in spread]).alias("_under"),
-        F.array(*[F.sum(F.when(F.col("_v") <= F.col("b")[i], F.col("_c")).otherwise(0)) for i in spread]).alias("_upto"),
-    )
-    pick = F.lit(len(widths))
-    for i in reversed(range(len(widths))):
-        holds = (F.col("_under")[i] < F.col("_first")) & (F.col("_upto")[i] >= F.col("_last"))
-        pick = F.when(holds, i).otherwise(pick)
-    chosen = tallied.withColumn("_i", pick).select(
-        *by, "n", "p", "_h", "_first", "_last",
-        F.col("a")[F.col("_i")].alias("a"), F.col("b")[F.col("_i")].alias("b"), F.col("_under")[F.col("_i")].alias("_under"),
-    )
-    inside = _join_on(counts, chosen, by).where(F.col("_v").between(F.col("a"), F.col("b")))
-    reached = F.col("_under") + F.sum("_c").over(W.partitionBy(*by, "p").orderBy("_v"))
-    found = inside.withColumn("_reached", reached).groupBy(*by, "n", "p", "_h").agg(
-        F.min(F.when(F.col("_reached") >= F.col("_first"), F.col("_v"))).alias("_x"),
-        F.min(F.when(F.col("_reached") >= F.col("_last"), F.col("_v"))).alias("_y"),
-    )
-    share = F.col("_h") - F.floor("_h")
-    return found.select(*by, "p", "n", (F.col("_x") + (F.col("_y") - F.col("_x")) * share).alias("quantile"))
+    counts = cut_lineage(counts.select(*by, "_v", "_c", ordered_bits(F.col("_v")).alias("_o")))
+    shift = 64 - DIGIT
+    first = counts.groupBy(*by, F.shiftright("_o", shift).alias("_at")).agg(F.sum("_c").alias("_c"))
+    group = W.partitionBy(*by) if by else W.partitionBy(F.lit(1))
+    upto = F.sum("_c").over(group.orderBy("_at"))
+    first = first.select(*by, "_at", "_c", upto.alias("_upto"), F.sum("_c").over(group).alias("n"))
+    ranks = []
+    for p in probs:
+        place = (F.col("n") - 1) * F.lit(float(p))
+        ranks += [F.struct(F.lit(float(p)).alias("p"), F.lit(side).alias("side"), (end(place) + 1).cast("bigint").alias("rank")) for side, end in ((0, F.floor), (1, F.ceil))]
+    inside = (F.col("rank") > F.col("_upto") - F.col("_c")) & (F.col("rank") <= F.col("_upto"))
+    found = first.select(*by, "n", "_at", "_c", "_upto", F.explode(F.array(*ranks)).alias("_r")).select(*by, "n", "_at", "_c", "_upto", "_r.*").where(inside)
+    key = [*by, "n", "p", "side"]
+    found = found.select(*key, F.col("_at").alias("_pre"), (F.col("rank") - F.col("_upto") + F.col("_c")).alias("rank"))
+    while shift:
+        # a row per group, quantile and side
+        picked = found.select(*[F.col(c).alias(f"_g_{c}") for c in by], "n", "p", "side", "_pre", "rank")
+        same = F.shiftright("_o", shift) == F.col("_pre")
+        for c in by:
+            same = same & (F.col(c) == F.col(f"_g_{c}"))
+        shift -= DIGIT
+        left = counts.join(F.broadcast(picked), same)
+        digits = left.groupBy(*key, "rank", F.shiftright("_o", shift).alias("_at")).agg(F.sum("_c").alias("_c"), F.max("_v").alias("_v"))
+        digits = digits.withColumn("_upto", F.sum("_c").over(W.partitionBy(*key).orderBy("_at"))).where(inside)
+        found = digits.select(*key, F.col("_at").alias("_pre"), (F.col("rank") - F.col("_upto") + F.col("_c")).alias("rank"), "_v")
+    ends = found.groupBy(*by, "n", "p").agg(*[F.max(F.when(F.col("side") == side, F.col("_v"))).alias(name) for side, name in ((0, "_x"), (1, "_y"))])
+    place = (F.col("n") - 1) * F.col("p")
+    share = place - F.floor(place)
+    return ends.select(*by, "p", "n", F.when(share == 0, F.col("_x")).otherwise(F.col("_x") + (F.col("_y") - F.col("_x")) * share).alias("quantile"))
 
 
 def quantile_columns(df: DataFrame, by: Sequence[str], value: str, named: dict[str, float], derived: bool = True) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from relimpute.functions.hashing import draw, drawn
 from relimpute.functions.ranking import hash_first_n
 from relimpute.functions.text import canonical_text
+from relimpute.operators import contract
 from relimpute.session import cut_lineage
 from relimpute.sources.catalog import Catalog
 
@@ -171,29 +172,23 @@ def row_links(catalog: Catalog) -> DataFrame:
     return parts
 
 
-def reachable_rows(catalog: Catalog, start: DataFrame, max_rounds: int = 100) -> DataFrame:
+def _node(table: str, row: str) -> Column:
+    return F.concat(F.col(table), F.lit(":"), F.col(row))
+
+
+def reachable_rows(catalog: Catalog, start: DataFrame) -> DataFrame:
     """(table, row_id) of all rows connected to `start` through keys, followed both ways.
 
-    Each round joins only the rows found last with the links, drops what is known, and writes its
-    findings, so no round repeats another and the plan stays short.
+    Rows form connected groups by contraction, so a chain of a million links takes some twenty rounds and a
+    hub that ties everything together costs no more than its links. Dangling foreign keys name no row.
     """
-    links = cut_lineage(row_links(catalog))
-    # dangling foreign keys name no row
-    rows = kept_rows(catalog, {t: catalog.table(t) for t in catalog.names})
-    forward = links.join(
-        rows.select(F.col("table").alias("dst_table"), F.col("row_id").alias("dst")), ["dst_table", "dst"], "left_semi"
-    )
-    backward = links.select(
-        F.col("dst_table").alias("src_table"), F.col("dst").alias("src"), F.col("src_table").alias("dst_table"), F.col("src").alias("dst")
-    )
-    steps = cut_lineage(forward.select("src_table", "src", "dst_table", "dst").unionByName(backward))
-    found = cut_lineage(start.select("table", "row_id").distinct())
-    frontier = found
-    for _ in range(max_rounds):
-        named = frontier.select(F.col("table").alias("src_table"), F.col("row_id").alias("src"))
-        reached = steps.join(named, ["src_table", "src"]).select(F.col("dst_table").alias("table"), F.col("dst").alias("row_id"))
-        frontier = cut_lineage(reached.distinct().join(found, ["table", "row_id"], "left_anti"))
-        if frontier.isEmpty():
-            return found
-        found = cut_lineage(found.unionByName(frontier))
-    raise RuntimeError("reachability did not settle; raise max_rounds")
+    rows = kept_rows(catalog, {t: catalog.table(t) for t in catalog.names if t in catalog.specs})
+    named = rows.select(F.col("table").alias("dst_table"), F.col("row_id").alias("dst"))
+    links = row_links(catalog)
+    if links is None:
+        return start.select("table", "row_id").distinct()
+    links = links.join(named, ["dst_table", "dst"], "left_semi")
+    ends = links.select(_node("src_table", "src").alias("a"), _node("dst_table", "dst").alias("b"))
+    found = contract.reached(ends, start.select(_node("table", "row_id").alias("node")))
+    at = F.instr("node", ":")
+    return found.select(F.substring("node", 1, at - 1).alias("table"), F.substring("node", at + 1, F.length("node")).alias("row_id"))

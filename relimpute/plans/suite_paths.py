@@ -106,6 +106,29 @@ def path_fanout_guard(spark: SparkSession, folder: str) -> DataFrame:
     return instances.guarded(instances.instance_counts(catalog, "customer", paths_of(catalog, TO_ORDERS, TO_LINES, NEIGHBOURS)))
 
 
+_GUARDED = [TO_LINES, NEIGHBOURS + ">(s_suppkey,l_suppkey)>lineitem>(l_partkey,p_partkey)>part"]
+_PREFIXES = {
+    TO_ORDERS: "JOIN orders ON c_custkey = o_custkey",
+    TO_LINES: "JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey",
+    HOME: "JOIN nation ON c_nationkey = n_nationkey",
+    NEIGHBOURS: "JOIN nation ON c_nationkey = n_nationkey JOIN supplier ON n_nationkey = s_nationkey",
+    NEIGHBOURS + ">(s_suppkey,l_suppkey)>lineitem": "JOIN supplier ON c_nationkey = s_nationkey JOIN lineitem ON s_suppkey = l_suppkey",
+    _GUARDED[1]: "JOIN supplier ON c_nationkey = s_nationkey JOIN lineitem ON s_suppkey = l_suppkey JOIN part ON l_partkey = p_partkey",
+}
+
+
+@suite.add(
+    "path_prefix_guard",
+    "SELECT label, CAST(hops AS INTEGER) AS hops, instances, query_rows, instances <= 20 * query_rows AS kept FROM ("
+    + " UNION ALL ".join(f"SELECT '{label}' AS label, {label.count('>(')} AS hops, count(*) AS instances FROM customer {joins}" for label, joins in _PREFIXES.items())
+    + "), (SELECT count(*) AS query_rows FROM customer)",
+)
+def path_prefix_guard(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts of every prefix: nearly all lines of a nation's suppliers are met by every customer of the nation."""
+    catalog = star_catalog(spark, folder)
+    return instances.guarded(instances.prefix_counts(catalog, "customer", paths_of(catalog, *_GUARDED)))
+
+
 @suite.add(
     "path_instances_grouped",
     f"WITH i AS ({_instances_sql(TO_ORDERS, 'c_custkey', ['o_orderkey'], 'customer JOIN orders ON c_custkey = o_custkey')}), "
@@ -315,19 +338,22 @@ def one_hop_dims(spark: SparkSession, folder: str) -> DataFrame:
     return kept.groupBy("table").agg(F.count(F.lit(1)).alias("rows"))
 
 
-_REACH_TABLES = ["orders", "customer", "events"]
+_TIES = " UNION ALL ".join(
+    f"SELECT '{src}:' || CAST({'row_id' if src == 'lineitem' else q.KEYS[src][0]} AS VARCHAR) AS a, '{dst}:' || CAST({column} AS VARCHAR) AS b FROM {'li' if src == 'lineitem' else src} WHERE {column} IS NOT NULL"
+    for src, (_, fks) in q.KEYS.items() for column, dst in fks.items()
+)
 
 
 @suite.add(
     "reachable_rows",
-    f"WITH RECURSIVE st AS (SELECT o_orderkey FROM orders WHERE substring({q.draw('o_orderkey', repr('row'), 10)},1,8) < '{_ONE_PERCENT}'), "
-    "e(a, b) AS (SELECT 'orders:' || o_orderkey, 'customer:' || o_custkey FROM orders UNION ALL SELECT 'customer:' || o_custkey, 'orders:' || o_orderkey FROM orders "
-    "UNION ALL SELECT 'events:' || event_id, 'customer:' || user_id FROM events UNION ALL SELECT 'customer:' || user_id, 'events:' || event_id FROM events), "
+    f"WITH RECURSIVE {q.LI}, st AS (SELECT o_orderkey FROM orders WHERE substring({q.draw('o_orderkey', repr('row'), 10)},1,8) < '{_ONE_PERCENT}'), "
+    f"t AS ({_TIES}), e AS MATERIALIZED (SELECT a, b FROM t UNION ALL SELECT b, a FROM t), "
     "r(x) AS (SELECT 'orders:' || o_orderkey FROM st UNION SELECT b FROM r JOIN e ON x = a) "
     "SELECT split_part(x, ':', 1) AS \"table\", split_part(x, ':', 2) AS row_id FROM r",
 )
 def reachable_rows(spark: SparkSession, folder: str) -> DataFrame:
-    catalog = star_catalog(spark, folder).part(_REACH_TABLES)
+    """All tables with keys; nation and region tie nearly everything together."""
+    catalog = star_catalog(spark, folder)
     start = sample.down_sample(catalog.table("orders"), catalog.row_id("orders"), 0.01)
     return sample.reachable_rows(catalog, start.select(F.lit("orders").alias("table"), catalog.row_id("orders").alias("row_id")))
 

@@ -9,7 +9,8 @@ from conftest import tuples
 from pyspark.sql import functions as F
 
 from relimpute.functions import ranking
-from relimpute.operators import discover, entity, graph, instances, sample, vectors
+from relimpute.operators import contract, discover, entity, graph, instances, sample, vectors
+from relimpute.session import cut_lineage
 
 
 def test_containment_and_jaccard(make_catalog):
@@ -126,6 +127,32 @@ def test_reachable_rows_match_a_search(make_catalog):
     assert tuples(sample.reachable_rows(catalog, start)) == sorted(seen, key=repr)
 
 
+def test_a_long_chain_takes_few_rounds(make_catalog, monkeypatch):
+    """2,000 rows that each name the one before, a hub of 500, and a row without links."""
+    chain = [(i, i - 1 if i else None) for i in range(2000)] + [(3000 + i, 3000) for i in range(1, 500)] + [(3000, None), (9000, None), (9001, 12345)]
+    catalog = make_catalog(t=("k", {"up": "t"}, chain, "k bigint, up bigint"))
+    written = []
+    monkeypatch.setattr(contract, "cut_lineage", lambda df: written.append(1) or cut_lineage(df))
+    start = catalog.spark.createDataFrame([("t", "700"), ("t", "9000"), ("t", "9001")], "table string, row_id string")
+    got = sample.reachable_rows(catalog, start)
+    assert {r["row_id"] for r in got.collect()} == {str(i) for i in range(2000)} | {"9000", "9001"} and got.count() == 2002
+    assert len(written) <= 2 * 20
+
+
+def test_guard_sees_a_path_that_explodes_half_way(make_catalog):
+    """10 rows meet 1 hub, the hub 500 rows, those 1 row at the end which only one of them names."""
+    catalog = make_catalog(
+        q=("k", {"h": "hub"}, [(i, 1) for i in range(10)], "k int, h int"), hub=("h", {}, [(1,)], "h int"),
+        wide=("w", {"h": "hub", "e": "last"}, [(i, 1, 7 if i == 0 else None) for i in range(500)], "w int, h int, e int"), last=("e", {}, [(7,)], "e int"),
+    )
+    whole = graph.parse_path(catalog, "q>(h,h)>hub>(h,h)>wide>(e,e)>last")
+    short = graph.parse_path(catalog, "q>(h,h)>hub")
+    counted = {r["label"]: (r["hops"], r["instances"], r["kept"]) for r in instances.guarded(instances.prefix_counts(catalog, "q", [whole, short])).collect()}
+    assert counted == {short.label: (1, 10, True), "q>(h,h)>hub>(h,h)>wide": (2, 5000, False), whole.label: (3, 10, True)}
+    assert instances.guarded(instances.instance_counts(catalog, "q", [whole])).first()["kept"]
+    assert instances.guard_paths(catalog, "q", [whole, short]) == [short]
+
+
 def test_entity_graph(make_catalog):
     catalog = make_catalog(n=("nk", {}, [(1, "a")], "nk int, name string"), c=("ck", {"nk": "n"}, [(5, 1, "x"), (6, 2, None)], "ck int, nk int, v string"))
     known = entity.entities(catalog, ["n", "c"])
@@ -147,6 +174,35 @@ def test_quantiles_are_exact(spark, values):
         assert found[("b", p)] == 1.0
 
 
+def test_ordered_bits_are_the_bits(spark):
+    rng = np.random.default_rng(4)
+    values = [0.0, -0.0, 1.0, -1.0, 5e-324, -5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.7976931348623157e308, float("inf"), float("-inf")]
+    values += [s * 2.0**e for e in range(-1074, 1024) for s in (1, -1)] + [float(np.nextafter(2.0**e, 0)) for e in range(-1070, 1024)]
+    values += [float(x) for x in rng.integers(0, 2**63, 3000, dtype=np.uint64).view(float) if np.isfinite(x)] + [float("nan")]
+    got = [r["o"] for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").select("i", ranking.ordered_bits(F.col("v")).alias("o")).orderBy("i").collect()]
+    for v, o in zip(values, got, strict=True):
+        bits = int(np.array([abs(v)]).view(np.int64)[0])
+        assert o == (2**63 - 1 if v != v else -bits if v < 0 else bits), v
+
+
+def test_quantiles_of_wild_and_repeated_values(spark):
+    rng = np.random.default_rng(8)
+    groups = {
+        "wild": (rng.normal(size=400) * 10.0 ** rng.integers(-300, 300, 400)).tolist(), "same": [2.5] * 700, "two": [-1.0, 3.0],
+        "close": [1.0 + i * 2.0**-52 for i in range(300)], "signs": [-0.0, 0.0, -1e-320, 1e-320, -7.0],
+    }
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs] + [("two", None), ("none", None)], "g string, v double").repartition(5)
+    probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    found = {(r["g"], r["p"]): (r["quantile"], r["n"]) for r in ranking.exact_quantiles(df, ["g"], "v", probs).collect()}
+    assert len(found) == len(groups) * len(probs)
+    for (g, p), (v, n) in found.items():
+        assert n == len(groups[g]) and v == pytest.approx(np.quantile(groups[g], p), rel=1e-12, abs=0)
+    whole = ranking.exact_quantiles(df.where("g = 'two'"), [], "v", [0.5]).first()
+    assert (whole["n"], whole["quantile"]) == (2, 1.0)
+    plan = ranking.exact_quantiles(df, ["g"], "v", [0.5])._jdf.queryExecution().toString()
+    assert "SinglePartition" not in plan
+
+
 def test_positions_and_hash_ranks(spark):
     df = spark.range(500).select((F.col("id") * 7919 % 500).alias("v")).repartition(6)
     assert all(r["position"] == r["v"] + 1 for r in ranking.positions(df, ["v"]).collect())
