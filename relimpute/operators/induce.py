@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,15 +12,29 @@ from relimpute.functions.text import truth_or_null
 PATH_SUMMARY = "attr string, path_id string, col string, n bigint, ratio double"
 
 
-def ranked_candidates(weighted: DataFrame) -> DataFrame:
-    """Rank of a candidate within its cell by weight; equal weights share a rank, so none is preferred by its name."""
-    order = W.partitionBy("qid", "attr").orderBy(F.desc(F.round("weight", 12)))
-    return weighted.withColumn("rank", F.rank().over(order))
+def _level() -> Column:
+    """The weight by which candidates are ranked; weights that differ in rounding only are ties."""
+    return F.round("weight", 12)
+
+
+def cell_cuts(weighted: DataFrame, k: int) -> DataFrame:
+    """(qid, attr, cut): the weight down to which candidates are among the `k` best of their cell, ties included.
+
+    Equal weights are counted where they are found; of a cell at most its k highest distinct weights are ranked.
+    """
+    levels = weighted.groupBy("qid", "attr", _level().alias("_w")).agg(F.count(F.lit(1)).alias("_n"))
+    best = top_k(levels, ["qid", "attr"], [F.desc("_w")], k, "_p")
+    ahead = F.sum("_n").over(W.partitionBy("qid", "attr").orderBy("_p").rowsBetween(W.unboundedPreceding, -1))
+    kept = best.withColumn("_ahead", F.coalesce(ahead, F.lit(0))).where(F.col("_ahead") < k)
+    return kept.groupBy("qid", "attr").agg(F.min("_w").alias("cut"))
 
 
 def matching_columns(weighted: DataFrame, k: int = 3) -> DataFrame:
-    """(qid, attr, path_id, instance_id, col): columns of a cell's top candidates, ties included, that hold the truth."""
-    best = ranked_candidates(weighted).where(F.col("rank") <= k)
+    """(qid, attr, path_id, instance_id, col): columns of a cell's top candidates, ties included, that hold the truth.
+
+    Only candidates that hold it meet the cut of their cell, so no cell is ranked as a whole.
+    """
+    best = weighted.where(F.col("hits").isNotNull()).join(cell_cuts(weighted, k), ["qid", "attr"]).where(_level() >= F.col("cut"))
     opened = best.select("qid", "attr", "path_id", "instance_id", F.explode("hits").alias("col"))
     return opened.where(F.col("col").isNotNull())
 
@@ -45,12 +59,12 @@ def top_path(matches: DataFrame) -> DataFrame:
 def induction_flags(weighted: DataFrame, k: int = 3) -> DataFrame:
     """(qid, attr, notnull, valid, max): truth known, in any candidate, in a top-k candidate."""
     known = truth_or_null(F.col("truth"))
-    ranked = ranked_candidates(weighted).withColumn("_hit", F.col("hits").isNotNull().cast("int"))
-    return ranked.groupBy("qid", "attr").agg(
-        F.max(known.isNotNull().cast("int")).alias("notnull"),
-        F.max("_hit").alias("valid"),
-        F.max(F.when(F.col("rank") <= k, F.col("_hit")).otherwise(0)).alias("max"),
+    held = F.col("hits").isNotNull()
+    cells = weighted.groupBy("qid", "attr").agg(
+        F.max(known.isNotNull().cast("int")).alias("notnull"), F.max(held.cast("int")).alias("valid"), F.max(F.when(held, _level())).alias("_best")
     )
+    joined = cells.join(cell_cuts(weighted, k), ["qid", "attr"])
+    return joined.select("qid", "attr", "notnull", "valid", F.coalesce((F.col("_best") >= F.col("cut")).cast("int"), F.lit(0)).alias("max"))
 
 
 def coverage(flags: DataFrame) -> DataFrame:

@@ -7,25 +7,34 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from relimpute.session import cut_lineage
+
 FEATURES = ["sim", "query_sim", "prior", "inverse_hops"]
 TINY = 1e-10
 #: What a neighbour's cosine weighs in its score: a tenth of nearness is worth as much as a whole share of a path.
 NEARNESS = 10.0
+#: Scores are raised in steps of this size; a cell has one or two.
+STEP = 500.0
 
 
 def softmax(candidates: DataFrame, score: str = "score", weight: str = "weight") -> DataFrame:
     """Weights over all candidates of a query cell, every path together; they sum to one.
 
-    Input is what `top_instances` leaves, k candidates per path and at most ten paths, so a cell
-    is small. The window is keyed by the cell and reuses a partitioning by `qid`.
+    Largest score and sum of a cell come from one aggregate that combines map-side: scores are raised within steps of
+    500, which neither overflow nor vanish, and the few steps of a cell are brought to its highest one. Candidates
+    are written once, read for the sums, and joined with a row per cell on plain keys, so that a cell that
+    holds a third of all candidates is split like any skewed join key.
     """
-    cell = W.partitionBy("qid", "attr")
-    shifted = F.exp(F.col(score) - F.max(score).over(cell))
-    raised = candidates.withColumn("_e", shifted)
-    return raised.withColumn(weight, F.col("_e") / F.sum("_e").over(cell)).drop("_e")
+    rows = cut_lineage(candidates)
+    step = F.floor(F.col(score) / STEP)
+    steps = rows.where(F.col(score).isNotNull()).groupBy("qid", "attr", step.alias("_s")).agg(F.sum(F.exp(F.col(score) - step * STEP)).alias("_e"))
+    top = steps.groupBy("qid", "attr").agg(F.max("_s").alias("_top"), F.collect_list(F.struct("_s", "_e")).alias("_steps"))
+    total = F.aggregate("_steps", F.lit(0.0), lambda t, x: t + x["_e"] * F.exp((x["_s"] - F.col("_top")) * STEP))
+    top = top.select(F.col("qid").alias("_q"), F.col("attr").alias("_a"), "_top", total.alias("_total"))
+    joined = rows.join(top, (F.col("qid") == F.col("_q")) & (F.col("attr") == F.col("_a")))
+    return joined.withColumn(weight, F.exp(F.col(score) - F.col("_top") * STEP) / F.col("_total")).select(*rows.columns, weight)
 
 
 def label_candidates(candidates: DataFrame) -> DataFrame:

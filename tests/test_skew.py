@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from relimpute.functions import ranking
-from relimpute.operators import discover, graph, instances, sample
+from relimpute.operators import discover, graph, induce, instances, sample, score
 
 SETTINGS = {
     "spark.sql.autoBroadcastJoinThreshold": "-1",
@@ -70,3 +71,29 @@ def test_hot_value_in_overlap_closure_and_quantiles(skewed):
     h = (ROWS - 1) * 0.1
     low = values[int(h)] + (values[int(h) + 1] - values[int(h)]) * (h - int(h))
     assert median["quantile"] == pytest.approx(low)
+
+
+def test_a_cell_with_a_third_of_all_candidates(spark, skewed):
+    """Weights, cuts, matches and flags of a hot cell, without a window over its candidates."""
+    cell = F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise((F.col("id") % 997).cast("string"))
+    rows = spark.range(0, ROWS, 1, 8).select(
+        cell.alias("qid"), F.lit("a").alias("attr"), F.lit("p").alias("path_id"), F.col("id").cast("string").alias("instance_id"),
+        # ties at the top of every cell, and scores that exp can not raise by themselves
+        (F.col("id") % 90 * 20.0 - 900).alias("score"), F.lit("x").alias("truth"),
+        F.when(F.col("id") % 7 == 0, F.array(F.lit("c"), F.lit(None))).alias("hits"),
+    )
+    weighted = score.softmax(rows)
+    plan = weighted._jdf.queryExecution().toString()
+    assert "Window" not in plan
+    local = weighted.toPandas()
+    for _, group in local.groupby("qid"):
+        raised = np.exp(group["score"] - group["score"].max())
+        assert np.allclose(group["weight"], raised / raised.sum(), rtol=1e-9, atol=1e-300)
+    local["level"] = local["weight"].round(12)
+    local["rank"] = local.groupby("qid")["level"].rank(ascending=False, method="min")
+    top = local[(local["rank"] <= 3) & local["hits"].notna()]
+    got = induce.matching_columns(weighted).toPandas()
+    assert sorted(zip(got["qid"], got["instance_id"], got["col"])) == sorted((q, i, "c") for q, i in zip(top["qid"], top["instance_id"]))
+    flags = induce.induction_flags(weighted).toPandas().set_index("qid")
+    assert set(flags[flags["max"] == 1].index) == set(top["qid"]) and set(flags[flags["valid"] == 1].index) == set(local[local["hits"].notna()]["qid"])
+    assert (flags["notnull"] == 1).all() and len(flags) == local["qid"].nunique()
