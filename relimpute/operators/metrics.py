@@ -50,17 +50,22 @@ def long_cells(catalog: Catalog, table: str, attributes: Sequence[str], name: st
     return wide.unpivot(["qid"], list(attributes), "attr", name)
 
 
-def eval_cells(dirty: Catalog, clean: Catalog, table: str, attributes: Sequence[str], keys: DataFrame | None = None) -> DataFrame:
-    """(qid, attr, truth): null in the dirty table, known in the clean one, key among `keys` (qid).
-
-    Dirty and clean rows meet once per row; cells are opened after the join.
-    """
+def _asked_rows(dirty: Catalog, clean: Catalog, table: str, attributes: Sequence[str]) -> DataFrame:
+    """(qid, _gaps, _known): rows with null cells, which those are, and the clean texts of the row."""
     df, truth = dirty.table(table), clean.table(table)
     gaps = F.array_compact(F.array(*[F.when(F.col(a).isNull(), F.lit(a)) for a in attributes]))
     asked = df.select(dirty.row_id(table).alias("qid"), gaps.alias("_gaps")).where(F.size("_gaps") > 0)
     texts = [x for a in attributes for x in (F.lit(a), canonical_text(F.col(a), truth.schema[a].dataType))]
     known = truth.select(clean.row_id(table).alias("qid"), F.create_map(*texts).alias("_known"))
-    joined = asked.join(known, "qid")
+    return asked.join(known, "qid")
+
+
+def eval_cells(dirty: Catalog, clean: Catalog, table: str, attributes: Sequence[str], keys: DataFrame | None = None) -> DataFrame:
+    """(qid, attr, truth): null in the dirty table, known in the clean one, key among `keys` (qid).
+
+    Dirty and clean rows meet once per row; cells are opened after the join.
+    """
+    joined = _asked_rows(dirty, clean, table, attributes)
     if keys is not None:
         joined = joined.join(keys.select("qid"), "qid", "left_semi")
     opened = joined.select("qid", F.explode("_gaps").alias("attr"), "_known")
@@ -90,7 +95,31 @@ def judged(cells: DataFrame, runs: DataFrame, classes: dict[str, str], stats: Da
     prediction come in canonical text, where numeric-aware equality is plain equality.
     """
     predicted = runs.select("method", "qid", "attr", F.col("value").alias("pred"))
-    joined = cells.join(predicted, ["qid", "attr"]).withColumn("class", class_column(classes))
+    return _judge(cells.join(predicted, ["qid", "attr"]), classes, stats)
+
+
+def judged_tables(
+    dirty: Catalog, clean: Catalog, table: str, attributes: Sequence[str], runs: dict[str, DataFrame], classes: dict[str, str], stats: DataFrame,
+) -> DataFrame:
+    """`judged` for imputed tables (method -> table): rows meet on their key, and only the null cells are opened after that.
+
+    The wanted cells of a row travel as one array, so neither the known cells nor the long form of a run is exchanged.
+    """
+    asked = _asked_rows(dirty, clean, table, attributes)
+    parts = None
+    for method, df in runs.items():
+        own = clean.with_tables(**{table: df})
+        texts = [x for a in attributes for x in (F.lit(a), canonical_text(F.col(a), df.schema[a].dataType))]
+        answers = df.select(own.row_id(table).alias("qid"), F.create_map(*texts).alias("_pred"))
+        part = asked.join(answers, "qid").select(F.lit(method).alias("method"), "qid", F.explode("_gaps").alias("attr"), "_known", "_pred")
+        part = part.select("method", "qid", "attr", F.element_at("_known", F.col("attr")).alias("truth"), F.element_at("_pred", F.col("attr")).alias("pred"))
+        parts = part if parts is None else parts.unionByName(part)
+    return _judge(parts.where(F.col("truth").isNotNull()), classes, stats)
+
+
+def _judge(joined: DataFrame, classes: dict[str, str], stats: DataFrame) -> DataFrame:
+    """Classes, statistics and errors of (method, qid, attr, truth, pred)."""
+    joined = joined.withColumn("class", class_column(classes))
     # one row per attribute
     joined = joined.join(F.broadcast(stats), "attr", "left")
     number = F.col("class") == "num"
@@ -239,9 +268,10 @@ def rank_metrics(truths: DataFrame, run: DataFrame) -> DataFrame:
     count that combines map-side, so no ranking is sorted however long it is.
     """
     truth = truths.select("qid", "attr", F.col("value").alias("truth"))
-    own = run.join(truth, ["qid", "attr"]).where(F.col("value") == F.col("truth"))
-    own = own.groupBy("qid", "attr").agg(F.max("score").alias("own"))
-    met = run.join(truth, ["qid", "attr"]).join(own, ["qid", "attr"], "left")
+    # met once and written: the truth's own score is needed before anything can be ahead of it
+    met = cut_lineage(run.join(truth, ["qid", "attr"]).select("qid", "attr", "value", "score", "truth"))
+    own = met.where(F.col("value") == F.col("truth")).groupBy("qid", "attr").agg(F.max("score").alias("own"))
+    met = met.join(own, ["qid", "attr"], "left")
     ahead = (F.col("score") > F.col("own")) | ((F.col("score") == F.col("own")) & (F.col("value") > F.col("truth")))
     placed = met.groupBy("qid", "attr").agg(F.max("own").alias("_own"), F.count_if(ahead).alias("_ahead"))
     rank = F.when(F.col("_own").isNotNull(), F.col("_ahead") + 1)

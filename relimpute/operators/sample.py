@@ -100,7 +100,7 @@ def fk_closure(catalog: Catalog, samples: dict[str, DataFrame], max_rounds: int
     """The samples plus every row they refer to, directly or through other rows.
 
     Tables are visited from referencing to referenced, so one lazy pass of semi-joins closes an
-    acyclic key graph. Tables on a cycle are repeated until their key counts stand still.
+    acyclic key graph. On a cycle only the keys found last are followed, until none is new.
     """
     order, cyclic = _ordered(catalog)
     reduced = {t: _keys_once(catalog, t, df) for t, df in samples.items()}
@@ -113,26 +113,43 @@ def fk_closure(catalog: Catalog, samples: dict[str, DataFrame], max_rounds: int
         if table in own:
             wanted = wanted.unionByName(own[table]).distinct()
         kept[table] = _keep(catalog, table, wanted)
-    seen: dict[str, int] = {}
-    for _ in range(max_rounds if cyclic else 0):
-        moved = False
+    if cyclic:
+        found: dict[str, DataFrame] = {}
         for table in cyclic:
-            wanted = _wanted(catalog, kept, table, list(catalog.specs))
+            wanted = _wanted(catalog, kept, table, order)
+            parts = [part for part in (wanted, own.get(table)) if part is not None]
+            if parts:
+                found[table] = cut_lineage((parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])).distinct())
+        kept |= {t: _keep(catalog, t, keys) for t, keys in _cyclic_keys(catalog, cyclic, found, max_rounds).items()}
+    return {t: samples[t] if df is reduced.get(t) else df for t, df in kept.items()}
+
+
+def _cyclic_keys(catalog: Catalog, cyclic: Sequence[str], found: dict[str, DataFrame], max_rounds: int) -> dict[str, DataFrame]:
+    """All keys of the tables on a cycle that `found` leads to. Each round reads the rows of the newest keys and drops what is known."""
+    newest = dict(found)
+    for _ in range(max_rounds):
+        rows = {t: _keep(catalog, t, keys) for t, keys in newest.items()}
+        fresh: dict[str, DataFrame] = {}
+        for table in cyclic:
+            wanted = _wanted(catalog, rows, table, list(rows))
             if wanted is None:
                 continue
-            if table in own:
-                wanted = wanted.unionByName(own[table]).distinct()
+            if table in found:
+                wanted = wanted.join(found[table], "_k", "left_anti")
             wanted = cut_lineage(wanted)
-            n = wanted.count()
-            moved |= n != seen.get(table)
-            seen[table] = n
-            kept[table] = _keep(catalog, table, wanted)
-        if not moved:
-            break
-    else:
-        if cyclic:
-            raise RuntimeError("key closure did not settle; raise max_rounds")
-    return {t: samples[t] if df is reduced.get(t) else df for t, df in kept.items()}
+            if not wanted.isEmpty():
+                fresh[table] = wanted
+        if not fresh:
+            return found
+        for table, keys in fresh.items():
+            found[table] = cut_lineage(found[table].unionByName(keys)) if table in found else keys
+        newest = fresh
+    raise RuntimeError("key closure did not settle; raise max_rounds")
+
+
+def fact_samples(catalog: Catalog, fraction: float = 0.2, seed: int = 10) -> dict[str, DataFrame]:
+    """A share of every fact table."""
+    return {t: down_sample(catalog.table(t), catalog.row_id(t), fraction, seed) for t in fact_tables(catalog)}
 
 
 def one_hop_dimensions(catalog: Catalog, samples: dict[str, DataFrame]) -> dict[str, DataFrame]:

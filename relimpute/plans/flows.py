@@ -261,6 +261,13 @@ def evaluate(data: Redundant, runs: DataFrame, attributes: Sequence[str]) -> Dat
     return metrics.eval_report(metrics.judged(cells, runs, classes, stats))
 
 
+def report_tables(data: Redundant, runs: dict[str, DataFrame], attributes: Sequence[str]) -> DataFrame:
+    """The report of imputed tables, by method."""
+    classes = metrics.attribute_classes(data.clean.table(data.table), attributes)
+    stats = metrics.numeric_stats(data.clean, data.table, [a for a in attributes if classes[a] == "num"])
+    return metrics.eval_report(metrics.judged_tables(data.dirty, data.clean, data.table, attributes, runs, classes, stats))
+
+
 def report(data: Redundant, imputed: DataFrame, method: str, attributes: Sequence[str]) -> DataFrame:
     """The report of one imputed table."""
-    return evaluate(data, metrics.wide_run(data.clean.with_tables(**{data.table: imputed}), data.table, method, attributes), attributes)
+    return report_tables(data, {method: imputed}, attributes)

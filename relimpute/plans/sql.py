@@ -33,7 +33,14 @@ COLUMNS = {
     ],
     "events": [("event_id", "i"), ("ts", "t"), ("user_id", "i"), ("event_type", "s"), ("value", "d"), ("props", "s")],
     "labels": [("doc_id", "i"), ("quality", "i"), ("toxic", "i")],
+    "lineitem": [
+        ("row_id", "s"), ("l_orderkey", "i"), ("l_partkey", "i"), ("l_suppkey", "i"), ("l_linenumber", "i"), ("l_quantity", "d"), ("l_extendedprice", "d"),
+        ("l_discount", "d"), ("l_tax", "d"), ("l_returnflag", "s"), ("l_linestatus", "s"), ("l_shipdate", "t"),
+    ],
+    "documents": [("doc_id", "i"), ("text", "s"), ("lang", "s"), ("source", "s"), ("n_chars", "i")],
+    "conversations": [("conv_id", "i"), ("turn", "i"), ("role", "s"), ("text", "s")],
 }
+KEY_PARTS = ("conv_id", "turn")
 
 DTYPES = {"i": "bigint", "d": "double", "s": "string", "t": "timestamp"}
 
@@ -84,19 +91,22 @@ CUST_X = f"{CUST_D}, cust_x AS (SELECT c_custkey, c_nationkey, " + ", ".join(mas
 
 
 def source(table: str) -> str:
-    return "ord_d" if table == "orders" else table
+    return {"orders": "ord_d", "lineitem": "li"}.get(table, table)
+
+
+def is_key(table: str, column: str) -> bool:
+    pk, fks = KEYS[table]
+    return column == pk or column in fks or (table == "conversations" and column in KEY_PARTS)
 
 
 def cell_values(tables: list[str], keys: bool = True) -> str:
     """Distinct (t, c, k, v) of all columns; `k` marks keys."""
     parts = []
     for t in tables:
-        pk, fks = KEYS[t]
         for c, kind in COLUMNS[t]:
-            is_key = c == pk or c in fks
-            if keys or not is_key:
+            if keys or not is_key(t, c):
                 parts.append(
-                    f"SELECT DISTINCT '{t}' AS t, '{c}' AS c, {str(is_key).lower()} AS k, {text(c, kind)} AS v "
+                    f"SELECT DISTINCT '{t}' AS t, '{c}' AS c, {str(is_key(t, c)).lower()} AS k, {text(c, kind)} AS v "
                     f"FROM {source(t)} WHERE {c} IS NOT NULL"
                 )
     return " UNION ALL ".join(parts)
@@ -105,7 +115,7 @@ def cell_values(tables: list[str], keys: bool = True) -> str:
 def containment(tables: list[str]) -> str:
     """CTEs `cv`, `nd` and `idx` (t1, c1, t2, c2, score)."""
     return (
-        f"{ORD_D}, cv AS MATERIALIZED ({cell_values(tables)}), nd AS (SELECT t, c, count(*) AS n FROM cv GROUP BY t, c), "
+        f"{ORD_D}, {LI}, cv AS MATERIALIZED ({cell_values(tables)}), nd AS (SELECT t, c, count(*) AS n FROM cv GROUP BY t, c), "
         "pr AS (SELECT a.t AS t1, a.c AS c1, a.k AS k1, b.t AS t2, b.c AS c2, b.k AS k2, count(*) AS common "
         "FROM cv a JOIN cv b ON a.v = b.v AND a.t <> b.t GROUP BY ALL), "
         "idx AS (SELECT t1, c1, t2, c2, CAST(common AS DOUBLE) / n AS score FROM pr JOIN nd ON t1 = nd.t AND c1 = nd.c WHERE NOT k1)"

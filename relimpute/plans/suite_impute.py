@@ -16,7 +16,7 @@ from relimpute.plans import sql as q
 from relimpute.plans.registry import Registry
 from relimpute.plans.star import star_catalog
 from relimpute.plans.suite_paths import CUSTOMER_KNOWN, CUSTOMER_PATHS, HOME, NATION_NAME, TO_CUSTOMER, customer_paths, paths_of
-from relimpute.plans.suite_tables import VALUE_TABLES, clean, dirty, with_redundant_orders
+from relimpute.plans.suite_tables import ORDER_SOURCES, clean, dirty, with_redundant_orders
 from relimpute.session import cut_lineage
 from relimpute.sources.catalog import Catalog
 
@@ -192,7 +192,8 @@ def order_votes(spark: SparkSession, folder: str) -> tuple[Catalog, Catalog, Dat
     tidy = with_redundant_orders(spark, folder)
     catalog = dirty(tidy, "orders")
     _, voted = flows.impute(catalog, "orders", order_paths(catalog), orders_summary_of(catalog))
-    return tidy, catalog, voted.drop("text")
+    # written once: answers, rankings and truths all come from it
+    return tidy, catalog, cut_lineage(voted.drop("text"))
 
 
 @suite.add(
@@ -237,7 +238,7 @@ _FILLED = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_or
 def imputed_orders(spark: SparkSession, folder: str) -> tuple[flows.Redundant, DataFrame]:
     """Paths found in the data, induced on known cells, voted on and written back."""
     data = flows.make_dirty(star_catalog(spark, folder), "orders", min_refs=1)
-    found = flows.discover_paths(data.dirty, "orders", VALUE_TABLES, data.attributes)
+    found = flows.discover_paths(data.dirty, "orders", ORDER_SOURCES, data.attributes)
     summary = flows.induced_summary(data.dirty, "orders", found)
     return data, flows.impute(data.dirty, "orders", found, summary)[0]
 
@@ -420,26 +421,28 @@ def _js_sql(source: str, by: str, t: str, p: str, tag: str) -> str:
     )
 
 
-def runs_of(tidy: Catalog, catalog: Catalog, filled: DataFrame) -> DataFrame:
+def tables_of_runs(catalog: Catalog, filled: DataFrame) -> dict[str, DataFrame]:
     """Two methods: the vote along the customer path, and the mean price of a customer's other orders."""
-    names = list(_JUDGED_ATTRIBUTES)
-    voted = metrics.wide_run(catalog.with_tables(orders=filled), "orders", "vote", names)
     dirty_orders = catalog.table("orders")
     price = F.col("o_totalprice").cast("decimal(18,2)")
     means = dirty_orders.where(F.col("o_totalprice").isNotNull()).groupBy("o_custkey")
     means = means.agg((F.sum(price).cast("double") / F.count("o_totalprice")).alias("_mean"))
     averaged = dirty_orders.join(means, "o_custkey", "left").withColumn("o_totalprice", F.coalesce("o_totalprice", "_mean"))
-    by_mean = metrics.wide_run(catalog.with_tables(orders=averaged.drop("_mean")), "orders", "mean", names)
-    return metrics.union_runs([voted, by_mean])
+    return {"vote": filled, "mean": averaged.drop("_mean")}
+
+
+def runs_of(tidy: Catalog, catalog: Catalog, filled: DataFrame) -> DataFrame:
+    """The two methods as long runs."""
+    runs = tables_of_runs(catalog, filled)
+    return metrics.union_runs([metrics.wide_run(catalog.with_tables(orders=df), "orders", method, list(_JUDGED_ATTRIBUTES)) for method, df in runs.items()])
 
 
 def judged_orders(spark: SparkSession, folder: str) -> DataFrame:
     tidy, catalog, filled = filled_orders(spark, folder)
     names = list(_JUDGED_ATTRIBUTES)
     classes = metrics.attribute_classes(tidy.table("orders"), names)
-    cells = metrics.eval_cells(catalog, tidy, "orders", names)
     stats = metrics.numeric_stats(tidy, "orders", _NUMERIC)
-    return metrics.judged(cells, runs_of(tidy, catalog, filled), classes, stats)
+    return metrics.judged_tables(catalog, tidy, "orders", names, tables_of_runs(catalog, filled), classes, stats)
 
 
 def rounded(df: DataFrame, *names: str) -> DataFrame:

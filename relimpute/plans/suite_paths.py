@@ -300,41 +300,42 @@ def table_size_filter(spark: SparkSession, folder: str) -> DataFrame:
     return profile.training_tables(star_catalog(spark, folder))
 
 
-_LINE_SAMPLE = f"{q.LI}, ls AS (SELECT * FROM li WHERE substring({q.draw('row_id', repr('row'), 10)},1,8) < '{q.BOUND_20}')"
+def _facts_sql() -> str:
+    """CTEs `ls`, `es`, `bs` (sampled lines, events, labels) and what they refer to: o, s, c, n, with parts, regions and documents left to the query."""
+    taken = {name: f"substring({q.draw(key, repr('row'), 10)},1,8) < '{q.BOUND_20}'" for name, key in (("ls", "row_id"), ("es", "event_id"), ("bs", "doc_id"))}
+    return (
+        f"{q.LI}, ls AS (SELECT * FROM li WHERE {taken['ls']}), es AS (SELECT * FROM events WHERE {taken['es']}), bs AS (SELECT * FROM labels WHERE {taken['bs']}), "
+        "o AS (SELECT * FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM ls)), s AS (SELECT * FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM ls))"
+    )
 
 
-def line_sample(catalog: Catalog) -> dict[str, DataFrame]:
-    return {"lineitem": sample.down_sample(catalog.table("lineitem"), catalog.row_id("lineitem"), 0.2)}
+_DIMS = (
+    "n AS (SELECT * FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM c UNION SELECT s_nationkey FROM s)), "
+    "k AS (SELECT 'lineitem' AS \"table\", row_id FROM ls UNION ALL SELECT 'events', CAST(event_id AS VARCHAR) FROM es UNION ALL SELECT 'labels', CAST(doc_id AS VARCHAR) FROM bs UNION ALL "
+    "SELECT 'orders', CAST(o_orderkey AS VARCHAR) FROM o UNION ALL SELECT 'customer', CAST(c_custkey AS VARCHAR) FROM c UNION ALL SELECT 'supplier', CAST(s_suppkey AS VARCHAR) FROM s UNION ALL "
+    "SELECT 'part', CAST(p_partkey AS VARCHAR) FROM part WHERE p_partkey IN (SELECT l_partkey FROM ls) UNION ALL SELECT 'documents', CAST(doc_id AS VARCHAR) FROM documents WHERE doc_id IN (SELECT doc_id FROM bs) UNION ALL "
+    "SELECT 'nation', CAST(n_nationkey AS VARCHAR) FROM n UNION ALL SELECT 'region', CAST(r_regionkey AS VARCHAR) FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM n))"
+)
 
 
 @suite.add(
     "fk_closure",
-    f"WITH {_LINE_SAMPLE}, o AS (SELECT * FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM ls)), "
-    "c AS (SELECT * FROM customer WHERE c_custkey IN (SELECT o_custkey FROM o)), s AS (SELECT * FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM ls)), "
-    "n AS (SELECT * FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM c UNION SELECT s_nationkey FROM s)) "
-    "SELECT 'lineitem' AS \"table\", row_id FROM ls UNION ALL SELECT 'orders', CAST(o_orderkey AS VARCHAR) FROM o UNION ALL "
-    "SELECT 'customer', CAST(c_custkey AS VARCHAR) FROM c UNION ALL SELECT 'supplier', CAST(s_suppkey AS VARCHAR) FROM s UNION ALL "
-    "SELECT 'part', CAST(p_partkey AS VARCHAR) FROM part WHERE p_partkey IN (SELECT l_partkey FROM ls) UNION ALL "
-    "SELECT 'nation', CAST(n_nationkey AS VARCHAR) FROM n UNION ALL "
-    "SELECT 'region', CAST(r_regionkey AS VARCHAR) FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM n)",
+    f"WITH {_facts_sql()}, c AS (SELECT * FROM customer WHERE c_custkey IN (SELECT o_custkey FROM o UNION SELECT user_id FROM es)), {_DIMS} SELECT * FROM k",
 )
 def fk_closure(spark: SparkSession, folder: str) -> DataFrame:
+    """A fifth of every fact table and all rows that they refer to."""
     catalog = star_catalog(spark, folder)
-    return sample.kept_rows(catalog, sample.fk_closure(catalog, line_sample(catalog)))
+    return sample.kept_rows(catalog, sample.fk_closure(catalog, sample.fact_samples(catalog)))
 
 
 @suite.add(
     "one_hop_dims",
-    f"WITH {_LINE_SAMPLE}, o AS (SELECT * FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM ls)), s AS (SELECT * FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM ls)), "
-    "c AS (SELECT * FROM customer WHERE c_custkey IN (SELECT o_custkey FROM o)), "
-    "n AS (SELECT * FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM c UNION SELECT s_nationkey FROM s)) "
-    "SELECT 'lineitem' AS \"table\", count(*) AS rows FROM ls UNION ALL SELECT 'orders', count(*) FROM o UNION ALL SELECT 'supplier', count(*) FROM s UNION ALL "
-    "SELECT 'part', count(*) FROM part WHERE p_partkey IN (SELECT l_partkey FROM ls) UNION ALL SELECT 'customer', count(*) FROM c UNION ALL "
-    "SELECT 'nation', count(*) FROM n UNION ALL SELECT 'region', count(*) FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM n)",
+    # customers are reached from the events directly, so those of the orders do not count
+    f"WITH {_facts_sql()}, c AS (SELECT * FROM customer WHERE c_custkey IN (SELECT user_id FROM es)), {_DIMS} SELECT \"table\", count(*) AS rows FROM k GROUP BY 1",
 )
 def one_hop_dims(spark: SparkSession, folder: str) -> DataFrame:
     catalog = star_catalog(spark, folder)
-    kept = sample.kept_rows(catalog, sample.one_hop_dimensions(catalog, line_sample(catalog)))
+    kept = sample.kept_rows(catalog, sample.one_hop_dimensions(catalog, sample.fact_samples(catalog)))
     return kept.groupBy("table").agg(F.count(F.lit(1)).alias("rows"))
 
 

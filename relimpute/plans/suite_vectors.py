@@ -129,7 +129,7 @@ def entries(found: DataFrame, *key: str) -> DataFrame:
 
 
 _SLOTS = "CAST(unnest(range(64)) AS INTEGER) AS slot, round(unnest(e), 9) AS value"
-_ALL_TABLES = [t for t in q.COLUMNS if t not in ("orders", "labels", "events")]
+_ALL_TABLES = ["region", "nation", "customer", "supplier", "part"]
 
 
 @suite.add(

@@ -11,7 +11,7 @@ from relimpute.operators import embed, induce, instances, metrics, sample, score
 from relimpute.operators.graph import parse_path
 from relimpute.plans import flows, suites
 from relimpute.plans.star import star_catalog
-from relimpute.plans.suite_tables import VALUE_TABLES
+from relimpute.plans.suite_tables import ORDER_SOURCES
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -122,7 +122,7 @@ def test_known_cells_and_splits(spark):
 
 def test_round_trip_recovers_copied_attributes(spark):
     data = flows.make_dirty(star_catalog(spark, FOLDER), "orders", min_refs=1)
-    found = flows.discover_paths(data.dirty, "orders", VALUE_TABLES, data.attributes)
+    found = flows.discover_paths(data.dirty, "orders", ORDER_SOURCES, data.attributes)
     copied = ["o_custkey_c_acctbal", "o_custkey_c_name"]
     assert [found[a][0].label for a in copied] == ["orders>(o_custkey,c_custkey)>customer"] * 2
     summary = flows.induced_summary(data.dirty, "orders", found)

@@ -127,6 +127,26 @@ def test_reachable_rows_match_a_search(make_catalog):
     assert tuples(sample.reachable_rows(catalog, start)) == sorted(seen, key=repr)
 
 
+def test_closure_follows_cycles_from_the_newest_keys(make_catalog):
+    """Employees name a boss and a team, teams name a lead; a fact names employees."""
+    people = [(i, i // 2 if i > 1 else None, i % 7) for i in range(1, 200)]
+    teams = [(t, 100 + t) for t in range(7)]
+    catalog = make_catalog(
+        fact=("f", {"e": "emp"}, [(1, 190), (2, 999)], "f int, e int"), emp=("e", {"boss": "emp", "team": "team"}, people, "e int, boss int, team int"),
+        team=("team", {"lead": "emp"}, teams, "team int, lead int"),
+    )
+    assert sample.fact_tables(catalog) == ["fact"]
+    kept = {t: {r[0] for r in df.select(catalog.row_id(t)).collect()} for t, df in sample.fk_closure(catalog, sample.fact_samples(catalog, 1.0)).items()}
+    want, todo = {("fact", 1), ("fact", 2), ("emp", 190)}, [("emp", 190)]
+    rows = {("emp", e): [("emp", b), ("team", t)] for e, b, t in people} | {("team", t): [("emp", lead)] for t, lead in teams}
+    while todo:
+        for near in rows[todo.pop()]:
+            if near in rows and near not in want:
+                want.add(near)
+                todo.append(near)
+    assert kept == {t: {str(k) for n, k in want if n == t} for t in ("fact", "emp", "team")}
+
+
 def test_a_long_chain_takes_few_rounds(make_catalog, monkeypatch):
     """2,000 rows that each name the one before, a hub of 500, and a row without links."""
     chain = [(i, i - 1 if i else None) for i in range(2000)] + [(3000 + i, 3000) for i in range(1, 500)] + [(3000, None), (9000, None), (9001, 12345)]
