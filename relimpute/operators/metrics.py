@@ -109,9 +109,12 @@ def judged_tables(
     parts = None
     for method, df in runs.items():
         own = clean.with_tables(**{table: df})
-        texts = [x for a in attributes for x in (F.lit(a), canonical_text(F.col(a), df.schema[a].dataType))]
-        answers = df.select(own.row_id(table).alias("qid"), F.create_map(*texts).alias("_pred"))
-        part = asked.join(answers, "qid").select(F.lit(method).alias("method"), "qid", F.explode("_gaps").alias("attr"), "_known", "_pred")
+        texts = [x for a in attributes if a in df.columns for x in (F.lit(a), canonical_text(F.col(a), df.schema[a].dataType))]
+        texts = F.create_map(*texts) if texts else F.create_map().cast("map<string,string>")
+        answers = df.select(own.row_id(table).alias("qid"), texts.alias("_pred"))
+        # a run may hold part of the attributes only
+        answered = F.array_intersect("_gaps", F.array(*[F.lit(a) for a in attributes if a in df.columns]).cast("array<string>"))
+        part = asked.withColumn("_gaps", answered).join(answers, "qid").select(F.lit(method).alias("method"), "qid", F.explode("_gaps").alias("attr"), "_known", "_pred")
         part = part.select("method", "qid", "attr", F.element_at("_known", F.col("attr")).alias("truth"), F.element_at("_pred", F.col("attr")).alias("pred"))
         parts = part if parts is None else parts.unionByName(part)
     return _judge(parts.where(F.col("truth").isNotNull()), classes, stats)
@@ -247,6 +250,26 @@ def eval_report(judged_cells: DataFrame) -> DataFrame:
     )
 
 
+def full_report(judged_cells: DataFrame, stats: DataFrame, distinct: DataFrame, times: DataFrame, coverage: DataFrame | None = None) -> DataFrame:
+    """`eval_report` with what a comparison of methods prints beside the errors.
+
+    Adds train_time and test_time of the method; max and min of the clean column (`stats`), its number of distinct values
+    (`distinct`: attr, ndv); zero_truths, which the percentage error leaves out; and redundancy, the share of cells
+    whose truth some candidate holds (`coverage`: attr, valid_rate), -1 where it is not known. All of these have a
+    row per attribute or method.
+    """
+    judged_cells = cut_lineage(judged_cells)
+    by = ["method", "class", "attr"]
+    zeros = with_totals(judged_cells.select(*by, "t")).groupBy(*by).agg(F.count_if(F.col("t") == 0).alias("zero_truths"))
+    report = eval_report(judged_cells).join(zeros, by, "left").join(F.broadcast(times.select("method", "train_time", "test_time")), "method", "left")
+    report = report.join(F.broadcast(stats.select("attr", F.col("max").alias("max_value"), F.col("min").alias("min_value"))), "attr", "left")
+    report = report.join(F.broadcast(distinct.select("attr", F.col("ndv").alias("unique_cnt"))), "attr", "left")
+    if coverage is None:
+        return report.withColumn("redundancy", F.lit(-1.0))
+    known = F.broadcast(coverage.select("attr", F.col("valid_rate").alias("redundancy")))
+    return report.join(known, "attr", "left").withColumn("redundancy", F.coalesce("redundancy", F.lit(-1.0)))
+
+
 def numeric_stats(clean: Catalog, table: str, attributes: Sequence[str]) -> DataFrame:
     return clean_stats(clean.table(table), list(attributes))
 

@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from relimpute.operators import denorm, discover, embed, fallback, graph, induce, inject, instances, metrics, sample, score, vectors, vote
+from relimpute.operators import denorm, discover, embed, fallback, graph, induce, inject, instances, metrics, profile, sample, score, vectors, vote
 from relimpute.operators.graph import MetaPath
 from relimpute.session import cut_lineage
+from relimpute.sources import io
 from relimpute.sources.catalog import Catalog
 
 
@@ -271,3 +272,27 @@ def report_tables(data: Redundant, runs: dict[str, DataFrame], attributes: Seque
 def report(data: Redundant, imputed: DataFrame, method: str, attributes: Sequence[str]) -> DataFrame:
     """The report of one imputed table."""
     return report_tables(data, {method: imputed}, attributes)
+
+
+def report_runs(
+    data: Redundant, pattern: str, attributes: Sequence[str], include: Sequence[str] = (), exclude: Sequence[str] = (), coverage: DataFrame | None = None,
+) -> DataFrame:
+    """The full report of a folder of run files `..._<method>_<train time>_<test time>.csv`, methods picked or left out.
+
+    Runs may differ in columns and in the form of their keys. With the `coverage` of an induction the report says
+    how much of every attribute could be found at all.
+    """
+    spark, spec = data.clean.spark, data.clean.specs[data.table]
+    found = [f for f in io.run_files(spark, pattern) if (not include or f[1] in include) and f[1] not in exclude]
+    if not found:
+        raise ValueError(f"no runs at {pattern}")
+    runs = {method: io.read_run(spark, path, spec) for path, method, _, _ in found}
+    if len(runs) < len(found):
+        raise ValueError("two runs of one method; pick them by the pattern")
+    clean = data.clean.table(data.table)
+    classes = metrics.attribute_classes(clean, attributes)
+    stats = metrics.numeric_stats(data.clean, data.table, [a for a in attributes if classes[a] == "num"])
+    distinct = profile.value_counts(clean, list(attributes)).groupBy(F.col("col").alias("attr")).agg(F.count("value").alias("ndv"))
+    times = spark.createDataFrame([f[1:] for f in found], "method string, train_time double, test_time double")
+    judged = metrics.judged_tables(data.dirty, data.clean, data.table, attributes, runs, classes, stats)
+    return metrics.full_report(judged, stats, distinct, times, coverage)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from hashlib import md5
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relimpute.functions.hashing import bucket_of
+from relimpute.functions.text import normalize_value
+from relimpute.sources.catalog import TableSpec, lower_names, merge_key
 
 EMBEDDING_SCHEMA = "table string, row_id string, embedding array<double>"
 RANKING_SCHEMA = "qid string, attr string, value string, score double"
@@ -47,10 +51,44 @@ def read_runs(spark: SparkSession, pattern: str, schema: str | None = None) -> D
     )
 
 
+def run_files(spark: SparkSession, pattern: str) -> list[tuple[str, str, float | None, float | None]]:
+    """(path, method, train_time, test_time) of the run files or folders that a glob names; one entry per run."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(conf).globStatus(path)
+    out = []
+    for status in found or []:
+        name = status.getPath().getName()
+        match = re.search(RUN_NAME, name)
+        if match:
+            times = [float(t) if re.fullmatch(r"\d+(\.\d*)?", t) else None for t in match.groups()[1:]]
+            out.append((status.getPath().toString(), match.group(1), *times))
+    return sorted(out)
+
+
+def read_run(spark: SparkSession, path: str, spec: TableSpec) -> DataFrame:
+    """One imputed table as text columns under the names of the query table, whatever form the run has.
+
+    Names are lower-cased, `<column>_imputed` stands for the column, key parts are merged if the run keeps them
+    apart, and a key written as `5.0` reads `5`.
+    """
+    df = lower_names(spark.read.option("header", True).csv(path))
+    imputed = {c.removesuffix("_imputed"): c for c in df.columns if c.endswith("_imputed")}
+    df = df.select(*[F.col(imputed.get(c, c)).alias(c) for c in dict.fromkeys(c.removesuffix("_imputed") for c in df.columns)])
+    parts = [c for c in spec.pk if c in df.columns]
+    df = df.withColumns({c: normalize_value(F.col(c)) for c in parts})
+    if spec.key not in df.columns and len(parts) == len(spec.pk):
+        df = df.withColumn(spec.key, merge_key(spec))
+    if spec.key not in df.columns:
+        raise ValueError(f"{path} has no key {spec.key} of {spec.name}")
+    return df
+
+
 def write_rankings(rankings: DataFrame, path: str, score: str = "score", nested: bool = True) -> None:
     """Rankings as JSON lines.
 
-    The nested form is `{"query": "q__<row>__<attr>", "docs": {value: score}}`. A query with very
+    The nested form is `{"query": "q__<row>__<attr>", "qid": ..., "attr": ..., "docs": {value: score}}`; merged keys and
+    attributes hold underscores themselves, so both stand beside the name. A query with very
     many values is spread over several lines, so no line grows without limit.
     """
     if not nested:
@@ -59,7 +97,7 @@ def write_rankings(rankings: DataFrame, path: str, score: str = "score", nested:
     query = F.concat(F.lit("q__"), F.col("qid"), F.lit("__"), F.col("attr"))
     sizes = rankings.groupBy("qid", "attr").agg(F.ceil(F.count(F.lit(1)) / NESTED_CHUNK).alias("_parts"))
     parted = rankings.join(sizes, ["qid", "attr"]).withColumn("_part", bucket_of(F.md5("value"), F.col("_parts")))
-    lines = parted.groupBy(query.alias("query"), "_part").agg(
+    lines = parted.groupBy(query.alias("query"), "qid", "attr", "_part").agg(
         F.map_from_entries(F.collect_list(F.struct("value", F.col(score).cast("double").alias("score")))).alias("docs")
     )
     lines.drop("_part").write.mode("overwrite").json(path)
@@ -69,11 +107,12 @@ def read_rankings(spark: SparkSession, path: str, nested: bool = True) -> DataFr
     """Rankings in long form (qid, attr, value, score)."""
     if not nested:
         return spark.read.schema(RANKING_SCHEMA).json(path)
-    lines = spark.read.schema("query string, docs map<string, double>").json(path)
-    name = r"^q__(.*?)__(.*)$"
+    lines = spark.read.schema("query string, qid string, attr string, docs map<string, double>").json(path)
+    # files of others have the name only: then the attribute is what follows the last pair of underscores
+    name = r"^q__(.*)__(.*)$"
     return lines.select(
-        F.regexp_extract("query", name, 1).alias("qid"),
-        F.regexp_extract("query", name, 2).alias("attr"),
+        F.coalesce("qid", F.regexp_extract("query", name, 1)).alias("qid"),
+        F.coalesce("attr", F.regexp_extract("query", name, 2)).alias("attr"),
         F.explode("docs").alias("value", "score"),
     )
 
@@ -91,13 +130,40 @@ def write_embeddings(embeddings: DataFrame, path: str) -> None:
     embeddings.write.mode("overwrite").partitionBy("table").parquet(path)
 
 
+def input_key(df: DataFrame) -> str:
+    """A name for what a DataFrame computes: its plan and the paths, sizes and times of the files it reads.
+
+    File data come from a scan that lists the files and reads none.
+    """
+    plan = df._jdf.queryExecution().analyzed().canonicalized().toString()
+    plan = re.sub(r"\[id=#?\d+\]|#\d+L?", "", plan)
+    files = df.inputFiles()
+    seen = ""
+    if files:
+        listed = df.sparkSession.read.format("binaryFile").load(sorted(files)).select("path", "length", "modificationTime")
+        state = listed.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")).alias("h")).first()
+        seen = f"{state['n']}:{state['h']}"
+    return md5(f"{plan}|{seen}".encode()).hexdigest()
+
+
+def _written(spark: SparkSession, path: str) -> bool:
+    """Whether a folder was written to its end."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
+
+
 def reuse(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """Read a stored intermediate, or build it, store it and read it back."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        build().write.parquet(path)
-        return spark.read.parquet(path)
+    """The stored form of what `build` describes, computed only if it is not there yet.
+
+    It lies in a folder under `path` that is named by plan and input files (`input_key`), so changed inputs or another
+    computation never meet an old result; a folder without `_SUCCESS` is the rest of a broken write and is
+    written anew. `build` returns a lazy DataFrame; nothing runs if the result is there.
+    """
+    df = build()
+    folder = f"{path.rstrip('/')}/{input_key(df)}"
+    if not _written(spark, folder):
+        df.write.mode("overwrite").parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
 
 
 def find_rows(df: DataFrame, attributes: dict[str, object]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from relimpute.functions.text import normalize_value, values_equal
 from relimpute.operators import denorm, features, inject, profile
 from relimpute.operators.denorm import Hub
+from relimpute.plans import flows
 from relimpute.sources import catalog as keys
 from relimpute.sources import io
 from relimpute.sources.catalog import Catalog, TableSpec, parse_schema
@@ -54,19 +55,67 @@ def test_runs_rankings_embeddings_and_reuse(spark, tmp_path):
     stored = spark.createDataFrame([("t", "1", [0.5, 1.0])], io.EMBEDDING_SCHEMA)
     io.write_embeddings(stored, str(tmp_path / "emb"))
     assert tuples(io.read_embeddings(spark, str(tmp_path / "emb"))) == tuples(stored)
-    calls = []
-
-    def build():
-        calls.append(1)
-        return stored
-
-    for _ in range(2):
-        assert io.reuse(spark, str(tmp_path / "kept"), build).count() == 1
-    assert len(calls) == 1
     io.write_table(ranked, str(tmp_path / io.dirty_name("t", 0.2)))
     assert spark.read.option("header", True).csv(str(tmp_path / "t_all_columns_20")).count() == 3
 
 
+def test_nested_rankings_of_merged_keys(spark, tmp_path):
+    ranked = spark.createDataFrame([("5__9", "a__b", "A", 2.0), ("5__9", "c", "B", 1.0)], io.RANKING_SCHEMA)
+    io.write_rankings(ranked, str(tmp_path / "rank"))
+    assert tuples(io.read_rankings(spark, str(tmp_path / "rank"))) == tuples(ranked)
+    # lines that only have the name
+    (tmp_path / "other.json").write_text('{"query": "q__5__9__c", "docs": {"B": 1.0}}')
+    assert tuples(io.read_rankings(spark, str(tmp_path / "other.json"))) == [("5__9", "c", "B", 1.0)]
+
+
+def test_reuse_follows_plan_inputs_and_whole_writes(spark, tmp_path):
+    source, kept = str(tmp_path / "source"), str(tmp_path / "kept")
+    spark.range(10).write.parquet(source)
+
+    def sums(n):
+        return io.reuse(spark, kept, lambda: spark.read.parquet(source).where(F.col("id") < n).agg(F.sum("id").alias("s")))
+
+    def folders():
+        return sorted(p for p in (tmp_path / "kept").iterdir())
+
+    assert sums(5).first()["s"] == 10 and len(folders()) == 1
+    # the same again is read, not computed: a changed stored value shows
+    spark.createDataFrame([(99,)], "s bigint").write.mode("overwrite").parquet(str(folders()[0]))
+    assert sums(5).first()["s"] == 99
+    assert sums(6).first()["s"] == 15 and len(folders()) == 2
+    # a broken write is written anew
+    (folders()[0] / "_SUCCESS").unlink()
+    (folders()[1] / "_SUCCESS").unlink()
+    assert sums(5).first()["s"] == 10 and sums(6).first()["s"] == 15 and len(folders()) == 2
+    # other input files, other result
+    spark.range(3, 4).write.mode("append").parquet(source)
+    assert sums(5).first()["s"] == 13 and len(folders()) == 3
+
+
+def test_folder_of_runs_to_report(spark, make_catalog, tmp_path):
+    """Three methods: merged keys, key parts apart with `_imputed` columns, and one that is left out."""
+    rows = [(i, i % 2, float(i), "ab"[i % 2], 0.0 if i < 4 else 2.0) for i in range(8)]
+    types = "a bigint, b bigint, v double, s string, z double"
+    catalog = make_catalog(t=("a, b", {}, rows, types))
+    holes = spark.createDataFrame([(a, b, None if a < 4 else v, None if a < 2 else s, None if a == 1 or a == 5 else z) for a, b, v, s, z in rows], types)
+    data = flows.Redundant(catalog, catalog.with_tables(t=holes), "t", ["v", "s", "z"])
+    (tmp_path / "t_x_vote_10_2.5.csv").write_text("a__b,V,s,z\n" + "\n".join(f"{a}__{b},{v},{s},{z + 1}" for a, b, v, s, z in rows))
+    (tmp_path / "t_x_mean_1_n.csv").write_text("a,b,v,v_imputed\n" + "\n".join(f"{a}.0,{b},,{v + 7}" for a, b, v, s, z in rows))
+    (tmp_path / "t_x_bad_1_1.csv").write_text("nothing\n1\n")
+    coverage = spark.createDataFrame([("v", 0.75)], "attr string, valid_rate double")
+    report = {(r["method"], r["attr"]): r for r in flows.report_runs(data, str(tmp_path / "t_x_*.csv"), ["v", "s", "z"], exclude=["bad"], coverage=coverage).collect()}
+    assert {k for k in report if k[1] != "all"} == {("vote", "v"), ("vote", "s"), ("vote", "z"), ("mean", "v")}
+    r = report["vote", "v"]
+    assert (r["missing_cnt"], r["accuracy"], r["mae"], r["train_time"], r["test_time"], r["max_value"], r["min_value"], r["unique_cnt"], r["redundancy"], r["zero_truths"]) == (4, 1.0, 0.0, 10.0, 2.5, 7.0, 0.0, 8, 0.75, 1)
+    assert report["mean", "v"]["mae"] == pytest.approx(1.0) and report["mean", "v"]["test_time"] is None and report["mean", "v"]["accuracy"] == 0.0
+    assert report["vote", "s"]["accuracy"] == 1.0 and report["vote", "s"]["redundancy"] == -1.0 and report["vote", "s"]["max_value"] is None
+    assert report["vote", "z"]["zero_truths"] == 1 and report["vote", "z"]["missing_cnt"] == 2
+    with pytest.raises(ValueError, match="no key"):
+        flows.report_runs(data, str(tmp_path / "t_x_bad*.csv"), ["v"])
+    with pytest.raises(ValueError, match="no runs"):
+        flows.report_runs(data, str(tmp_path / "none*.csv"), ["v"])
+
+
 def test_informative_columns_are_strict(make_catalog):
     rows = [(i, str(i % 5), None if i == 0 else str(i % 5), str(i), None if i < 2 else str(i)) for i in range(10)]
     catalog = make_catalog(h=("id", {}, rows, "id int, five string, five_and_null string, good string, gaps string"))
