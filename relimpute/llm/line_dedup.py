@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relimpute.llm.tables import ascii_lower, stored
+from relimpute.llm.tables import ascii_lower, sent_if_small, stored
 
 #: Space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -26,12 +26,12 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Returns one row per input row: doc_id, text (the lines that stay, joined by a line feed), n_lines
     (before dropping), n_dropped, and the columns named in `keep`. Every document contributes a key once, however often it
-    repeats a line; documents count as rows, so a repeated row counts again, and rows of
-    one doc_id or without one are documents of their own. NULL and empty texts have one empty line. Keys under
+    repeats a line and however many rows have its doc_id; rows without doc_id are documents of their own. Every row is
+    judged by its own text. NULL and empty texts have one empty line. Keys under
     `min_chars` code points are never dropped. Empty tables give empty results; other columns are ignored.
 
     Documents emit hashes, not lines. Counting combines them before the exchange, and a hash in a
-    third of all documents is one row per task there. The join that brings frequent hashes
+    third of all documents is one row per task there; only rows of a repeated doc_id are made distinct first. The join that brings frequent hashes
     back to their documents repeats a hot hash on one side only, where Spark splits it; their lines
     are then cut out of the text in place, which keeps positions without sorting.
     """
@@ -40,8 +40,17 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.withColumn("row", F.struct("doc_id", F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b")))
     keys = F.array_distinct(F.transform(F.split("text", "\n"), line_key))
     keyed = rows.select("row", F.explode(keys).alias("key")).where(F.length("key") >= min_chars).select("row", key_hash(F.col("key")).alias("hash"))
+    again = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("again"))
+    again = stored(again, "repeated-ids")
+    if again.isEmpty():
+        counts = keyed.groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
+    else:
+        told = keyed.withColumn("doc_id", F.col("row.doc_id")).join(sent_if_small(again), F.col("doc_id") == F.col("again"), "left")
+        single = told.where("again IS NULL").groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
+        several = told.where("again IS NOT NULL").select("hash", "doc_id").distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
+        counts = single.unionByName(several).groupBy("hash").agg(F.sum("n").alias("n"))
     # A table of its own, so that the join below has its own exchange, which Spark can split.
-    frequent = stored(keyed.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("hash"), "frequent-lines")
+    frequent = stored(counts.where(F.col("n") >= min_docs).select("hash"), "frequent-lines")
     drops = keyed.join(frequent, "hash").groupBy("row").agg(F.collect_set("hash").alias("drops"))
     joined = rows.join(drops, rows["row"].eqNullSafe(drops["row"]), "left").select("doc_id", "text", "rest", F.coalesce("drops", F.array().cast(drops.schema["drops"].dataType)).alias("drops"))
     lines = F.split("text", "\n")

@@ -42,9 +42,11 @@ def test_line_dedup_matches_plain_python(spark):
 
 
 def test_line_dedup_repeated_rows_and_ids(spark):
-    rows = [(1, "a\nb")] * 10 + [(None, "a\nc"), (None, "d")]
+    # Ten rows of one document are one document; ten rows without doc_id are ten.
+    rows = [(1, "a\nb")] * 10 + [(1, f"b\n{i}") for i in range(5)] + [(None, "c\nd")] * 9 + [(2, "c\na"), (3, "d")]
     got = line_dedup.line_dedup(docs(spark, rows), keep=["word"])
-    assert tuples(got, "doc_id", "text", "word") == sorted([(1, "", "x")] * 10 + [(None, "c", "x"), (None, "d", "x")], key=repr)
+    want = [(1, "a\nb", "x")] * 10 + [(1, f"b\n{i}", "x") for i in range(5)] + [(None, "", "x")] * 9 + [(2, "a", "x"), (3, "", "x")]
+    assert tuples(got, "doc_id", "text", "word") == sorted(want, key=repr)
     assert line_dedup.line_dedup(docs(spark, [])).collect() == []
 
 
