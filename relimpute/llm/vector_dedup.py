@@ -37,8 +37,8 @@ def distinct_vectors(rows: DataFrame, dtype: str) -> DataFrame:
                 v = np.array([] if not value.is_valid else [math.nan if x is None else x for x in value.as_py()], dtype)
                 # +0.0: both zeros are one number.
                 v = v + np.zeros(1, dtype)
-                norm = np.linalg.norm(v.astype(float))
-                good = len(v) > 0 and np.isfinite(norm) and norm > 0
+                top = np.abs(v.astype(float)).max(initial=0)
+                good = np.isfinite(top) and top > 0
                 data.append(v.tobytes() if good else None)
                 keys.append(int.from_bytes(hashlib.blake2b(data[-1], digest_size=8).digest(), "little", signed=True) if good else None)
                 dims.append(len(v))
@@ -49,8 +49,9 @@ def distinct_vectors(rows: DataFrame, dtype: str) -> DataFrame:
 
 
 def unit_rows(column, dtype: str) -> np.ndarray:
-    """Vectors of one length as rows of norm 1, in double precision."""
+    """Vectors of one length as rows of norm 1, in double precision. Powers of two go first, so that no square overflows or vanishes."""
     x = np.stack([np.frombuffer(v.as_buffer(), dtype) for v in column]).astype(float)
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -124,7 +125,7 @@ def vector_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     """Link vectors whose cosine, in double precision, is at least `least`.
 
     Returns one row per input row: vec_id, n_links (other rows linked directly), component_id (the smallest vec_id
-    reachable by links, itself included), kept (vec_id = component_id). NULL, empty and zero vectors and those with a
+    reachable by links, itself included), kept (vec_id = component_id, also where both are NULL). NULL, empty and zero vectors and those with a
     NULL or non-finite component link with nothing and stand for themselves; vectors of different lengths don't link.
     Repeated rows are rows that link with each other. Empty tables give empty results; other columns are ignored.
 
@@ -170,7 +171,7 @@ def vector_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     label = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("key", "n_links", "component_id")
     joined = rows.select("vec_id", "key").join(label, "key", "left")
     component = F.when(F.col("key").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
-    return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id")).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 SQL = r"""

@@ -148,6 +148,12 @@ def test_vector_dedup_matches_brute_force(spark):
     assert vector_dedup.vector_dedup(empty).collect() == []
 
 
+def test_vector_dedup_of_huge_and_tiny_numbers_and_rows_without_id(spark):
+    rows = [(1, [3e200, 4e200]), (2, [3.0, 4.0]), (3, [3e-200, 4e-200]), (4, [-3e200, 1e200]), (None, [0.0, 0.0]), (None, None)]
+    got = tuples(vector_dedup.vector_dedup(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")), "vec_id", "n_links", "component_id", "kept")
+    assert got == sorted([(1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 0, 4, True), (None, 0, None, True), (None, 0, None, True)], key=repr)
+
+
 def test_vector_dedup_recall_in_many_cells_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(vector_dedup, "BLOCK", 16)
     rows = list(enumerate(vectors(2, 300)))
