@@ -329,6 +329,6 @@ def test_queries_register_all_operators():
     import __spark_entry__
 
     names = set(__spark_entry__.queries())
-    assert {n.split("_")[0] for n in names if re.match(r"op\d+_", n)} == {f"op{i}" for i in range(1, 11)} and "pipeline" in names
+    assert {n.split("_")[0] for n in names if re.match(r"op\d+_", n)} == {f"op{i}" for i in range(1, 14)} and "pipeline" in names
     assert {"op2_line_dedup", "op5_vector_dedup", "op6_jaccard_join", "op7_decontamination"} <= set(__spark_entry__.oracle_sql())
     assert decontaminate.SQL and line_dedup.SQL
