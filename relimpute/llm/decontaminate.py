@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relimpute.llm.tables import ascii_lower, sent_if_small, stored, taken
+from relimpute.llm.tables import ascii_lower, sent_if_small, stored, taken, unused
 
 #: What lies between words, after A-Z are in lower case: all of ASCII but digits and letters.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -83,8 +83,9 @@ def decontaminate_digest(docs: DataFrame, items: DataFrame, **options) -> DataFr
 
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of `docs` in which no window of an item occurs, with all their columns."""
-    bad = decontaminate(docs, items).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_version")), "left_anti")
+    id_, version = unused(docs, "hit_id", "hit_version")
+    bad = decontaminate(docs, items).where("contaminated").select(F.col("doc_id").alias(id_), F.col("version").alias(version))
+    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col(id_)) & (F.xxhash64(docs["text"]) == F.col(version)), "left_anti")
 
 
 SQL = r"""

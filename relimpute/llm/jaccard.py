@@ -6,21 +6,24 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from relimpute.llm.components import components
-from relimpute.llm.tables import partitions, sent_if_small, stored, taken
-from relimpute.llm.words import mix, shingle_hashes, slices, word_hashes
+from relimpute.llm.tables import partitions, sent_if_small, stored, taken, unused
+from relimpute.llm.words import MIX_A, mix, shingle_hashes, slices, word_hashes
 
 U64 = np.uint64
 #: Frequent shingles that the order of shingles takes into account: 8 bytes each in every task.
 FREQUENT = 1 << 18
 #: Prefix shingles per tile: 16 bytes each in one task.
 TILE = 1 << 21
-#: Rows of a run compared as one block; longer runs are split into pairs of blocks.
+#: Weight of the sets compared as one block; longer runs are split into pairs of blocks. A set weighs 1, and 1 more per `WEIGHT` shingles.
 BLOCK = 2048
+WEIGHT = 1024
+#: Sets intersected with one at once.
+AT_ONCE = 64
 #: Rows on a side of a bitmap comparison.
 SIDE = 256
 
@@ -32,41 +35,57 @@ def row_sets(texts: pa.Array, k: int):
         yield np.unique(shingles[a:b])
 
 
-def set_key(shingles: np.ndarray) -> np.uint64:
-    """One number for a set; equal sets have equal numbers."""
+def set_keys(shingles: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """Two independent numbers for a set, equal for equal sets; the first in `bits` bits."""
     with np.errstate(over="ignore"):
-        return mix(np.array([mix(shingles).sum(dtype=U64) + U64(len(shingles))], U64))[0]
+        n = U64(len(shingles))
+        first, second = mix(np.array([mix(shingles).sum(dtype=U64) + n, mix(shingles ^ MIX_A).sum(dtype=U64) ^ mix(n[None])[0]], U64))
+    return int(first) >> (64 - bits), int(second)
 
 
-def keyed_rows(docs: DataFrame, k: int) -> DataFrame:
-    """Per row doc_id, n (set size), set_key (NULL if empty) and bits; besides, rows (token, times) on shingles frequent within a batch."""
+def named(shingles: np.ndarray, clashing: frozenset[int], bits: int) -> int:
+    """The number that stands for a set: the first one, or the second where different sets share the first."""
+    first, second = set_keys(shingles, bits)
+    return second if first in clashing else first
+
+
+def keyed_rows(docs: DataFrame, k: int, key_bits: int) -> DataFrame:
+    """Per row doc_id, n (set size), two numbers of the set (NULL if empty) and bits; besides, rows (token, times) on shingles frequent within a batch."""
 
     def run(batches):
         for batch in (part for whole in batches for part in slices(whole)):
             sets = list(row_sets(batch.column("text"), k))
             n = np.array([len(s) for s in sets], np.int64)
-            keys = np.array([set_key(s) for s in sets], U64).view(np.int64)
+            keys = np.array([set_keys(s, key_bits) for s in sets], U64).reshape(-1, 2).view(np.int64)
             token, times = np.unique(np.concatenate(sets), return_counts=True) if len(sets) else (np.zeros(0, U64), np.zeros(0, np.int64))
             often = times >= 3
             token, times = token[often].view(np.int64), times[often]
             there, more = len(sets), len(token)
+            no_set = np.r_[n == 0, np.ones(more, bool)]
             yield pa.record_batch(
                 [
                     pa.concat_arrays([batch.column("doc_id"), pa.nulls(more, batch.column("doc_id").type)]),
                     pa.array(np.r_[n, np.zeros(more, np.int64)], mask=np.r_[np.zeros(there, bool), np.ones(more, bool)]),
-                    pa.array(np.r_[keys, np.zeros(more, np.int64)], mask=np.r_[n == 0, np.ones(more, bool)]),
+                    pa.array(np.r_[keys[:, 0], np.zeros(more, np.int64)], mask=no_set),
+                    pa.array(np.r_[keys[:, 1], np.zeros(more, np.int64)], mask=no_set),
                     pa.array([bitmap(s).tobytes() if len(s) else None for s in sets] + [None] * more, pa.binary()),
                     pa.array(np.r_[np.zeros(there, np.int64), token], mask=np.r_[np.ones(there, bool), np.zeros(more, bool)]),
                     pa.array(np.r_[np.zeros(there, np.int64), times], mask=np.r_[np.ones(there, bool), np.zeros(more, bool)]),
                 ],
-                names=["doc_id", "n", "set_key", "bits", "token", "times"],
+                names=["doc_id", "n", "set_key", "second", "bits", "token", "times"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, n bigint, set_key bigint, bits binary, token bigint, times bigint")
+    return docs.mapInArrow(run, f"doc_id {kind}, n bigint, set_key bigint, second bigint, bits binary, token bigint, times bigint")
+
+
+def distinct_sets(rows: DataFrame) -> DataFrame:
+    """set_key, least (the smallest doc_id), n and bits of every set; `mixed` where different sets share the number."""
+    by_set = rows.where("set_key IS NOT NULL").groupBy("set_key")
+    return by_set.agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bits").alias("bits"), (F.min("second") != F.max("second")).alias("mixed"))
 
 
-def prefix_tiles(docs: DataFrame, k: int, percent: int, tiles: int, frequent: np.ndarray) -> DataFrame:
+def prefix_tiles(docs: DataFrame, k: int, percent: int, tiles: int, frequent: np.ndarray, clashing: frozenset[int], key_bits: int) -> DataFrame:
     """tile, tokens, keys: the necessary prefix of every set, shingles in one order for all sets, dealt by shingle.
 
     Two sets of the asked similarity share a shingle among the first n - ceil(percent * n / 100) + 1 of
@@ -92,7 +111,7 @@ def prefix_tiles(docs: DataFrame, k: int, percent: int, tiles: int, frequent: np
         for batch in (part for whole in batches for part in slices(whole)):
             tokens, keys = [], []
             for shingles in row_sets(batch.column("text"), k):
-                if not len(shingles) or (key := int(set_key(shingles))) in met:
+                if not len(shingles) or (key := named(shingles, clashing, key_bits)) in met:
                     continue
                 met.add(key)
                 tokens.append(prefix(shingles))
@@ -180,117 +199,165 @@ def may_link(n_a, bits_a, n_b, bits_b, percent: int) -> np.ndarray:
     return ok
 
 
-def bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that the sizes, and then the bitmaps, of `sets` (set_key, n, bits) leave."""
-    side = lambda c, *more: sets.select(F.col("set_key").alias(c), *[F.col(m).alias(f"{m}_{c}") for m in more])
-    fits = (F.col("n_a") * percent <= F.col("n_b") * 100) & (F.col("n_b") * percent <= F.col("n_a") * 100)
-    near = pairs.join(side("a", "n"), "a").join(side("b", "n"), "b").where(fits)
-    both = near.join(side("a", "bits"), "a").join(side("b", "bits"), "b")
-
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for n_a, bits_a, n_b, bits_b in zip(*(batch.column(c) for c in ("n_a", "bits_a", "n_b", "bits_b")), strict=True):
-                x, y = np.frombuffer(bits_a.as_buffer(), np.uint8), np.frombuffer(bits_b.as_buffer(), np.uint8)
-                keep.append(bool(may_link([n_a.as_py()], [x], [n_b.as_py()], [y], percent)[0, 0]))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.select("a", "b", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(run, "a bigint, b bigint")
-
-
-def read_sets(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """set_key, n, bits (wide) and shingles (sorted, 8 bytes each) of the sets in `pairs`, read again from one document each."""
-    wanted = pairs.select(F.col("a").alias("set_key")).union(pairs.select("b")).distinct()
-    holders = stored(sets.select("set_key", "least").join(wanted, "set_key", "left_semi").select("least").distinct(), "holders")
+def read_sets(wanted: DataFrame, sets: DataFrame, docs: DataFrame, k: int, clashing: frozenset[int], key_bits: int) -> DataFrame:
+    """set_key and shingles (sorted, 8 bytes each) of the sets in `wanted`, read again from one document each."""
+    holders = stored(sets.select("set_key", "least").join(wanted.select("set_key").distinct(), "set_key", "left_semi").select("least").distinct(), "holders")
     texts = docs.join(sent_if_small(holders), docs["doc_id"].eqNullSafe(F.col("least")), "left_semi").select("text")
 
     def read(batches):
         for batch in (part for whole in batches for part in slices(whole)):
             found = [s for s in row_sets(batch.column("text"), k) if len(s)]
-            yield pa.record_batch(
-                [
-                    pa.array(np.array([set_key(s) for s in found], U64).view(np.int64)),
-                    pa.array([len(s) for s in found], pa.int64()),
-                    pa.array([bitmap(s, 16).tobytes() for s in found], pa.binary()),
-                    pa.array([s.tobytes() for s in found], pa.binary()),
-                ],
-                names=["set_key", "n", "bits", "shingles"],
-            )
+            keys = np.array([named(s, clashing, key_bits) for s in found], U64).view(np.int64)
+            yield pa.record_batch([pa.array(keys), pa.array([s.tobytes() for s in found], pa.binary())], names=["set_key", "shingles"])
 
-    return texts.mapInArrow(read, "set_key bigint, n bigint, bits binary, shingles binary").dropDuplicates(["set_key"])
+    return texts.mapInArrow(read, "set_key bigint, shingles binary").dropDuplicates(["set_key"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sorted sets overlap enough; wider bitmaps first leave few to intersect."""
-    whole = stored(read_sets(pairs, sets, docs, k), "whole-sets")
-    side = lambda c: whole.select(F.col("set_key").alias(c), F.col("shingles").alias(f"s_{c}"))
+TILE_ROWS = "run bigint, lo bigint, hi bigint, own bigint, set_key bigint, root bigint, weight bigint"
 
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("s_a"), batch.column("s_b"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    close = bounded(pairs, whole, percent)
-    return close.join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b").mapInArrow(run, "a bigint, b bigint")
+def tiles_of(table: pa.Table):
+    """The rows of the two sides of every tile (run, lo, hi); both sides are the same rows where lo = hi."""
+    run, lo, hi, own = (table.column(c).to_numpy() for c in ("run", "lo", "hi", "own"))
+    order = np.lexsort((hi, lo, run))
+    cuts = np.flatnonzero((np.diff(run[order]) != 0) | (np.diff(lo[order]) != 0) | (np.diff(hi[order]) != 0)) + 1
+    for part in np.split(order, cuts):
+        x, y = lo[part[0]], hi[part[0]]
+        yield (part, part) if x == y else (part[own[part] == x], part[own[part] == y])
 
 
-def across(runs: DataFrame, sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of a run that lie in different components so far and pass the bit bound.
+def near_pairs(left: np.ndarray, right: np.ndarray, n: np.ndarray, bits: list, root: np.ndarray, percent: int):
+    """Pairs of two sides that lie in different components and that sizes and bitmaps allow, in squares of similar size.
 
-    Runs whose sets are all in one component are done, and so are pairs with a run's head. The others are cut into
-    blocks by key; every pair of blocks is compared in tiles of similar size, as matrices, and only pairs that
-    may link leave it. Short runs share a group, a pair of blocks of a long run is a group of its own.
+    `root` may change between two squares.
     """
-    root = lambda c: found.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    labelled = runs.join(root("head"), "head", "left").join(root("member"), "member", "left")
-    labelled = labelled.select("run", "member", F.coalesce("root_head", "head").alias("root_head"), F.coalesce("root_member", "member").alias("root"))
-    sizes = labelled.groupBy("run").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
-    # A run of which all but the head are in one component has no pair left.
-    sizes = stored(sizes.where("size > 1 AND low <> high").select("run", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "open-runs")
-    rows = labelled.join(sizes, "run").select("run", "blocks", F.col("member").alias("set_key"), "root")
-    own = F.pmod(F.xxhash64("set_key"), "blocks").cast("int")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    groups = 16 * int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shared = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("run"), F.lit(groups))).otherwise(F.col("run"))
-    rows = rows.select(shared.alias("group"), "run", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set_key", "root").join(sets.select("set_key", "n", "bits"), "set_key")
-
-    def pairs_of(n, bits, root, own, i, j):
-        order = np.argsort(n, kind="stable")
-        within = i == j
-        left, right = (order, order) if within else (order[own[order] == i], order[own[order] == j])
-        for p in range(0, len(left), SIDE):
-            a = left[p : p + SIDE]
-            for q in range(p if within else 0, len(right), SIDE):
-                b = right[q : q + SIDE]
-                if n[a[-1]] * 100 < n[b[0]] * percent:
-                    break
-                if n[b[-1]] * 100 < n[a[0]] * percent:
-                    continue
-                differ = root[a][:, None] != root[b][None, :]
-                if differ.any():
-                    x, y = np.nonzero(differ & may_link(n[a], [bits[r] for r in a], n[b], [bits[r] for r in b], percent))
+    within = left is right
+    left = left[np.argsort(n[left], kind="stable")]
+    right = left if within else right[np.argsort(n[right], kind="stable")]
+    for p in range(0, len(left), SIDE):
+        a = left[p : p + SIDE]
+        for q in range(p if within else 0, len(right), SIDE):
+            b = right[q : q + SIDE]
+            if n[a[-1]] * 100 < n[b[0]] * percent:
+                break
+            if n[b[-1]] * 100 < n[a[0]] * percent:
+                continue
+            differ = root[a][:, None] != root[b][None, :]
+            if within and p == q:
+                differ = np.triu(differ, 1)
+            if differ.any():
+                x, y = np.nonzero(differ & may_link(n[a], [bits[r] for r in a], n[b], [bits[r] for r in b], percent))
+                if len(x):
                     yield a[x], b[y]
 
+
+def overlaps(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """The sizes of the intersections of a sorted set with others."""
+    flat = np.concatenate(others)
+    at = np.minimum(np.searchsorted(one, flat), len(one) - 1)
+    ends = np.cumsum([len(s) for s in others])
+    return np.add.reduceat((one[at] == flat).astype(np.int64), np.r_[0, ends[:-1]])
+
+
+def takes_part(tiles: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The rows of `tiles` that have a partner by size and bitmap. No pair leaves its task."""
+
     def run(table: pa.Table) -> pa.Table:
-        i, j, own, n, key, root, name = (table.column(c).to_numpy() for c in ("i", "j", "own", "n", "set_key", "root", "run"))
+        n, root = table.column("n").to_numpy(), table.column("root").to_numpy()
         bits = [np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("bits")]
-        order = np.argsort(name, kind="stable")
-        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for part in np.split(order, np.flatnonzero(np.diff(name[order])) + 1):
-            for x, y in pairs_of(n[part], [bits[r] for r in part], root[part], own[part], i[part[0]], j[part[0]]):
-                out_a.append(key[part[x]])
-                out_b.append(key[part[y]])
-        a, b = np.concatenate(out_a), np.concatenate(out_b)
+        some = np.zeros(len(n), bool)
+        for left, right in tiles_of(table):
+            for a, b in near_pairs(left, right, n, bits, root, percent):
+                some[a] = some[b] = True
+        return table.drop_columns(["n", "bits"]).filter(pa.array(some))
+
+    return tiles.join(sets.select("set_key", "n", "bits"), "set_key").select(*tiles.columns, "n", "bits").groupBy("group").applyInArrow(run, f"{TILE_ROWS}, group bigint")
+
+
+def decided(tiles: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join what is linked within the tiles, decided by the sorted sets: fewer than the tile has rows.
+
+    Pairs that an earlier link of the same group of tiles has joined are skipped.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        key = table.column("set_key").to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), U64) for x in table.column("shingles")]
+        n = np.array([len(s) for s in sets], np.int64)
+        bits = [bitmap(s, 16) for s in sets]
+        root = np.unique(table.column("root").to_numpy(), return_inverse=True)[1]
+        out_a, out_b = [], []
+        for left, right in tiles_of(table):
+            for a, b in near_pairs(left, right, n, bits, root, percent):
+                for part in np.split(np.arange(len(a)), np.flatnonzero(np.diff(a)) + 1):
+                    x, rest = a[part[0]], b[part]
+                    while len(rest := rest[root[rest] != root[x]]):
+                        some, rest = rest[:AT_ONCE], rest[AT_ONCE:]
+                        both = overlaps(sets[x], [sets[y] for y in some])
+                        for y in some[100 * both >= percent * (n[x] + n[some] - both)]:
+                            if root[y] != root[x]:
+                                root[root == root[y]] = root[x]
+                                out_a.append(key[x])
+                                out_b.append(key[y])
+        a, b = np.array(out_a, np.int64), np.array(out_b, np.int64)
         return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
 
-    return rows.groupBy("group", "i", "j").applyInArrow(run, "a bigint, b bigint").distinct()
+    return tiles.join(whole, "set_key").select(*tiles.columns, "shingles").groupBy("group").applyInArrow(run, "a bigint, b bigint")
+
 
+def grouped(tiles: DataFrame, name: str) -> DataFrame:
+    """The tiles as a table, dealt to groups of about `BLOCK` in weight."""
+    tiles = stored(tiles, name)
+    groups = partitions(tiles.sparkSession, tiles.agg(F.sum("weight")).first()[0] or 0, BLOCK)
+    return tiles.withColumn("group", F.pmod(F.xxhash64("run", "lo", "hi"), F.lit(groups)).cast("bigint"))
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
+
+def weight() -> Column:
+    """What a set of n shingles counts in a block: longer ones more."""
+    return F.expr(f"1 + n DIV {WEIGHT}")
+
+
+def star_tiles(runs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Tiles of every head (side -1) with the members of all its runs, cut into sides of bounded weight."""
+    size = lambda c: sets.select(F.col("set_key").alias(c), F.col("n").alias(f"n_{c}"))
+    fits = (F.col("n_head") * percent <= F.col("n_member") * 100) & (F.col("n_member") * percent <= F.col("n_head") * 100)
+    pairs = stored(runs.select("head", "member").distinct().join(size("head"), "head").join(size("member"), "member").where(fits), "star-pairs")
+    pairs = pairs.withColumn("n", F.col("n_member")).withColumn("weight", weight())
+    heads = pairs.groupBy("head").agg(F.first("n_head").alias("n"), F.ceil(F.sum("weight") / BLOCK).cast("bigint").alias("sides"))
+    shared = [F.col("head").alias("run"), F.lit(-1).cast("bigint").alias("lo")]
+    side = F.pmod(F.xxhash64("member"), "sides").cast("bigint")
+    members = pairs.join(heads.select("head", "sides"), "head").select(*shared, side.alias("hi"), side.alias("own"), F.col("member").alias("set_key"), F.col("member").alias("root"), "weight")
+    each = heads.withColumn("hi", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("sides") - 1))).withColumn("weight", weight())
+    return members.unionByName(each.select(*shared, "hi", F.lit(-1).cast("bigint").alias("own"), F.col("head").alias("set_key"), F.col("head").alias("root"), "weight"))
+
+
+def cross_tiles(runs: DataFrame, sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Tiles of the members of every run that lie in different components so far.
+
+    Runs whose members are all in one component are done, and so are pairs with a run's head. A run of bounded weight is one
+    tile. A longer one is cut into sides by size band, by whether a set is in its head's component, and by hash; only
+    sides of the same or adjacent bands meet, and those of the head's component don't meet each other.
+    """
+    root = lambda c: found.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    labelled = runs.join(root("head"), "head", "left").join(root("member"), "member", "left").join(sets.select(F.col("set_key").alias("member"), "n"), "member")
+    labelled = labelled.select("run", F.col("member").alias("set_key"), "n", F.coalesce("root_head", "head").alias("root_head"), F.coalesce("root_member", "member").alias("root"))
+    labelled = labelled.withColumn("weight", weight())
+    sizes = labelled.groupBy("run").agg(F.sum("weight").alias("all"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    rows = labelled.join(sizes.select("run", (F.col("all") > BLOCK).alias("long")), "run")
+    # A little wider than the ratio of sizes, so that rounding never puts partners two bands apart.
+    step = 1.001 * math.log(max(100 / percent, 1.01))
+    band = F.when(F.col("long"), F.floor(F.log("n") / step)).otherwise(0).cast("bigint")
+    rows = stored(rows.select("run", "set_key", "root", "weight", band.alias("band"), F.when(F.col("long") & (F.col("root") == F.col("root_head")), 1).otherwise(0).alias("main")), "open-runs")
+    units = rows.groupBy("run", "band", "main").agg(F.ceil(F.sum("weight") / BLOCK).cast("bigint").alias("sides"))
+    others = units.select("run", F.col("band").alias("band_2"), F.col("main").alias("main_2"), F.col("sides").alias("sides_2"))
+    meets = units.join(others, "run").where("abs(band - band_2) <= 1 AND main + main_2 < 2")
+    named_side = lambda band, main, side: (F.col(band) * 2 + F.col(main)) * F.lit(1 << 32) + side
+    rows = rows.join(meets, ["run", "band", "main"]).withColumn("own", named_side("band", "main", F.pmod(F.xxhash64("set_key"), "sides")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("sides_2") - 1))).withColumn("other", named_side("band_2", "main_2", F.col("other")))
+    return rows.select("run", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "set_key", "root", "weight")
+
+
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, key_bits: int = 64) -> DataFrame:
     """Link documents whose sets of word shingles have a Jaccard similarity of at least percent / 100.
 
     Words are runs of anything but ASCII blanks, A-Z in lower case. A set holds the distinct runs of `k` words;
@@ -300,30 +367,41 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     as often as they went in; rows without doc_id take part, but an id is reported where the component has any.
     Empty tables give empty results; other columns are ignored. No link between different sets is lost.
 
-    Equal sets become one. Every set sends its necessary prefix, rare shingles first, as packed arrays
-    to tiles of shingles; sets that meet there form runs. A run first links its smallest set to all others
-    (as many pairs as rows), which settles groups of copies; only pairs of a run that are then still in
-    different components are compared, in tiles of similar size, by hashed bitmaps whose bit counts bound the
-    overlap from above. What is left is decided by intersecting the sorted sets.
+    Equal sets become one: they are told apart by 128 bits, and go by the first 64 unless two different sets share these (of n sets about
+    n * n / 2**65 do, so that their list stays short; `key_bits` below 64 is there to test it). Every set sends its necessary prefix, rare
+    shingles first, as packed arrays to tiles of shingles; sets that meet there form runs. A run's smallest set is first compared with all
+    others (as many pairs as rows), which settles groups of copies; only sets of a run that are then still in different components
+    are compared with each other. Both comparisons work on tiles of bounded weight. Sizes and hashed bitmaps, whose bit counts bound the
+    overlap from above, leave the rows that have a possible partner; to these the sorted sets are sent, once per
+    tile, and intersected there. What leaves a tile is a forest of links, never the pairs.
     """
     spark = docs.sparkSession
     docs = taken(docs, doc_id=id_col, text=text_col)
-    keyed = stored(keyed_rows(docs, k), "sets")
-    rows = keyed.where("token IS NULL").select("doc_id", "n", "set_key", "bits")
+    keyed = stored(keyed_rows(docs, k, key_bits), "sets")
+    rows = keyed.where("token IS NULL").select("doc_id", "n", "set_key", "second", "bits")
     frequent = keyed.where("token IS NOT NULL").groupBy("token").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "token").limit(FREQUENT).select("token").toPandas()
     frequent = frequent["token"].to_numpy(np.int64)[::-1].copy().view(U64)
+    sets = stored(distinct_sets(rows), "distinct-sets")
+    shared = [r[0] for r in sets.where("mixed").select("set_key").collect()]
+    if shared:
+        rows = rows.withColumn("set_key", F.when(F.col("set_key").isin(shared), F.col("second")).otherwise(F.col("set_key")))
+        sets = stored(distinct_sets(rows), "distinct-sets")
+        if not sets.where("mixed").isEmpty():
+            raise RuntimeError("different sets share both numbers")
+    clashing = frozenset(x % (1 << 64) for x in shared)
     total = rows.agg(F.sum("n")).first()[0] or 0
     tiles = 4 * partitions(spark, math.ceil(total * (100 - percent) / 100), 4 * TILE)
-    runs = stored(shared_runs(prefix_tiles(docs, k, percent, tiles, frequent)), "runs")
-    by_set = rows.where("set_key IS NOT NULL").groupBy("set_key")
-    sets = stored(by_set.agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bits").alias("bits")), "distinct-sets")
+    runs = stored(shared_runs(prefix_tiles(docs, k, percent, tiles, frequent, clashing, key_bits)), "runs")
+
+    def links(tiles: DataFrame, name: str) -> DataFrame:
+        left = stored(takes_part(grouped(tiles, f"{name}-tiles"), sets, percent), f"{name}-rows")
+        return stored(decided(left, read_sets(left, sets, docs, k, clashing, key_bits), percent), f"{name}-links")
 
-    star = runs.select(F.greatest("head", "member").alias("a"), F.least("head", "member").alias("b")).distinct()
-    links = stored(verified(stored(bounded(star, sets, percent), "star-pairs"), sets, docs, k, percent), "star-links")
-    found = components(links, "star")
-    more = stored(verified(stored(across(runs, sets, found, percent), "cross-pairs"), sets, docs, k, percent), "cross-links")
+    star = links(star_tiles(runs, sets, percent), "star")
+    found = components(star, "star")
+    more = links(cross_tiles(runs, sets, found, percent), "cross")
     if not more.isEmpty():
-        found = components(links.unionByName(more), "sets-linked")
+        found = components(star.unionByName(more), "sets-linked")
 
     rooted = sets.select("set_key", "least").join(found.select(F.col("node").alias("set_key"), "root"), "set_key", "left").select("set_key", "least", F.coalesce("root", "set_key").alias("root"))
     rooted = stored(rooted, "rooted")
@@ -339,20 +417,21 @@ def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     share both are exact repeats, of which one stays (by a hash of its columns). Texts without words link to nothing: all their rows stay.
     """
     id_, text = docs[f"`{id_col}`"], docs[f"`{text_col}`"]
+    own, again, nth = unused(docs, "own_key", "again_key", "nth_row")
     key = F.struct(id_.isNull().alias("last"), id_.alias("id"), F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
-    keyed = docs.withColumn("_key", key)
+    keyed = docs.withColumn(own, key)
     # A table of its own: it is read twice.
-    joined = stored(jaccard_join(keyed, id_col="_key", text_col=text_col, **options), "row-components")
-    gone = joined.where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    left = keyed.join(gone, F.col("_key").eqNullSafe(F.col("_gone")), "left_anti")
+    joined = stored(jaccard_join(keyed, id_col=own, text_col=text_col, **options), "row-components")
+    gone = joined.where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias(again)).distinct()
+    same = F.col(own).eqNullSafe(F.col(again))
+    left = keyed.join(gone, same, "left_anti")
     stands = joined.where((F.col("n_shingles") > 0) & F.col("component_id").eqNullSafe(F.col("doc_id")))
-    repeats = stored(stands.groupBy(F.col("doc_id").alias("_again")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_again"), "repeated-rows")
+    repeats = stored(stands.groupBy(F.col("doc_id").alias(again)).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(again), "repeated-rows")
     if repeats.isEmpty():
-        return left.drop("_key")
-    again = F.col("_key").eqNullSafe(F.col("_again"))
-    order = F.row_number().over(W.partitionBy("_key").orderBy(F.xxhash64(*[docs[f"`{c}`"] for c in docs.columns])))
-    one = left.join(repeats, again, "left_semi").withColumn("_nth", order).where("_nth = 1").drop("_nth")
-    return left.join(repeats, again, "left_anti").unionByName(one).drop("_key")
+        return left.drop(own)
+    order = F.row_number().over(W.partitionBy(own).orderBy(F.xxhash64(*[docs[f"`{c}`"] for c in docs.columns])))
+    one = left.join(repeats, same, "left_semi").withColumn(nth, order).where(F.col(nth) == 1).drop(nth)
+    return left.join(repeats, same, "left_anti").unionByName(one).drop(own)
 
 
 SQL = r"""

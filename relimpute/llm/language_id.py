@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relimpute.llm.tables import crc_fold, stored, taken
+from relimpute.llm.tables import crc_fold, stored, taken, unused
 
 BUCKETS = 1 << 15
 #: A model holds this many languages at most, so that its size is bounded (8 bytes a bucket and language).
@@ -154,7 +154,8 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def with_language(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of `docs` whose text has a language, with all their columns."""
-    gone = language_id(docs, id_col=id_col).where(F.col("lang_pred") == UNKNOWN).select(F.col("doc_id").alias("_gone")).distinct()
+    (rejected,) = unused(docs, "rejected")
+    gone = language_id(docs, id_col=id_col).where(F.col("lang_pred") == UNKNOWN).select(F.col("doc_id").alias(rejected)).distinct()
     # A row is rejected for its text alone: those that share the id of a rejected row but hold letters stay.
     lettered = docs["text"].rlike(r"\p{L}")
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("_gone")) & ~F.coalesce(lettered, F.lit(False)), "left_anti")
+    return docs.join(gone, docs[f"`{id_col}`"].eqNullSafe(F.col(rejected)) & ~F.coalesce(lettered, F.lit(False)), "left_anti")

@@ -39,6 +39,17 @@ def taken(docs: DataFrame, **columns: str) -> DataFrame:
     return docs.select(*[docs[f"`{there}`"].alias(here) for here, there in columns.items()])
 
 
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as no column of `docs` has, whatever its case."""
+    there, free = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in there:
+            name += "_"
+        free.append(name)
+        there.add(name.lower())
+    return free
+
+
 def partitions(spark: SparkSession, rows: int, each: int) -> int:
     """Enough partitions for `each` rows per partition, at least as many as the session shuffles into."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / each))

@@ -12,9 +12,10 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 from conftest import tuples
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from relimpute.llm import components, decontaminate, jaccard, language_model, line_dedup, packing, toxicity, vector_dedup
+from relimpute.llm import components, decontaminate, jaccard, language_id, language_model, line_dedup, packing, toxicity, vector_dedup
 from relimpute.llm.words import BLANK, word_hashes
 
 DOCS = "doc_id bigint, text string, n bigint, key string"
@@ -72,8 +73,8 @@ def near_copies(seed, n):
     return rows
 
 
-@pytest.mark.parametrize("block", [jaccard.BLOCK, 3])
-def test_jaccard_join_matches_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, key_bits", [(jaccard.BLOCK, 64), (3, 64), (jaccard.BLOCK, 4)])
+def test_jaccard_join_matches_brute_force(spark, monkeypatch, block, key_bits):
     monkeypatch.setattr(jaccard, "BLOCK", block)
     rows = near_copies(block, 60)
     chain = [f"c{i}" for i in range(60)]
@@ -84,11 +85,47 @@ def test_jaccard_join_matches_brute_force(spark, monkeypatch, block):
     ids = sorted(sets)
     links = [(a, b) for x, a in enumerate(ids) for b in ids[x + 1 :] if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
     root = reach(ids, links)
-    got = jaccard.jaccard_join(docs(spark, rows))
+    got = jaccard.jaccard_join(docs(spark, rows), key_bits=key_bits)
     assert tuples(got, "doc_id", "n_shingles", "component_id") == sorted(((i, len(sets[i]), root[i]) for i in ids), key=repr)
     assert len(links) > 30 and root[2019] == 2000
 
 
+@pytest.mark.parametrize("block", [jaccard.BLOCK, 16])
+def test_jaccard_blocks_send_forests(spark, monkeypatch, block):
+    """Of a run whose sets are close to each other in all pairs, fewer links leave the tiles than rows went in."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    taken_in, sent = [], []
+
+    def counted(tiles, whole, percent, inner=jaccard.decided):
+        taken_in.append(tiles.count())
+        links = inner(tiles, whole, percent)
+        sent.append(links.count())
+        return links
+
+    monkeypatch.setattr(jaccard, "decided", counted)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(base[:100] + [f"x{i}"] + base[100:])) for i in range(80)]
+    # Near the threshold, below it: every pair has to be looked at, none links.
+    rows += [(100 + i, " ".join(w if j % 60 else f"y{i}-{j}" for j, w in enumerate(base[:120]))) for i in range(60)]
+    rows += [(200 + i, " ".join([f"q{j}" for j in range(70)] + [f"r{i}-{j}" for j in range(15)])) for i in range(60)]
+    got = dict(tuples(jaccard.jaccard_join(docs(spark, rows)), "doc_id", "component_id"))
+    sets = {i: shingles(t) for i, t in rows}
+    ids = sorted(sets)
+    links = [(a, b) for x, a in enumerate(ids) for b in ids[x + 1 :] if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    assert got == reach(ids, links)
+    assert len(links) > 80 * 79 / 2 and all(s < t or s == t == 0 for s, t in zip(sent, taken_in, strict=True)) and sum(sent) < 4 * len(rows)
+
+
+def test_pipeline_stages_keep_clashing_columns(spark):
+    names = ["_id", "_gone", "_key", "own_key", "REJECTED", "hit_id", "again_key", "nth_row"]
+    table = spark.createDataFrame([(1, "a b c d e f", *names), (2, "A b c d e f", *names), (3, "x y z", *names), (3, "x y z", *names), (4, "1 2", *names)], ["doc_id", "text", *names])
+    table = table.withColumn("lang", F.lit("en"))
+    items = spark.createDataFrame([("i", "x y z")], ["item_id", "text"])
+    for got, left in ((language_id.with_language(table), [1, 2, 3, 3]), (jaccard.one_per_component(table), [1, 3, 4]), (decontaminate.clean_documents(table, items), [1, 2, 4])):
+        assert got.columns == table.columns
+        assert sorted(r["doc_id"] for r in got.collect()) == left
+
+
 def test_jaccard_join_ids_and_empty(spark):
     rows = [(7, "a b c"), (7, "a b c"), (None, "a b c"), (3, "A B C"), (None, "")]
     got = jaccard.jaccard_join(docs(spark, rows))
