@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from relimpute.llm.components import components
+from relimpute.llm.components import components, forest
 from relimpute.llm.tables import partitions, sent_if_small, stored, taken, unused
 from relimpute.llm.words import MIX_A, mix, shingle_hashes, slices, word_hashes
 
@@ -260,18 +260,47 @@ def overlaps(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
 
 
 def takes_part(tiles: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The rows of `tiles` that have a partner by size and bitmap. No pair leaves its task."""
+    """The rows of `tiles` that have a partner by size and bitmap, with a `leader`: one set for all that are connected by such pairs.
+
+    No pair leaves its task.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        n, root = table.column("n").to_numpy(), table.column("root").to_numpy()
+        n, root, key = (table.column(c).to_numpy() for c in ("n", "root", "set_key"))
         bits = [np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("bits")]
+        lead = np.arange(len(n))
         some = np.zeros(len(n), bool)
         for left, right in tiles_of(table):
+            x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for a, b in near_pairs(left, right, n, bits, root, percent):
-                some[a] = some[b] = True
-        return table.drop_columns(["n", "bits"]).filter(pa.array(some))
+                # Of a square's pairs only a forest is kept.
+                nodes, at = np.unique(np.r_[a, b], return_inverse=True)
+                top = forest(at[: len(a)], at[len(a) :], len(nodes))
+                x.append(nodes)
+                y.append(nodes[top])
+            x, y = np.concatenate(x), np.concatenate(y)
+            nodes, at = np.unique(np.r_[x, y], return_inverse=True)
+            some[nodes] = True
+            lead[nodes] = nodes[forest(at[: len(x)], at[len(x) :], len(nodes))]
+        return table.drop_columns(["n", "bits"]).append_column("leader", pa.array(key[lead])).filter(pa.array(some))
+
+    return tiles.join(sets.select("set_key", "n", "bits"), "set_key").select(*tiles.columns, "n", "bits").groupBy("group").applyInArrow(run, f"{TILE_ROWS}, group bigint, leader bigint")
 
-    return tiles.join(sets.select("set_key", "n", "bits"), "set_key").select(*tiles.columns, "n", "bits").groupBy("group").applyInArrow(run, f"{TILE_ROWS}, group bigint")
+
+def merged(rows: DataFrame, name: str) -> DataFrame:
+    """The rows of `takes_part` as tiles of whole groups of possible partners: a set that meets the same others in many tiles is sent once.
+
+    Groups too heavy for one block stay in the tiles they come from.
+    """
+    groups = components(rows.select(F.col("set_key").alias("a"), F.col("leader").alias("b")), f"{name}-partners")
+    rows = stored(rows.drop("group", "leader").join(groups.select(F.col("node").alias("set_key"), F.col("root").alias("partners")), "set_key"), f"{name}-grouped")
+    once = rows.groupBy("partners", "set_key").agg(F.min("root").alias("root"), F.min("weight").alias("weight"))
+    light = once.groupBy("partners").agg(F.sum("weight").alias("all")).where(F.col("all") <= BLOCK).select("partners")
+    # Tiles of both kinds stay apart even where a run has the number of a group: -2 names no side.
+    whole = once.join(light, "partners").withColumn("run", F.col("partners")).withColumns({c: F.lit(-2).cast("bigint") for c in ("lo", "hi", "own")})
+    heavy = rows.join(light, "partners", "left_anti")
+    columns = [x.split()[0] for x in TILE_ROWS.split(", ")]
+    return whole.select(columns).unionByName(heavy.select(columns))
 
 
 def decided(tiles: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
@@ -372,8 +401,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shingles first, as packed arrays to tiles of shingles; sets that meet there form runs. A run's smallest set is first compared with all
     others (as many pairs as rows), which settles groups of copies; only sets of a run that are then still in different components
     are compared with each other. Both comparisons work on tiles of bounded weight. Sizes and hashed bitmaps, whose bit counts bound the
-    overlap from above, leave the rows that have a possible partner; to these the sorted sets are sent, once per
-    tile, and intersected there. What leaves a tile is a forest of links, never the pairs.
+    overlap from above, leave the rows that have a possible partner. Those connected by possible partners become one tile, if its
+    weight allows; to it the sorted sets are sent, once each, and intersected there. What leaves a tile is a forest of links, never the pairs.
     """
     spark = docs.sparkSession
     docs = taken(docs, doc_id=id_col, text=text_col)
@@ -395,6 +424,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def links(tiles: DataFrame, name: str) -> DataFrame:
         left = stored(takes_part(grouped(tiles, f"{name}-tiles"), sets, percent), f"{name}-rows")
+        left = grouped(merged(left, name), f"{name}-merged")
         return stored(decided(left, read_sets(left, sets, docs, k, clashing, key_bits), percent), f"{name}-links")
 
     star = links(star_tiles(runs, sets, percent), "star")
