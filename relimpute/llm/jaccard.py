@@ -22,6 +22,8 @@ TILE = 1 << 21
 #: Weight of the sets compared as one block; longer runs are split into pairs of blocks. A set weighs 1, and 1 more per `WEIGHT` shingles.
 BLOCK = 2048
 WEIGHT = 1024
+#: Blocks that a group of possible partners may weigh to be intersected as a whole: up to 64 MB of sets.
+WHOLE = 4
 #: Sets intersected with one at once.
 AT_ONCE = 64
 #: Rows on a side of a bitmap comparison.
@@ -290,12 +292,12 @@ def takes_part(tiles: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def merged(rows: DataFrame, name: str) -> DataFrame:
     """The rows of `takes_part` as tiles of whole groups of possible partners: a set that meets the same others in many tiles is sent once.
 
-    Groups too heavy for one block stay in the tiles they come from.
+    Groups heavier than `WHOLE` blocks stay in the tiles they come from.
     """
     groups = components(rows.select(F.col("set_key").alias("a"), F.col("leader").alias("b")), f"{name}-partners")
     rows = stored(rows.drop("group", "leader").join(groups.select(F.col("node").alias("set_key"), F.col("root").alias("partners")), "set_key"), f"{name}-grouped")
     once = rows.groupBy("partners", "set_key").agg(F.min("root").alias("root"), F.min("weight").alias("weight"))
-    light = once.groupBy("partners").agg(F.sum("weight").alias("all")).where(F.col("all") <= BLOCK).select("partners")
+    light = once.groupBy("partners").agg(F.sum("weight").alias("all")).where(F.col("all") <= WHOLE * BLOCK).select("partners")
     # Tiles of both kinds stay apart even where a run has the number of a group: -2 names no side.
     whole = once.join(light, "partners").withColumn("run", F.col("partners")).withColumns({c: F.lit(-2).cast("bigint") for c in ("lo", "hi", "own")})
     heavy = rows.join(light, "partners", "left_anti")
