@@ -7,10 +7,12 @@ counted, and column pairs are formed from the few distinct sets instead of from
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from hashlib import md5
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -20,6 +22,10 @@ from relimpute.session import cut_lineage
 from relimpute.sources.catalog import Catalog
 
 PERMUTATIONS = 128
+#: Bits of a value's hash, and those left when signature entries are added up.
+HASH_DIGITS, SUMMED_BITS = 15, 40
+#: Theta sketches keep up to 2 ** this hashes of a column, 8 bytes each.
+THETA_LOG = 12
 ROWS_PER_BAND = (8, 4, 2, 1)
 RECALL = 0.95
 INDEX_SCHEMA = "t1 string, c1 string, t2 string, c2 string, score double"
@@ -114,18 +120,38 @@ def all_pairs_index(catalog: Catalog, tables: Sequence[str] | None = None) -> Da
     )
 
 
-def minhash(catalog: Catalog, tables: Sequence[str] | None = None, permutations: int = PERMUTATIONS) -> DataFrame:
-    """(id, n, signature) per column. Only per-task minima are exchanged, never values.
+def value_hash(value: Column) -> Column:
+    """60 bits of the value's md5, the same on every engine."""
+    return F.conv(F.substring(F.md5(value), 1, HASH_DIGITS), 16, 10).cast("bigint")
 
-    `n` steers the choice of bands only, so a mergeable distinct-count sketch is enough for it.
+
+def hash_mask(i: int) -> int:
+    return int(md5(str(i).encode()).hexdigest()[:HASH_DIGITS], 16)
+
+
+def minhash(catalog: Catalog, tables: Sequence[str] | None = None, permutations: int = PERMUTATIONS, sketch: bool = False) -> DataFrame:
+    """(id, n, signature) per column, and on request its theta sketch. Only per-task minima and sketches are exchanged, never values.
+
+    A value is hashed once. An entry of the signature is the least hash after a mask has flipped some of its bits: of the values
+    of two columns each is as likely as any other to have it, so that entries agree with the probability of the Jaccard
+    similarity. `n` estimates the number of values from how close the entries come to zero (by about a tenth); it steers the choice of bands only.
     """
-    values = cell_values(catalog, column_refs(catalog, tables)).select("id", F.xxhash64("value").alias("h"))
-    lows = [F.min(F.xxhash64("h", F.lit(i))) for i in range(permutations)]
-    return values.groupBy("id").agg(F.approx_count_distinct("h").alias("n"), F.array(*lows).alias("signature"))
+    values = cell_values(catalog, column_refs(catalog, tables)).select("id", value_hash(F.col("value")).alias("h"))
+    lows = F.array(*[F.min(F.col("h").bitwiseXOR(F.lit(hash_mask(i)))) for i in range(permutations)])
+    more = [F.theta_sketch_agg("h", THETA_LOG).alias("sketch")] if sketch else []
+    kept = values.groupBy("id").agg(lows.alias("signature"), *more)
+    near = F.aggregate("signature", F.lit(0).cast("bigint"), lambda acc, x: acc + F.shiftright(x, 4 * HASH_DIGITS - SUMMED_BITS))
+    n = F.greatest(F.lit(1).cast("bigint"), F.floor(F.lit((1 << SUMMED_BITS) * permutations) / F.greatest(near, F.lit(1).cast("bigint"))) - 1)
+    return kept.select("id", n.cast("bigint").alias("n"), "signature", *[c for c in kept.columns if c == "sketch"])
+
+
+def band_keys(r: int) -> Column:
+    """One number per band of `r` entries of the signature."""
+    return F.transform(F.sequence(F.lit(0), F.lit(PERMUTATIONS // r - 1)), lambda i: F.xxhash64(F.slice("signature", i * r + 1, r)))
 
 
 def lsh_candidates(
-    catalog: Catalog, tables: Sequence[str] | None = None, threshold: float = 0.3, partitions: int = 32
+    catalog: Catalog, tables: Sequence[str] | None = None, threshold: float = 0.3, partitions: int = 32, signatures: DataFrame | None = None
 ) -> DataFrame:
     """Candidate pairs (a, b): columns that agree on a band in a size partition of the index.
 
@@ -134,14 +160,13 @@ def lsh_candidates(
     pair with the wanted probability is used. All inputs here have one row per column.
     """
     # written once: one row per column, read by every step below
-    signatures = cut_lineage(minhash(catalog, tables))
+    signatures = cut_lineage(minhash(catalog, tables)) if signatures is None else signatures
+    names = refs_table(catalog, column_refs(catalog, tables)).select("id", "table", "col")
     banded = None
     for r in ROWS_PER_BAND:
-        bands = PERMUTATIONS // r
-        keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i, r=r: F.xxhash64(F.slice("signature", i * r + 1, r)))
-        part = signatures.select("id", F.lit(r).alias("r"), F.posexplode(keys).alias("band", "h"))
+        part = signatures.select("id", F.lit(r).alias("r"), F.posexplode(band_keys(r)).alias("band", "h"))
         banded = part if banded is None else banded.unionByName(part)
-    sized = signatures.select("id", "n", F.ntile(partitions).over(W.orderBy("n", "id")).alias("part"))
+    sized = signatures.join(F.broadcast(names), "id").select("id", "n", F.ntile(partitions).over(W.orderBy("n", "table", "col")).alias("part"))
     uppers = sized.groupBy("part").agg(F.max("n").alias("u"))
     queries = signatures.select(F.col("id").alias("a"), F.col("n").alias("q"))
     queries = queries.withColumn("part", F.explode(F.sequence(F.lit(1), F.lit(partitions)))).join(uppers, "part")
@@ -180,6 +205,37 @@ def lsh_index(
     return exact.join(listed, ["t1", "c1", "t2", "c2"], "left_semi")
 
 
+def sketched_index(
+    catalog: Catalog, tables: Sequence[str] | None = None, threshold: float = 0.3, partitions: int = 32
+) -> DataFrame:
+    """Estimated containment of the LSH candidates, with `error`; the values are read once and none is exchanged.
+
+    Theta sketches of two columns intersect and unite. Both columns below 2 ** THETA_LOG values give the exact score and no error;
+    else `error` is two standard errors of the estimated intersection and of the estimated size.
+    """
+    # one row per column
+    signatures = cut_lineage(minhash(catalog, tables, sketch=True))
+    pairs = lsh_candidates(catalog, tables, threshold, partitions, signatures)
+    side = lambda c, sketch: signatures.select(F.col("id").alias(c), F.col("sketch").alias(sketch))
+    names = refs_table(catalog, column_refs(catalog, tables))
+    one = names.select(F.col("id").alias("a"), F.col("table").alias("t1"), F.col("col").alias("c1"), F.col("is_key").alias("k1"))
+    two = names.select(F.col("id").alias("b"), F.col("table").alias("t2"), F.col("col").alias("c2"))
+    met = pairs.join(F.broadcast(one), "a").join(F.broadcast(two), "b").where((F.col("t1") != F.col("t2")) & ~F.col("k1"))
+    met = met.join(side("a", "x"), "a").join(side("b", "y"), "b")
+    met = met.select(
+        "t1", "c1", "t2", "c2",
+        F.theta_sketch_estimate("x").alias("size"),
+        F.theta_sketch_estimate(F.theta_union("x", "y", THETA_LOG)).alias("union"),
+        F.theta_sketch_estimate(F.theta_intersection("x", "y")).alias("common"),
+    )
+    k = 2.0**THETA_LOG
+    share = F.col("common") / F.col("union")
+    spread = F.col("union") * F.sqrt(F.greatest(share * (1 - share), F.lit(1 / k)) / k) / F.col("size")
+    score = F.least(F.lit(1.0), F.col("common") / F.col("size"))
+    error = F.when(F.col("union") < k, 0.0).otherwise(2 * (spread + score / math.sqrt(k)))
+    return met.where("common > 0").select("t1", "c1", "t2", "c2", score.alias("score"), error.alias("error"))
+
+
 def compatible_columns(index: DataFrame, threshold: float = 0.9) -> DataFrame:
     """Pairs above the threshold, registered for both tables with the better score of the two."""
     kept = index.where(F.col("score") > threshold)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from hashlib import md5
 
+from relimpute.functions.text import LONG_TEXT
+
 BOUND_20 = "33333333"
 
 KEYS = {
@@ -122,6 +124,31 @@ def containment(tables: list[str]) -> str:
     )
 
 
+def signatures(tables: list[str], permutations: int = 128) -> str:
+    """CTEs of `containment` and `sg` (t, c, k, n, signature): the least hash of a column under every mask."""
+    masks = ", ".join(f"({i}, {int(md5(str(i).encode()).hexdigest()[:15], 16)})" for i in range(permutations))
+    short = f"CASE WHEN length(v) > {LONG_TEXT} THEN '#' || sha256(v) ELSE v END"
+    return (
+        f"{containment(tables)}, mk(i, m) AS (VALUES {masks}), "
+        f"hv AS MATERIALIZED (SELECT t, c, k, CAST('0x' || substr(md5({short}), 1, 15) AS BIGINT) AS h FROM cv), "
+        "lw AS (SELECT t, c, k, i, min(xor(h, CAST(m AS BIGINT))) AS low FROM hv, mk GROUP BY ALL), "
+        "sg AS MATERIALIZED (SELECT t, c, k, CAST(greatest(1, floor(CAST(1099511627776 * " + str(permutations) + " AS DOUBLE) / greatest(sum(low // 1048576), 1)) - 1) AS BIGINT) AS n, "
+        "list(low ORDER BY i) AS signature FROM lw GROUP BY t, c, k)"
+    )
+
+
+def lsh(tables: list[str], threshold: float = 0.3, partitions: int = 32) -> str:
+    """CTEs of `signatures` and `hits` (t1, c1, t2, c2): columns that agree on a band of the width their sizes ask for."""
+    width = " ".join(f"WHEN 1 - pow(1 - pow(least(1.0, {threshold} / (1 + u / q - {threshold})), {r}), {128 // r}) >= 0.95 THEN {r}" for r in (8, 4, 2))
+    same = "len(list_filter(range(0, 128 // r), lambda i: list_slice(a.signature, i * r + 1, i * r + r) = list_slice(b.signature, i * r + 1, i * r + r))) > 0"
+    return (
+        f"{signatures(tables)}, sz AS (SELECT *, ntile({partitions}) OVER (ORDER BY n, t, c) AS part FROM sg), "
+        "up AS (SELECT part, CAST(max(n) AS DOUBLE) AS u FROM sz GROUP BY part), "
+        f"qs AS (SELECT t, c, k, signature, part, CASE {width} ELSE 1 END AS r FROM (SELECT *, CAST(n AS DOUBLE) AS q FROM sg), up), "
+        f"hits AS (SELECT DISTINCT a.t AS t1, a.c AS c1, b.t AS t2, b.c AS c2 FROM qs a JOIN sz b USING (part) WHERE a.t <> b.t AND {same})"
+    )
+
+
 COMPATIBLE = (
     "comp AS (SELECT t1, c1, t2, c2, max(score) AS score FROM (SELECT * FROM idx WHERE score > 0.9 UNION ALL "
     "SELECT t2, c2, t1, c1, score FROM idx WHERE score > 0.9) GROUP BY t1, c1, t2, c2)"

@@ -267,7 +267,7 @@ def containment_exact_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return index.withColumn("score", F.round("score", 6))
 
 
-@suite.add("minhash_columns")
+@suite.add("minhash_columns", f"WITH {q.signatures(VALUE_TABLES)} SELECT t AS \"table\", c AS col, n, signature FROM sg")
 def minhash_columns(spark: SparkSession, folder: str) -> DataFrame:
     catalog = with_redundant_orders(spark, folder)
     refs = discover.refs_table(catalog, discover.column_refs(catalog, VALUE_TABLES))
@@ -275,7 +275,10 @@ def minhash_columns(spark: SparkSession, folder: str) -> DataFrame:
     return signatures.join(F.broadcast(refs), "id").select("table", "col", "n", "signature")
 
 
-@suite.add("lsh_containment")
+@suite.add(
+    "lsh_containment",
+    f"WITH {q.lsh(VALUE_TABLES)} SELECT t1, c1, t2, c2, round(score, 6) AS score FROM idx JOIN hits USING (t1, c1, t2, c2)",
+)
 def lsh_containment(spark: SparkSession, folder: str) -> DataFrame:
     return discover.lsh_index(with_redundant_orders(spark, folder), VALUE_TABLES).withColumn("score", F.round("score", 6))
 

@@ -46,6 +46,24 @@ def test_lsh_finds_contained_columns_and_nothing_else(make_catalog):
     assert len(found & close) >= 0.9 * len(close)
 
 
+def test_sketches_estimate_sizes_and_containment(make_catalog):
+    sizes = {"one": 1, "few": 250, "some": 300, "many": 6000, "most": 20000}
+    tables = {t: ("k", {}, [(f"{t}-{i}", f"v{i % n}") for i in range(max(n, 2))], "k string, v string") for t, n in sizes.items()}
+    tables["none"] = ("k", {}, [("x", None)], "k string, v string")
+    catalog = make_catalog(**tables)
+    refs = {r.id: (r.table, r.col) for r in discover.column_refs(catalog)}
+    found = {refs[i]: n for i, n in tuples(discover.minhash(catalog), "id", "n")}
+    assert ("none", "v") not in found and found[("one", "v")] == 1
+    assert all(abs(found[(t, "v")] / n - 1) < 0.4 for t, n in sizes.items())
+    exact = {r[:4]: r[4] for r in tuples(discover.containment_index(catalog), "t1", "c1", "t2", "c2", "score")}
+    guessed = {r[:4]: r[4:] for r in tuples(discover.sketched_index(catalog, partitions=4), "t1", "c1", "t2", "c2", "score", "error")}
+    # Columns of very different size share too little for any band: one value among thousands is not looked for.
+    assert {(a, "v", b, "v") for a, b in (("few", "some"), ("some", "many"), ("many", "most"))} <= set(guessed) <= set(exact)
+    assert all(abs(score - exact[p]) <= error + 1e-12 for p, (score, error) in guessed.items())
+    assert guessed[("some", "v", "few", "v")] == (250 / 300, 0.0)
+    assert any(error > 0 for _, error in guessed.values()) and any(error == 0 for _, error in guessed.values())
+
+
 def test_paths_keep_parallel_edges(spark):
     edges = spark.createDataFrame([("t", "a", "d", "k"), ("t", "b", "d", "k"), ("d", "r", "e", "k")], "src_table string, src_col string, dst_table string, dst_col string")
     paths = tuples(graph.enumerate_paths(edges, "t"), "goal", "hops", "label")
