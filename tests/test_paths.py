@@ -9,7 +9,8 @@ from conftest import tuples
 from pyspark.sql import functions as F
 
 from relimpute.functions import ranking
-from relimpute.operators import contract, discover, entity, graph, instances, sample, vectors
+from relimpute.operators import contract, discover, entity, graph, induce, instances, sample, score, vectors
+from relimpute.plans import flows
 from relimpute.session import cut_lineage
 
 
@@ -284,3 +285,44 @@ def test_top_k_limits_before_the_exchange(spark):
     df = spark.range(1000).select((F.col("id") % 2).alias("g"), "id")
     plan = ranking.top_k(df, ["g"], [F.col("id")], 3)._jdf.queryExecution().toString()
     assert re.search(r"WindowGroupLimit.*Partial", plan)
+
+
+def hubs(make_catalog):
+    """Sixty rows of three hubs with twenty spokes each; keys that are null, unknown or come twice."""
+    rows = [(i % 55, None if i == 7 else 9 if i == 8 else i % 3, "x" if i % 2 else None if i % 10 == 0 else "y") for i in range(60)]
+    catalog = make_catalog(
+        h=("h", {}, [(i,) for i in range(3)], "h int"),
+        q=("k", {"h": "h"}, rows, "k int, h int, a string"),
+        s=("s", {"h": "h"}, [(i, i % 3, "x" if i % 4 else "z") for i in range(60)], "s int, h int, v string"),
+        o=("o", {"k": "q"}, [(i, i % 50, "y") for i in range(100)], "o int, k int, w string"),
+    )
+    return catalog, {"a": [graph.parse_path(catalog, p) for p in ("q>(h,h)>h", "q>(h,h)>h>(h,h)>s", "q>(k,k)>o")]}
+
+
+def test_bundles_count_every_candidate_once(make_catalog, monkeypatch):
+    catalog, by_attribute = hubs(make_catalog)
+    plain = score.softmax(score.default_score(flows.known_candidates(catalog, "q", by_attribute)))
+    found = flows.known_bundles(catalog, "q", by_attribute)
+    counted = score.softmax(score.default_score(found.cells))
+    # a row per cell, path and kind, however many spokes a hub has
+    assert counted.count() < plain.count() / 5
+    monkeypatch.setattr(instances, "OPENED", 50)
+    columns = ("qid", "attr", "path_id", "instance_id", "truth", "hits", "w")
+    rounded = [df.withColumn("w", F.round("weight", 9)) for df in (plain, instances.opened(counted, found.held))]
+    assert tuples(rounded[1], *columns) == tuples(rounded[0], *columns)
+    for measure in (
+        lambda df: induce.path_summary(induce.matching_columns(df)), induce.induction_flags, instances.merge_paths, instances.path_complexity,
+        lambda df: score.marginal_nll(score.label_candidates(df)).withColumn("loss", F.round("loss", 9)),
+    ):
+        assert tuples(measure(counted)) == tuples(measure(plain))
+
+
+def test_shared_instances_are_those_of_every_row(make_catalog, monkeypatch):
+    catalog, by_attribute = hubs(make_catalog)
+    paths = by_attribute["a"]
+    rows = instances.query_rows(catalog, "q", paths)
+    shared = instances.shared_instances(catalog, rows, paths)
+    assert shared.found.where(F.col("path_id") == paths[1].path_id).count() == 60
+    monkeypatch.setattr(instances, "OPENED", 50)
+    held = instances.of_members(shared, shared.found.select("qid", "path_id", "instance_id"))
+    assert tuples(held, "qid", "path_id", "instance_id") == tuples(instances.path_instances(catalog, rows, paths), "qid", "path_id", "instance_id")
