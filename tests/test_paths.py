@@ -326,3 +326,20 @@ def test_shared_instances_are_those_of_every_row(make_catalog, monkeypatch):
     monkeypatch.setattr(instances, "OPENED", 50)
     held = instances.of_members(shared, shared.found.select("qid", "path_id", "instance_id"))
     assert tuples(held, "qid", "path_id", "instance_id") == tuples(instances.path_instances(catalog, rows, paths), "qid", "path_id", "instance_id")
+
+
+def test_rows_that_no_key_names_enter_no_round(make_catalog, monkeypatch):
+    """A fact ties the rows it names, under a repeated key too; dangling and null keys tie nothing."""
+    facts = [(1, 1, 5), (1, 2, None), (2, 3, 77), (3, None, 77), (4, 4, 6), (5, 1, None), (None, 6, 7)]
+    catalog = make_catalog(
+        f=("f", {"d": "d", "e": "e"}, facts, "f int, d int, e int"),
+        d=("d", {}, [(i,) for i in range(8)], "d int"),
+        e=("e", {}, [(i,) for i in range(5, 8)], "e int"),
+    )
+    entered = []
+    reached = contract.reached
+    monkeypatch.setattr(contract, "reached", lambda links, start: entered.extend(links.collect()) or reached(links, start))
+    start = catalog.spark.createDataFrame([("d", "2"), ("f", "4"), ("f", "3")], '"table" string, row_id string'.replace('"', "`"))
+    got = tuples(sample.reachable_rows(catalog, start))
+    assert got == sorted([("d", "1"), ("d", "2"), ("d", "4"), ("e", "5"), ("e", "6"), ("f", "1"), ("f", "3"), ("f", "4"), ("f", "5")], key=repr)
+    assert not [r for r in entered if r["a"].startswith("f:") or r["b"].startswith("f:")]
