@@ -212,3 +212,38 @@ def test_canonical_numbers_keep_every_digit(spark):
     wide = spark.sql("SELECT 9007199254740993L AS b, CAST('9007199254740993' AS DECIMAL(20,0)) AS d, CAST('9007199254740993.00' AS DECIMAL(20,2)) AS e, 1e15D AS f")
     types = {f.name: f.dataType for f in wide.schema.fields}
     assert list(wide.select(*[text.canonical_text(F.col(c), t) for c, t in types.items()]).first()) == ["9007199254740993"] * 3 + ["1000000000000000"]
+
+
+def test_summary_sees_candidates_of_a_kind_once(make_catalog, monkeypatch):
+    """A row of 60 lines, 20 of which hold its state, is two rows to the weights, and the summary counts what it did."""
+    lines = [(i, i % 3, "open" if i % 9 == 0 else "shut") for i in range(180)]
+    catalog = make_catalog(
+        o=("k", {}, [(0, "open"), (1, "shut"), (2, None), (2, "shut")], "k bigint, state string"), l=("lk", {"k": "o"}, lines, "lk bigint, k bigint, mark string"),
+    )
+    seen = []
+    whole = flows.score.softmax
+    monkeypatch.setattr(flows.score, "softmax", lambda found: seen.append(found) or whole(found))
+    paths = {"state": [parse_path(catalog, "o>(k,k)>l")]}
+    summary = flows.induced_summary(catalog, "o", paths)
+    assert tuples(summary, "col", "n", "ratio") == [("mark", 20 + 60 + 60, 1.0)]
+    assert sorted(r["copies"] for r in seen[0].collect()) == [20, 40, 60, 60]
+    assert not {"instance_id", "row_ids"} & set(seen[0].columns)
+
+
+def test_steps_of_a_cell_share_its_highest_one(spark):
+    found = spark.createDataFrame([("a", "x", 1200.0), ("a", "x", 499.0), ("a", "x", 1200.0), ("b", "x", -700.0), ("b", "x", None)], "qid string, attr string, score double")
+    weights = sorted((r["qid"], r["weight"]) for r in score.softmax(found).collect() if r["weight"] is not None)
+    assert weights == [("a", pytest.approx(0.0, abs=1e-200)), ("a", 0.5), ("a", 0.5), ("b", 1.0)]
+
+
+@pytest.mark.parametrize("width", [40])
+def test_hits_of_a_wide_row_are_short_code(spark, make_catalog, width):
+    """The code that compares a row with the truth does not grow by a test per column."""
+    names = [f"c{i}" for i in range(width)]
+    catalog = make_catalog(
+        q=("k", {}, [(1, "v7")], "k int, a string"), t=("tk", {"k": "q"}, [(5, 1, *[f"v{i % 8}" for i in range(width)])], f"tk int, k int, {', '.join(f'{c} string' for c in names)}"),
+    )
+    found = flows.known_candidates(catalog, "q", {"a": [parse_path(catalog, "q>(k,k)>t")]})
+    assert [c for c in found.first()["hits"] if c] == [c for i, c in enumerate(names) if i % 8 == 7]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_contains" in plan and plan.count("Unknown") <= 4
