@@ -136,3 +136,17 @@ def test_bucketed_neighbours_of_copies_and_of_nothing(spark, monkeypatch):
     got = tuples(vectors.bucketed_knn(df, df, 2, width=1.0), "query_id", "target_id", "rank")
     assert [x for x in got if x[0] == 7] == [(7, 0, 1), (7, 1, 2)] and (100, 101, 2) in got
     assert vectors.bucketed_knn(df, df.limit(0), 2).count() == 0 and vectors.bucketed_knn(df.limit(0), df, 2).count() == 0
+
+
+def test_vectors_are_summed_by_batches(shop):
+    """One summing of a batch, not a list rebuilt for every part of every row."""
+    plan = embed.row_vectors(shop, "shop", keys=True)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "aggregate(" not in plan
+    (row,) = embed.row_vectors(shop, "shop", 7, keys=True).where("row_id = '3'").collect()
+    assert row["embedding"] == pytest.approx(slots([3, "Duisburg", 103], 7).tolist(), abs=1e-12)
+
+
+def test_vectors_are_summed_once_though_they_are_opened(shop):
+    opened = embed.row_vectors(shop, "shop", keys=True).select("row_id", F.posexplode("embedding").alias("slot", "value")).where(F.col("value") != 0)
+    assert opened._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert {r["row_id"] for r in opened.collect()} == {str(i) for i in range(40)}
