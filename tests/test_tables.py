@@ -8,6 +8,7 @@ from relimpute.functions.text import normalize_value, values_equal
 from relimpute.operators import denorm, features, inject, profile
 from relimpute.operators.denorm import Hub
 from relimpute.plans import flows
+from relimpute.plans.star import star_catalog
 from relimpute.sources import catalog as keys
 from relimpute.sources import io
 from relimpute.sources.catalog import Catalog, TableSpec, parse_schema
@@ -223,3 +224,11 @@ def test_row_lookup_and_clean_stats(spark):
     assert tuples(io.find_rows(df, {"s": "b", "x": 6}), "k") == [(3,)]
     row = profile.clean_stats(df, ["x"]).first()
     assert (row["min"], row["max"], row["median"], row["ndv"]) == (2.0, 7.0, 6.0, 4)
+
+
+def test_dimension_tables_are_dealt_over_the_cores(spark):
+    """One file of one row group would be one task, whatever is computed per row."""
+    catalog = star_catalog(spark, "/root/testdata/sf0.001")
+    cores = spark.sparkContext.defaultParallelism
+    for table in ("customer", "supplier", "part"):
+        assert catalog.table(table).rdd.getNumPartitions() >= cores
