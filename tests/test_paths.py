@@ -343,3 +343,17 @@ def test_rows_that_no_key_names_enter_no_round(make_catalog, monkeypatch):
     got = tuples(sample.reachable_rows(catalog, start))
     assert got == sorted([("d", "1"), ("d", "2"), ("d", "4"), ("e", "5"), ("e", "6"), ("f", "1"), ("f", "3"), ("f", "4"), ("f", "5")], key=repr)
     assert not [r for r in entered if r["a"].startswith("f:") or r["b"].startswith("f:")]
+
+
+def test_owners_of_a_value_are_bits(make_catalog):
+    """More columns than one number has bits, and no list per value."""
+    wide = [f"c{i}" for i in range(70)]
+    catalog = make_catalog(
+        a=("k", {}, [("k0", *[f"v{i}" for i in range(70)]), ("k1", *[f"v{i}" if i % 2 else None for i in range(70)])], f"k string, {', '.join(f'{c} string' for c in wide)}"),
+        b=("j", {}, [("j0", "v5"), ("j1", "v69"), ("j2", "v69")], "j string, x string"),
+    )
+    index = discover.containment_index(catalog)
+    found = tuples(index.where("t1 = 'b'"), "c1", "t2", "c2", "score")
+    assert found == [("x", "a", "c5", 0.5), ("x", "a", "c69", 0.5)]
+    assert tuples(index.where("t1 = 'a'"), "c1", "score") == [("c5", 1.0), ("c69", 1.0)]
+    assert "collect_set" not in index._jdf.queryExecution().optimizedPlan().toString()
