@@ -252,6 +252,21 @@ def test_positions_and_hash_ranks(spark):
     assert tuples(kept) == sorted(expected, key=repr)
 
 
+def test_neighbour_blocks_are_few_and_ties_stay_bounded():
+    rng = np.random.default_rng(3)
+    blocks = vectors._blocks(rng.normal(size=(900, 8)), rng.integers(1, 2000, 900))
+    # a query that no group can be ruled out for is sent to few blocks, not to 900 groups
+    assert len(blocks) == 900 and blocks.min() == 0 and blocks.max() + 1 == len(set(blocks.tolist())) <= vectors.LARGE
+    data = np.vstack([np.tile([1.0, 0.0], (300, 1)), rng.integers(0, 3, (200, 2)).astype(float), np.tile([-0.0, 1.0], (5, 1))])
+    far = np.sqrt(((data[:, None] - data[None]) ** 2).sum(2)).round(9)
+    for waiting in (7, 1 << 18):
+        rows, places, distance = vectors._nearest(data, data, 4, "l2", 64, waiting)
+        assert len(rows) == 4 * len(data)
+        for i in range(len(data)):
+            assert places[rows == i].tolist() == np.lexsort((np.arange(len(data)), far[i]))[:4].tolist()
+            assert np.allclose(distance[rows == i], np.sort(far[i])[:4])
+
+
 @pytest.mark.parametrize("metric", ["l2", "cosine"])
 def test_neighbours_match_brute_force(spark, metric, monkeypatch):
     monkeypatch.setattr(vectors, "BLOCK", 16)
