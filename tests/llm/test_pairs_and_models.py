@@ -90,6 +90,19 @@ def test_jaccard_join_matches_brute_force(spark, monkeypatch, block, key_bits):
     assert len(links) > 30 and root[2019] == 2000
 
 
+def test_jaccard_bitmaps_beside_small_sets():
+    """A small set in the same square doesn't make the bitmaps of large ones useless, and no possible partner is lost."""
+    rng = np.random.default_rng(6)
+    big = rng.integers(0, 1 << 63, 3000).astype(np.uint64)
+    near = np.r_[big[:2700], rng.integers(0, 1 << 63, 200).astype(np.uint64)]
+    sets = [np.unique(x) for x in (big[:3], big, near, rng.integers(0, 1 << 63, 3000).astype(np.uint64), big[:2], big[:2300])]
+    n, bits = [len(x) for x in sets], [jaccard.bitmap(x) for x in sets]
+    may = jaccard.may_link(n, bits, n, bits, 75)
+    linked = np.array([[100 * (both := len(np.intersect1d(x, y))) >= 75 * (len(x) + len(y) - both) for y in sets] for x in sets])
+    assert may[linked].all()
+    assert not may[1, 3] and not may[3, 2] and may[1, 2]
+
+
 @pytest.mark.parametrize("block", [jaccard.BLOCK, 16])
 def test_jaccard_blocks_send_forests(spark, monkeypatch, block):
     """Of a run whose sets are close to each other in all pairs, fewer links leave the tiles than rows went in."""
