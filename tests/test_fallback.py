@@ -150,3 +150,15 @@ def test_vectors_are_summed_once_though_they_are_opened(shop):
     opened = embed.row_vectors(shop, "shop", keys=True).select("row_id", F.posexplode("embedding").alias("slot", "value")).where(F.col("value") != 0)
     assert opened._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
     assert {r["row_id"] for r in opened.collect()} == {str(i) for i in range(40)}
+
+
+def test_related_tables_are_tried_on_every_known_cell(make_catalog):
+    """More known cells than the 800 that were sampled before; each of them counts."""
+    sales = [(i, 5000 + i % 40, f"city {i % 40}" if i % 5 else None) for i in range(1500)]
+    catalog = make_catalog(
+        sale=("id", {}, sales, "id bigint, phone bigint, city string"),
+        shop=("sid", {}, [(i, f"city {i}", 5000 + i) for i in range(40)], "sid bigint, town string, phone bigint"),
+    )
+    (row,) = flows.induced_summary(catalog, "sale", {}, related={"city": ["shop"]}).collect()
+    near = {r["qid"]: r for r in fallback.candidates(catalog, "sale", {"city": ["shop"]}, True, 0, k=1).collect()}
+    assert len(near) == 1200 and (row["col"], row["ratio"]) == ("town", 1.0) and row["n"] > 800
