@@ -372,3 +372,32 @@ def test_owners_of_a_value_are_bits(make_catalog):
     assert found == [("x", "a", "c5", 0.5), ("x", "a", "c69", 0.5)]
     assert tuples(index.where("t1 = 'a'"), "c1", "score") == [("c5", 1.0), ("c69", 1.0)]
     assert "collect_set" not in index._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rows_hang_on_what_they_name(make_catalog):
+    """Only labels of rows that name nothing enter the rounds, whatever the number of rows under them; repeated keys tie groups."""
+    people = [(i, i % 4 if i % 10 else None) for i in range(400)] + [(11, 2), (12, None), (None, 3)]
+    facts = [(i, i % 400, i % 4) for i in range(100, 300) if i % 4 < 2] + [(7, 3, 99), (7, None, 20), (8, 999, 21), (8, 998, 22)]
+    catalog = make_catalog(
+        f=("f", {"p": "p", "e": "e"}, facts, "f int, p int, e int"),
+        p=("p", {"g": "g"}, people, "p int, g int"), g=("g", {}, [(i,) for i in range(4)], "g int"),
+        e=("e", {}, [(i,) for i in range(25)], "e int"),
+    )
+    order, loops = sample._parents_first(catalog)
+    assert order.index("g") < order.index("p") and not loops
+    held = {t: catalog.table(t).select(catalog.row_id(t).alias("row_id"), F.concat(F.lit(f"{t}:"), F.col(t).cast("string")).alias("label")) for t in "ge"}
+    hung = sample._hung(catalog, "p", held)
+    assert {r["label"] for r in hung.where("size(refs) > 0").collect()} == {f"g:{i}" for i in range(4)} and hung.count() == 400
+    links = [((("f", str(f)), (t, str(k)))) for f, p, e in facts for t, k, n in (("p", p, 400), ("e", e, 25)) if k is not None and k < n]
+    links += [(("p", str(p)), ("g", str(g))) for p, g in people if p is not None and g is not None]
+    for first in (("g", "1"), ("g", "3"), ("e", "21"), ("f", "7"), ("p", "20"), ("f", "12345")):
+        seen, todo = {first}, [first]
+        while todo:
+            spot = todo.pop()
+            for a, b in links:
+                for x, y in ((a, b), (b, a)):
+                    if x == spot and y not in seen:
+                        seen.add(y)
+                        todo.append(y)
+        start = catalog.spark.createDataFrame([first], "table string, row_id string")
+        assert tuples(sample.reachable_rows(catalog, start)) == sorted(seen, key=repr), first
