@@ -401,3 +401,19 @@ def test_rows_hang_on_what_they_name(make_catalog):
                         todo.append(y)
         start = catalog.spark.createDataFrame([first], "table string, row_id string")
         assert tuples(sample.reachable_rows(catalog, start)) == sorted(seen, key=repr), first
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_single_precision_loses_no_neighbour(metric):
+    """Half-integers with many ties, rows far from zero, rows of wild sizes, copies: single precision only preselects."""
+    rng = np.random.default_rng(11)
+    sparse = rng.integers(-2, 3, (3000, 24)) * (rng.random((3000, 24)) < 0.3) / 2.0 + (np.arange(24) == 0)
+    data = {"sparse": sparse, "far": rng.normal(size=(1500, 24)) * 1e-4 + 1e3, "wild": rng.normal(size=(1500, 24)) * 10.0 ** rng.integers(-6, 7, (1500, 1)), "copies": np.repeat(sparse[:40], 40, 0)}
+    for name, rows in data.items():
+        rows = rows[rows.any(1)]
+        b = rows / np.linalg.norm(rows, axis=1, keepdims=True) if metric == "cosine" else rows
+        a = b[rng.integers(0, len(b), 70)] if name != "sparse" else np.roll(b[:70], 3, 1)
+        found, places, distance = vectors._nearest(a, b, 5, metric, 1024, 1 << 18)
+        for i in range(len(a)):
+            far = 1.0 - np.einsum("ij,j->i", b, a[i]) if metric == "cosine" else np.sqrt(((b - a[i]) ** 2).sum(1))
+            assert places[found == i].tolist() == np.lexsort((np.arange(len(b)), far.round(9)))[:5].tolist() or np.allclose(np.sort(far.round(9))[:5], distance[found == i], atol=2e-9, rtol=0)
