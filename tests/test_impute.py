@@ -247,3 +247,28 @@ def test_hits_of_a_wide_row_are_short_code(spark, make_catalog, width):
     assert [c for c in found.first()["hits"] if c] == [c for i, c in enumerate(names) if i % 8 == 7]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "array_contains" in plan and plan.count("Unknown") <= 4
+
+
+def test_similarities_behind_a_hub_are_those_of_each_pair(make_catalog, monkeypatch):
+    """Blocks give every candidate the similarities that joining the two vectors gives it; nulls, zeros and rows without a vector too."""
+    from relimpute.operators import vectors
+
+    monkeypatch.setattr(vectors, "PAIRS", 40)
+    spots = [f"n{i % 3}" if i % 5 else None for i in range(60)]
+    catalog = make_catalog(
+        q=("k", {"h": "h"}, [(i, i % 4 if i % 9 else None, spots[i], "red" if i % 2 else None) for i in range(60)] + [(7, 1, "n1", "red")], "k int, h int, a string, b string"),
+        h=("h", {}, [(i,) for i in range(4)], "h int"), s=("sk", {"h": "h"}, [(i, i % 4, f"n{i % 3}", None if i % 7 == 0 else "red") for i in range(40)], "sk int, h int, a string, c string"),
+    )
+    path = parse_path(catalog, "q>(h,h)>h>(h,h)>s")
+    stored = embed.database_vectors(catalog, "q", ["s", "h"]).where("row_id <> '3'")
+    stored = stored.withColumn("embedding", F.when(F.col("row_id") == "8", F.transform("embedding", lambda x: x * 0)).otherwise(F.col("embedding")))
+    for found in (flows.known_candidates(catalog, "q", {"a": [path]}, embeddings=stored), flows.missing_candidates(catalog, "q", {"a": [path]}, embeddings=stored)):
+        assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().toString()
+        known = "truth" in found.columns
+        rows = instances.query_rows(catalog, "q", [path], instances.known(catalog, "q", ["a"]) if known else instances.missing(["a"]))
+        each = instances.path_instances(catalog, rows, [path], payload=True, attrs={path.path_id: ["a"]}, match=known)
+        each = instances.assemble(vectors.path_similarity(each, [path], stored), instances.attribute_paths(catalog.spark, {"a": [path]}))
+        want = vectors.asked_similarity(each, {path.path_id: "s"}, flows.asked_vectors(catalog, "q", ["a"], known, stored), stored)
+        columns = ["qid", "attr", "path_id", "instance_id", F.round("sim", 9), F.round("query_sim", 9), F.to_json("row_ids"), *([F.to_json("hits"), "truth"] if known else [F.to_json("payload")])]
+        got = tuples(found, *columns)
+        assert got == tuples(want, *columns) and len(got) >= 100 and found.where("query_sim IS NULL").count() > 0
